@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from parcelflow.functions.lookup import computed_once
 from parcelflow.functions.text import fold
 from parcelflow.operators.joins import lookup_join
 
@@ -16,41 +17,38 @@ def attach_coordinates(df: DataFrame, gazetteer: DataFrame, city: str = "CITY")
 
 
 def first_match_join(
-    df: DataFrame, text: str, dictionary: DataFrame, result: str, gram: int = 4
+    df: DataFrame, key: str, text: str, dictionary: DataFrame, result: str, gram: int = 4
 ) -> DataFrame:
     """`functions.lookup.first_match` for dictionaries too large to be written into the plan.
 
-    ``dictionary`` holds ``(priority, name)``. Distinct texts are cut into overlapping pieces of
-    ``gram`` letters and equi-joined with the first letters of each name; only these few candidates
-    are tested, and the lowest priority is kept per text. Names shorter than ``gram`` meet pieces of
+    ``dictionary`` holds ``(priority, name)``; ``key`` names each row of ``df``. Texts are cut into
+    their distinct pieces of ``gram`` letters and equi-joined with the first letters of each name;
+    only the few names that share a piece are then looked for in the text, and the one of lowest
+    priority is kept. Pieces travel without their text. Names shorter than ``gram`` meet pieces of
     their own length.
     """
     names = dictionary.select("priority", "name", fold(F.col("name")).alias("probe")).filter(
         F.length("probe") > 0
     )
     names = names.withColumn("piece", F.substring("probe", 1, gram))
-    texts = df.select(F.col(text).alias("text")).filter(F.col(text).isNotNull()).distinct()
-    searched = texts.withColumn("searched", fold(F.col("text")))
-    cut = F.array_distinct(
-        F.flatten(
-            F.array(
-                *[
-                    F.transform(
-                        F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("searched") - (size - 1))),
-                        lambda i, size=size: F.substr(F.col("searched"), i, F.lit(size)),
-                    )
-                    for size in range(1, gram + 1)
-                ]
-            )
-        )
+    sizes = [row[0] for row in names.select(F.length("piece")).distinct().collect()]
+    if not sizes:
+        return df.withColumn(result, F.lit(None).cast("string"))
+    searched = fold(F.col(text))
+    # All overlapping pieces in one scan of the text: an empty match at each position.
+    pieces = [F.regexp_extract_all(searched, F.lit(f"(?s)(?=(.{{{n}}}))"), 1) for n in sizes]
+    cut = df.select(key, F.explode(F.array_distinct(F.concat(*pieces))).alias("piece"))
+    candidates = (
+        lookup_join(cut, names, "piece", "inner")
+        .groupBy(key)
+        .agg(F.collect_set(F.struct("priority", "name", "probe")).alias("_names"))
     )
-    candidates = lookup_join(
-        searched.select("text", "searched", F.explode(cut).alias("piece")), names, "piece", "inner"
-    )
-    found = (
-        candidates.filter(F.contains("searched", "probe"))
-        .groupBy("text")
-        .agg(F.min(F.struct("priority", "name")).alias("hit"))
-        .select(F.col("text").alias(text), F.col("hit.name").alias(result))
+
+    def best(body: Column) -> Column:
+        return F.array_min(F.filter("_names", lambda name: F.contains(body, name["probe"])))["name"]
+
+    return (
+        df.join(candidates, key, "left")
+        .withColumn(result, computed_once(searched, best))
+        .select(*df.columns, result)
     )
-    return lookup_join(df, found, text).select(*df.columns, result)
