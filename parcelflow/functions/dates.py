@@ -22,7 +22,8 @@ def weekday_label(day: Column, labels: Sequence[str]) -> Column:
     """Weekday name from seven ``labels``, Monday first."""
     if len(labels) != 7:
         raise ValueError("seven weekday labels are needed")
-    return F.element_at(F.array(*[F.lit(name) for name in labels]), iso_weekday(day).cast("int"))
+    # `get`, not `element_at`: the latter ignores a null index in ANSI mode.
+    return F.get(F.array(*[F.lit(name) for name in labels]), F.weekday(day))
 
 
 def weekday_english(day: Column) -> Column:

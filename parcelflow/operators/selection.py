@@ -14,6 +14,7 @@ from collections.abc import Callable, Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from parcelflow.functions.numeric import not_nan
 from parcelflow.session import BROADCAST_ROWS, is_small, settle
 
 # Cells per e-fold of the value, parts a full cell is divided into, rows a cell may hold at last.
@@ -43,7 +44,7 @@ def long_form(
     extra = [column.alias(name) for name, column in others.items()]
     kinds = dict(df.select(*[c.alias(n) for n, c in values.items()]).dtypes)
     clean = {
-        name: F.when(~F.isnan(c), c) if kinds[name] in ("double", "float") else c
+        name: not_nan(c) if kinds[name] in ("double", "float") else c
         for name, c in values.items()
     }
     if len(clean) == 1:
@@ -197,7 +198,7 @@ def group_quantiles(
     if kind == "linear" and (strategy == "builtin" or strategy == "auto" and is_small(df)):
         points = F.array(*[F.lit(p) for p in probs.values()])
         direct = df.groupBy(*keys).agg(
-            *[F.percentile(F.col(value).cast("double"), points).alias(value) for value in values]
+            *[F.percentile(not_nan(F.col(value).cast("double")), points).alias(value) for value in values]
         )
         return direct.select(
             *keys,
@@ -254,7 +255,7 @@ def summarise(
     if not medians:
         return df.groupBy(*keys).agg(*plain)
     if strategy == "builtin" or strategy == "auto" and is_small(df):
-        direct = [F.median(source).alias(name) for name, source in medians.items()]
+        direct = [F.median(not_nan(F.col(source))).alias(name) for name, source in medians.items()]
         return df.groupBy(*keys).agg(*plain, *direct)
     sources = sorted(set(medians.values()))
     middle = group_quantiles(df, keys, sources, {"median": 0.5}, strategy="cells").select(

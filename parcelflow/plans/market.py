@@ -7,6 +7,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from parcelflow.functions.numeric import not_nan
 from parcelflow.operators.selection import CELLS_PER_EFOLD, log_cell, long_form
 from parcelflow.session import BROADCAST_ROWS, at_most, is_small, settle
 
@@ -79,7 +80,7 @@ def _by_explode(listings: DataFrame, start: str, end: str) -> DataFrame:
             F.avg("PRICE").alias("AVG_PRICE"),
             F.avg("AREA_M2").alias("AVG_AREA_M2"),
             F.coalesce(F.sum("AREA_M2"), F.lit(0.0)).alias("TOTAL_AREA_ON_MARKET"),
-            *[F.median(source).alias(name) for name, source in MEDIANS.items()],
+            *[F.median(not_nan(F.col(source))).alias(name) for name, source in MEDIANS.items()],
         )
     )
 
