@@ -117,18 +117,16 @@ def location_fallback(spark, folder):
     return table(spark, folder, "part").select("p_partkey", city.alias("CITY"))
 
 
-@check(
-    "first_match_dictionary",
-    r"""
-    WITH words AS (
+DICTIONARY_SQL = r"""
+    WITH d AS (
       SELECT DISTINCT upper(w) AS name FROM (
-        SELECT unnest(regexp_extract_all(text, '[A-Za-z]{3,}')) AS w FROM benchmark)
-      WHERE length(w) >= 9),
-    d AS (SELECT name, name AS priority FROM words)
+        SELECT unnest(regexp_extract_all(text, '[A-Za-z]{3,}')) AS w FROM benchmark) WHERE length(w) >= 9)
     SELECT doc_id, (SELECT min(name) FROM d WHERE contains(translate(upper(text), 'ĄĆĘŁŃÓŚŹŻ', 'ACELNOSZZ'), name)) AS hit
-    FROM documents""",
-)
-def first_match_dictionary(spark, folder):
+    FROM documents"""
+
+
+def _first_words(spark, folder, **options):
+    """The alphabetically first of the long words of `benchmark` that occurs in each document."""
     words = (
         table(spark, folder, "benchmark")
         .select(F.explode(F.regexp_extract_all("text", F.lit("([A-Za-z]{3,})"), 1)).alias("w"))
@@ -138,7 +136,17 @@ def first_match_dictionary(spark, folder):
     )
     dictionary = words.select(F.col("name").alias("priority"), "name")
     documents = table(spark, folder, "documents").select("doc_id", "text")
-    return first_match_join(documents, "doc_id", "text", dictionary, "hit").select("doc_id", "hit")
+    return first_match_join(documents, "doc_id", "text", dictionary, "hit", **options).select("doc_id", "hit")
+
+
+@check("first_match_dictionary", DICTIONARY_SQL)
+def first_match_dictionary(spark, folder):
+    return _first_words(spark, folder)
+
+
+@check("first_match_dictionary_join", DICTIONARY_SQL)
+def first_match_dictionary_join(spark, folder):
+    return _first_words(spark, folder, inline=0)
 
 
 # Regions derived from `nation`: an arrow-shaped, concave ring around a centre of its own.

@@ -14,6 +14,9 @@ from parcelflow.session import settle
 HUBER_T = 1.345
 NORMAL_MAD = 0.6744897501960817
 
+# Up to so many points, one task takes the median of all residuals.
+SMALL_ROWS = 500_000
+
 
 @dataclass(frozen=True)
 class Line:
@@ -48,7 +51,7 @@ def fit_robust_line(
     t: float = HUBER_T,
     max_rounds: int = 50,
     tolerance: float = 1e-8,
-    strategy: str = "auto",
+    small_rows: int = SMALL_ROWS,
 ) -> Line:
     """Huber line of ``y`` on ``x``; the scale is the median absolute residual, renewed each round.
 
@@ -61,6 +64,7 @@ def fit_robust_line(
         )
     )
     intercept, slope, rows = _weighted_line(points, F.lit(1.0))
+    strategy = "builtin" if rows <= small_rows else "cells"
     scale, done = 0.0, 0
     for done in range(1, max_rounds + 1):
         size = F.abs(F.col("y") - F.lit(intercept) - F.lit(slope) * F.col("x"))

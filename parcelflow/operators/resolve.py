@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from parcelflow.functions.lookup import computed_once
+from parcelflow.functions.lookup import INLINE_NAMES, computed_once, first_match
 from parcelflow.functions.text import fold
 from parcelflow.operators.joins import lookup_join
+from parcelflow.session import at_most
 
 
 def attach_coordinates(df: DataFrame, gazetteer: DataFrame, city: str = "CITY") -> DataFrame:
@@ -17,16 +18,26 @@ def attach_coordinates(df: DataFrame, gazetteer: DataFrame, city: str = "CITY")
 
 
 def first_match_join(
-    df: DataFrame, key: str, text: str, dictionary: DataFrame, result: str, gram: int = 4
+    df: DataFrame,
+    key: str,
+    text: str,
+    dictionary: DataFrame,
+    result: str,
+    gram: int = 4,
+    inline: int = INLINE_NAMES,
 ) -> DataFrame:
-    """`functions.lookup.first_match` for dictionaries too large to be written into the plan.
+    """`functions.lookup.first_match` for dictionaries in a table, however large.
 
-    ``dictionary`` holds ``(priority, name)``; ``key`` names each row of ``df``. Texts are cut into
-    their distinct pieces of ``gram`` letters and equi-joined with the first letters of each name;
+    ``dictionary`` holds ``(priority, name)``; ``key`` names each row of ``df``. Up to ``inline``
+    names are written into the plan, which needs no shuffle. Beyond, texts are cut into their distinct
+    pieces of ``gram`` letters and equi-joined with the first letters of each name;
     only the few names that share a piece are then looked for in the text, and the one of lowest
     priority is kept. Pieces travel without their text. Names shorter than ``gram`` meet pieces of
     their own length.
     """
+    if at_most(dictionary, inline):
+        ordered = [row["name"] for row in dictionary.orderBy("priority").collect()]
+        return df.withColumn(result, first_match(F.col(text), ordered))
     names = dictionary.select("priority", "name", fold(F.col("name")).alias("probe")).filter(
         F.length("probe") > 0
     )

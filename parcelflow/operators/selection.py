@@ -63,16 +63,12 @@ def long_form(
 
 
 def _running(counts: DataFrame, group: Sequence[str], order: str) -> DataFrame:
-    """Rows of the group before this one (``before``) and in all (``total``)."""
+    """Add the number of rows of the group that come before (``before``)."""
     window = Window.partitionBy(*group).orderBy(order)
     through = F.sum("n").over(window.rowsBetween(Window.unboundedPreceding, Window.currentRow))
     return counts.withColumn("before", through - F.col("n"))
 
 
-def _within() -> Column:
-    return (F.col("k") >= F.col("before")) & (F.col("k") < F.col("before") + F.col("n"))
-
-
 def order_statistics(
     df: DataFrame,
     keys: Sequence[str],
@@ -90,9 +86,8 @@ def order_statistics(
     counts = rows.groupBy("g", "cell").agg(
         F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")
     )
-    counted = _running(counts, ["g"], "cell").withColumn(
-        "total", F.sum("n").over(Window.partitionBy("g"))
-    )
+    total = F.sum("n").over(Window.partitionBy("g"))
+    counted = _running(counts, ["g"], "cell").withColumn("total", total)
     last = F.col("total") - 1
     wanted = F.array(
         *[
@@ -103,79 +98,86 @@ def order_statistics(
             for label, rank in ranks.items()
         ]
     )
-    targets = settle(
-        counted.withColumn("w", F.explode(wanted))
-        .select("*", "w.rank", "w.k")
-        .filter(_within())
-        .select("g", "rank", "total", (F.col("k") - F.col("before")).alias("k"), "cell", "lo", "hi", "n")
-    )
+    cells = settle(_holding(counted, wanted).select("g", "total", "cell", "lo", "hi", "n", "wanted"))
     wide = F.col("hi").cast("double") > F.col("lo").cast("double")
     for _ in range(MAX_DIVISIONS):
-        size = targets.agg(
-            F.count(F.lit(1)).alias("targets"),
+        size = cells.agg(
+            F.count(F.lit(1)).alias("cells"),
             F.max(F.when(wide, F.col("n"))).alias("fullest"),
             F.count_if(F.col("lo") < F.col("hi")).alias("open"),
         ).first()
+        few = size["cells"] <= BROADCAST_ROWS
         if size["fullest"] is None or size["fullest"] <= cell_rows:
             break
-        targets = settle(_divide(rows, targets, size["targets"]))
-    single = targets.filter(F.col("lo") == F.col("hi")).select(
-        "g", "rank", "total", F.col("lo").alias("value")
-    )
+        cells = settle(_divide(rows, cells, few))
+    single = _found(cells.filter(F.col("lo") == F.col("hi")), F.col("lo"))
     if not size["open"]:
         return single
-    several = targets.filter(F.col("lo") < F.col("hi"))
-    return single.unionByName(_pick(rows, several, size["targets"]))
+    several = cells.filter(F.col("lo") < F.col("hi"))
+    return single.unionByName(_pick(rows, several, few))
 
 
-def _in_cells(rows: DataFrame, targets: DataFrame, size: int) -> DataFrame:
-    """Rows that lie in a wanted cell; the cells are broadcast if ``size`` of them are few."""
-    cells = targets.select("g", "cell", "lo", "hi").distinct()
-    side = F.broadcast(cells) if size <= BROADCAST_ROWS else cells
-    return rows.join(side, ["g", "cell"]).filter(F.col("v").between(F.col("lo"), F.col("hi")))
+HOME = ["g", "cell", "lo", "hi"]
 
 
-def _divide(rows: DataFrame, targets: DataFrame, size: int) -> DataFrame:
-    """Replace each wanted cell by the one of its equal parts that holds the rank."""
-    low, high = F.col("lo").cast("double"), F.col("hi").cast("double")
-    part = F.floor(F.try_divide(F.col("v").cast("double") - low, high - low) * PARTS)
-    home = ["g", "cell", "lo", "hi"]
-    counts = (
-        _in_cells(rows, targets, size)
-        .withColumn("part", F.coalesce(F.least(part, F.lit(PARTS - 1)), F.lit(0)))
-        .groupBy(*home, "part")
-        .agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("from"), F.max("v").alias("to"))
+def _holding(counted: DataFrame, wanted: Column) -> DataFrame:
+    """Rows that hold any of the ranks in the array ``wanted``, which then count from the row on."""
+    inside = F.filter(
+        wanted,
+        lambda w: (w["k"] >= F.col("before")) & (w["k"] < F.col("before") + F.col("n")),
     )
     return (
-        _running(counts, home, "part")
-        .join(targets.drop("n"), home)
-        .filter(_within())
-        .select(
-            "g",
-            "rank",
-            "total",
-            (F.col("k") - F.col("before")).alias("k"),
-            "cell",
-            F.col("from").alias("lo"),
-            F.col("to").alias("hi"),
-            "n",
+        counted.withColumn("inside", inside)
+        .filter(F.size("inside") > 0)
+        .withColumn(
+            "wanted",
+            F.transform(
+                "inside",
+                lambda w: F.struct(w["rank"].alias("rank"), (w["k"] - F.col("before")).alias("k")),
+            ),
         )
     )
 
 
-def _pick(rows: DataFrame, targets: DataFrame, size: int) -> DataFrame:
-    home = ["g", "cell", "lo", "hi"]
+def _found(cells: DataFrame, value: Column) -> DataFrame:
+    return cells.select("g", F.explode("wanted").alias("w"), "total", value.alias("value")).select(
+        "g", "w.rank", "total", "value"
+    )
+
+
+def _small_side(df: DataFrame, few: bool) -> DataFrame:
+    return F.broadcast(df) if few else df
+
+
+def _in_cells(rows: DataFrame, cells: DataFrame, few: bool) -> DataFrame:
+    """Rows that lie in a wanted cell; the cells are broadcast if they were counted to be few."""
+    return rows.join(_small_side(cells.select(HOME), few), ["g", "cell"]).filter(
+        F.col("v").between(F.col("lo"), F.col("hi"))
+    )
+
+
+def _divide(rows: DataFrame, cells: DataFrame, few: bool) -> DataFrame:
+    """Replace each wanted cell by those of its equal parts that hold its ranks."""
+    low, high = F.col("lo").cast("double"), F.col("hi").cast("double")
+    part = F.floor(F.try_divide(F.col("v").cast("double") - low, high - low) * PARTS)
     counts = (
-        _in_cells(rows, targets, size).groupBy(*home, "v").agg(F.count(F.lit(1)).alias("n"))
+        _in_cells(rows, cells, few)
+        .withColumn("part", F.coalesce(F.least(part, F.lit(PARTS - 1)), F.lit(0)))
+        .groupBy(*HOME, "part")
+        .agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("from"), F.max("v").alias("to"))
     )
-    return (
-        _running(counts, home, "v")
-        .join(targets.drop("n"), home)
-        .filter(_within())
-        .select("g", "rank", "total", F.col("v").alias("value"))
+    parts = _running(counts, HOME, "part").join(_small_side(cells.drop("n"), few), HOME)
+    return _holding(parts, F.col("wanted")).select(
+        "g", "total", "cell", F.col("from").alias("lo"), F.col("to").alias("hi"), "n", "wanted"
     )
 
 
+def _pick(rows: DataFrame, cells: DataFrame, few: bool) -> DataFrame:
+    counts = _in_cells(rows, cells, few).groupBy(*HOME, "v").agg(F.count(F.lit(1)).alias("n"))
+    values = _running(counts, HOME, "v").join(_small_side(cells.drop("n"), few), HOME)
+    return _found(_holding(values, F.col("wanted")), F.col("v"))
+
+
 def group_quantiles(
     df: DataFrame,
     keys: Sequence[str],

@@ -22,6 +22,8 @@ DIGITS = {
     "TOTAL_AREA_ON_MARKET": 0,
     "MEDIAN_AREA_M2": 0,
 }
+# Inputs estimated below this size may become one row per listing and day.
+EXPLODED_BYTES = 64 * 1024
 ORDER = ["ACTIVE_DAY", "TOTAL_ACTIVE_OFFERS", *DIGITS]
 
 
@@ -53,7 +55,7 @@ def daily_market_stats(
     if strategy not in ("auto", "explode", "changes"):
         raise ValueError(strategy)
     needed = listings.select("ID", start, end, "PRICE", "PRICE_M2", "AREA_M2")
-    if strategy == "explode" or strategy == "auto" and is_small(needed):
+    if strategy == "explode" or strategy == "auto" and is_small(needed, EXPLODED_BYTES):
         series = _by_explode(needed, start, end)
     else:
         totals = daily_totals(needed, start, end)
@@ -215,7 +217,7 @@ def daily_medians(
     upto = F.sum("n").over(in_cell.rowsBetween(Window.unboundedPreceding, Window.currentRow))
     picked = (
         values.withColumn("before", upto - F.col("n"))
-        .join(targets, ["metric", "day", "cell"])
+        .join(F.broadcast(targets) if few else targets, ["metric", "day", "cell"])
         .filter((F.col("k") >= F.col("before")) & (F.col("k") < F.col("before") + F.col("n")))
     )
 

@@ -16,6 +16,7 @@ from parcelflow.functions.text import parse_quantity, slug_to_name, strip_whites
 from parcelflow.operators.dedup import dedup_latest
 from parcelflow.operators.quality import correct_unit_errors
 from parcelflow.operators.resolve import attach_coordinates
+from parcelflow.session import stored
 
 
 @dataclass(frozen=True)
@@ -70,6 +71,8 @@ def prepare(df: DataFrame, spec: SourceSpec, places: Places, gazetteer: DataFram
         df = df.filter(condition)
     if spec.dedup:
         df = dedup_latest(df, ["ID"], ["LAST_UPDATED", "DATE_ADDED"])
+        # The fences below read one column several times; the rows should be grouped only once.
+        df = stored(df, "unique") if spec.unit_errors else df
     df = df.withColumns({c: parse_date(F.col(c)) for c in spec.dates})
     if spec.added_from_updated:
         df = fill_missing(df, "DATE_ADDED", "LAST_UPDATED")

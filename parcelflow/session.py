@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 200_000
 
 # Inputs that Catalyst estimates below this size may use aggregates that hold a group in one task.
-SMALL_BYTES = 32 * 1024 * 1024
+SMALL_BYTES = 1024 * 1024
 
 
 def build_session(master: str | None = None, app: str = "parcelflow", **conf: str) -> SparkSession:
@@ -64,16 +64,19 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame, name: str = "stage") -> DataFrame:
+    """Write ``df`` to the shared folder once and read it back, for inputs that are costly to compute
+    and read several times with few of their columns."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def at_most(df: DataFrame, rows: int) -> bool:
     """True if ``df`` has no more than ``rows`` rows; reads only as far as needed to tell."""
     return df.limit(rows + 1).count() <= rows
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast hint for a settled or stored ``df`` that was counted to be small, else unchanged."""
-    return F.broadcast(df) if at_most(df, max_rows) else df
-
-
 def estimated_bytes(df: DataFrame) -> int | None:
     """Catalyst's size estimate of ``df``; None where the session does not expose one."""
     try:

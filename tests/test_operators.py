@@ -121,8 +121,9 @@ def test_dictionary_join_equals_the_expression(spark):
     df = spark.createDataFrame(list(enumerate(texts)), "id int, t string")
     dictionary = spark.createDataFrame(list(enumerate(names)), "priority int, name string")
     wanted = df.withColumn("hit", first_match(F.col("t"), names))
-    got = first_match_join(df, "id", "t", dictionary, "hit")
-    assert sorted(map(str, got.collect())) == sorted(map(str, wanted.collect()))
+    for inline in (0, 100):
+        got = first_match_join(df, "id", "t", dictionary, "hit", inline=inline)
+        assert sorted(map(str, got.collect())) == sorted(map(str, wanted.collect()))
 
 
 RING = [(0, 0), (4, 0), (4, 4), (2, 1), (0, 4), (0, 0)]
