@@ -33,8 +33,10 @@ def check(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def rnd(expression: str, digits: int) -> str:
-    """SQL rounding half up on the decimal value, as Spark's ``round`` does for doubles."""
-    return f"CAST(round(CAST({expression} AS DECIMAL(38,18)), {digits}) AS DOUBLE)"
+    """SQL rounding half up on the shortest decimal form of a double, as Spark's ``round`` does."""
+    return (
+        f"CAST(round(CAST(CAST(CAST({expression} AS DOUBLE) AS VARCHAR) AS DECIMAL(38,18)), {digits}) AS DOUBLE)"
+    )
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
