@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from parcelflow.operators.selection import group_quantiles
-from parcelflow.session import settle
+from parcelflow.session import stored
 
 # Huber's tuning constant, and the upper quartile of the normal distribution.
 HUBER_T = 1.345
@@ -58,7 +58,7 @@ def fit_robust_line(
     Each round makes one pass for the median and one for five weighted sums; only these numbers
     reach the driver. The two columns are written down once, so rounds do not read the source again.
     """
-    points = settle(
+    points = stored(
         df.select(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).filter(
             F.col("x").isNotNull() & F.col("y").isNotNull()
         )

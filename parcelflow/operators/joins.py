@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parcelflow.session import BROADCAST_ROWS, at_most
+from parcelflow.session import BROADCAST_ROWS, at_most, settle
 
 # A key with more than this share of the rows is joined apart; there are at most 1/share of them.
 HOT_SHARE = 0.005
@@ -56,9 +54,10 @@ def _split_join(
 
 def hot_keys(df: DataFrame, on: str, share: float = HOT_SHARE) -> list:
     """Keys holding more than ``share`` of the rows, at most ``1/share`` many."""
-    counts = df.filter(F.col(on).isNotNull()).groupBy(on).agg(F.count(F.lit(1)).alias("n"))
-    total = counts.agg(F.sum("n")).scalar()
-    return [row[0] for row in counts.filter(F.col("n") > total * F.lit(share)).select(on).collect()]
+    keyed = df.select(on).filter(F.col(on).isNotNull())
+    least = share * keyed.count()
+    counts = keyed.groupBy(on).agg(F.count(F.lit(1)).alias("n"))
+    return [row[0] for row in counts.filter(F.col("n") > least).select(on).collect()]
 
 
 def apply_corrections(
@@ -73,7 +72,7 @@ def apply_corrections(
         .groupBy(key)
         .agg(F.max(corrected).alias("_corrected"))
     )
-    joined = lookup_join(df, single, key)
+    joined = lookup_join(df, settle(single), key)
     return (
         joined.withColumn(column, F.coalesce("_corrected", column)).drop("_corrected").select(df.columns)
     )

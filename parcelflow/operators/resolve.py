@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from parcelflow.functions.lookup import INLINE_NAMES, computed_once, first_match
+from parcelflow.functions.lookup import INLINE_NAMES, computed_once, first_match_in_text, piece_size, pieces
 from parcelflow.functions.text import fold
 from parcelflow.operators.joins import lookup_join
 from parcelflow.session import at_most
@@ -23,32 +23,30 @@ def first_match_join(
     text: str,
     dictionary: DataFrame,
     result: str,
-    gram: int = 4,
     inline: int = INLINE_NAMES,
 ) -> DataFrame:
     """`functions.lookup.first_match` for dictionaries in a table, however large.
 
     ``dictionary`` holds ``(priority, name)``; ``key`` names each row of ``df``. Up to ``inline``
     names are written into the plan, which needs no shuffle. Beyond, texts are cut into their distinct
-    pieces of ``gram`` letters and equi-joined with the first letters of each name;
-    only the few names that share a piece are then looked for in the text, and the one of lowest
-    priority is kept. Pieces travel without their text. Names shorter than ``gram`` meet pieces of
-    their own length.
+    pieces of a few letters and equi-joined with the first letters of each name; only the few names
+    that share a piece are then looked for in the text, and the one of lowest priority is kept.
+    Pieces travel without their text. Shorter names meet pieces of their own length.
     """
     if at_most(dictionary, inline):
         ordered = [row["name"] for row in dictionary.orderBy("priority").collect()]
-        return df.withColumn(result, first_match(F.col(text), ordered))
+        return df.withColumn(result, first_match_in_text(F.col(text), ordered))
     names = dictionary.select("priority", "name", fold(F.col("name")).alias("probe")).filter(
         F.length("probe") > 0
     )
-    names = names.withColumn("piece", F.substring("probe", 1, gram))
-    sizes = [row[0] for row in names.select(F.length("piece")).distinct().collect()]
-    if not sizes:
+    shortest = names.agg(F.min(F.length("probe"))).first()[0]
+    if shortest is None:
         return df.withColumn(result, F.lit(None).cast("string"))
+    names = names.withColumn("piece", F.substring("probe", 1, piece_size(shortest)))
+    sizes = [row[0] for row in names.select(F.length("piece")).distinct().collect()]
     searched = fold(F.col(text))
-    # All overlapping pieces in one scan of the text: an empty match at each position.
-    pieces = [F.regexp_extract_all(searched, F.lit(f"(?s)(?=(.{{{n}}}))"), 1) for n in sizes]
-    cut = df.select(key, F.explode(F.array_distinct(F.concat(*pieces))).alias("piece"))
+    cut = F.array_distinct(F.concat(*[pieces(searched, size) for size in sizes]))
+    cut = df.select(key, F.explode(cut).alias("piece"))
     candidates = (
         lookup_join(cut, names, "piece", "inner")
         .groupBy(key)

@@ -31,7 +31,9 @@ def log_cell(value: Column, per_efold: int = CELLS_PER_EFOLD) -> Column:
     number = value.cast("double")
     size = F.log1p(F.abs(number))
     bounded = F.when(size > 800.0, F.lit(800.0)).otherwise(size)
-    return (F.signum(number) * F.floor(bounded * F.lit(float(per_efold)))).cast("int")
+    cell = (F.signum(number) * F.floor(bounded * F.lit(float(per_efold)))).cast("int")
+    # Never null, so that joins on cells need not test for it.
+    return F.coalesce(cell, F.lit(0))
 
 
 def long_form(
@@ -47,19 +49,15 @@ def long_form(
         name: not_nan(c) if kinds[name] in ("double", "float") else c
         for name, c in values.items()
     }
-    if len(clean) == 1:
-        ((name, column),) = clean.items()
-        rows = df.select(
-            F.struct(F.lit(name).alias("metric"), *keys).alias("g"), column.alias("v"), *extra
-        )
-    else:
-        each = F.explode(
-            F.array(*[F.struct(F.lit(n).alias("metric"), c.alias("v")) for n, c in clean.items()])
-        )
-        rows = df.select(*keys, *extra, each.alias("m")).select(
-            F.struct(F.col("m.metric").alias("metric"), *keys).alias("g"), F.col("m.v").alias("v"), *others
-        )
-    return rows.filter(F.col("v").isNotNull())
+    # `explode` also keeps the optimiser from copying the value's expression into every later use.
+    each = F.explode(
+        F.array(*[F.struct(F.lit(n).alias("metric"), c.alias("v")) for n, c in clean.items()])
+    )
+    return (
+        df.select(*keys, *extra, each.alias("m"))
+        .filter(F.col("m.v").isNotNull())
+        .select(F.struct(F.col("m.metric").alias("metric"), *keys).alias("g"), F.col("m.v").alias("v"), *others)
+    )
 
 
 def _running(counts: DataFrame, group: Sequence[str], order: str) -> DataFrame:

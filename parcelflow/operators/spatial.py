@@ -10,6 +10,9 @@ from parcelflow.session import BROADCAST_ROWS, at_most, settle
 
 CELL_DEGREES = 0.25
 
+# Outlines are broadcast only if they have no more corners than this in all (16 bytes each).
+BROADCAST_VERTICES = 2_000_000
+
 
 def point(lon: Column, lat: Column) -> Column:
     """Point struct; null where a coordinate is missing."""
@@ -77,6 +80,8 @@ def points_in_regions(
     lon: str = "LON",
     lat: str = "LAT",
     degrees: float = CELL_DEGREES,
+    max_rows: int = BROADCAST_ROWS,
+    max_vertices: int = BROADCAST_VERTICES,
 ) -> DataFrame:
     """Inner join of points with the regions they lie within: one row per point and region.
 
@@ -90,24 +95,27 @@ def points_in_regions(
         .withColumn("cell", F.struct(_cell(x, degrees).alias("cx"), _cell(y, degrees).alias("cy")))
     )
     grid = settle(_grid(regions, degrees))
-    candidates = _by_cell(located, grid).filter(
+    candidates = _by_cell(located, grid, max_rows).filter(
         x.between(F.col("west"), F.col("east")) & y.between(F.col("south"), F.col("north"))
     )
     rings = regions.select("region_id", "name", "ring")
+    vertices = rings.agg(F.coalesce(F.sum(F.size("ring")), F.lit(0))).first()[0]
     return (
-        lookup_join(candidates, rings, "region_id", "inner", max_rows=20_000)
+        lookup_join(
+            candidates, rings, "region_id", "inner", max_rows if vertices <= max_vertices else 0
+        )
         .filter(within_ring(F.col("ring"), x, y))
         .select(*df.columns, "region_id", "name")
     )
 
 
-def _by_cell(located: DataFrame, grid: DataFrame) -> DataFrame:
-    if at_most(grid, BROADCAST_ROWS):
+def _by_cell(located: DataFrame, grid: DataFrame, max_rows: int) -> DataFrame:
+    if at_most(grid, max_rows):
         return located.join(F.broadcast(grid), "cell")
     # As text, so that hot cells can be named in a filter.
     key = F.concat_ws(":", "cell.cx", "cell.cy")
     return lookup_join(
-        located.withColumn("cell", key), grid.withColumn("cell", key), "cell", "inner"
+        located.withColumn("cell", key), grid.withColumn("cell", key), "cell", "inner", max_rows
     )
 
 

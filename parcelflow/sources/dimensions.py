@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
@@ -46,7 +47,9 @@ def dimension_frame(
     repeated = sorted({str(k) for k in keys if keys.count(k) > 1}) if len(set(keys)) < len(keys) else []
     if repeated:
         raise ValueError(f"repeated {key}: {', '.join(repeated)}")
-    return spark.createDataFrame(rows, schema)
+    # From Arrow the rows become part of the plan instead of a distributed scan.
+    columns = {name: [row[i] for row in rows] for i, name in enumerate(schema.fieldNames())}
+    return spark.createDataFrame(pa.table(columns), schema)
 
 
 def ordered_categories(spark: SparkSession, names: Sequence[str], column: str) -> DataFrame:

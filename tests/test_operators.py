@@ -148,6 +148,8 @@ def test_points_in_a_concave_ring(spark):
     ]
     plan = found._jdf.queryExecution().toString()
     assert "CartesianProduct" not in plan and "NestedLoop" not in plan
+    by_shuffle = points_in_regions(df, shapes, degrees=0.5, max_rows=1, max_vertices=1)
+    assert sorted(by_shuffle.collect()) == sorted(found.collect())
     far = regions(spark, RING, [(9, 9), (10, 9), (10, 10), (9, 9)])
     assert [r["name"] for r in active_regions(far, points_in_regions(df, far)).collect()] == ["r0"]
 
@@ -170,6 +172,9 @@ def test_density_integrates_to_one(spark):
     h = np.std(values, ddof=1) * len(values) ** -0.2
     direct = np.mean(np.exp(-0.5 * ((x[50] - np.array(values)) / h) ** 2)) / (h * np.sqrt(2 * np.pi))
     assert y[50] == pytest.approx(direct)
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    binned = stats.kernel_density(df, "v", bins=10_000).orderBy("point").collect()
+    assert [c["density"] for c in binned] == pytest.approx(y, rel=1e-3, abs=1e-6)
 
 
 def test_box_plot(spark):
