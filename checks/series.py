@@ -58,8 +58,8 @@ def daily_series(spark, folder):
     return daily_market_stats(event_listings(spark, folder))
 
 
-@check("daily_market_stats_changes", SERIES_SQL)
-def daily_series_changes(spark, folder):
+@check("daily_market_stats_delta", SERIES_SQL)
+def daily_series_delta(spark, folder):
     return daily_market_stats(event_listings(spark, folder), strategy="changes")
 
 

@@ -109,28 +109,24 @@ def histogram(df: DataFrame, column: str, bins: int = 500) -> DataFrame:
     Empty bins are listed with 0. A constant column is spread over a range of one around it.
     """
     known = df.select(F.col(column).cast("double").alias("x")).filter(F.col("x").isNotNull())
-    scaled = known.withColumn("s", _spread(known, "x"))
     flat = F.col("s.lo") == F.col("s.hi")
     low = F.when(flat, F.col("s.lo") - 0.5).otherwise(F.col("s.lo"))
     width = F.when(flat, F.lit(1.0)).otherwise(F.col("s.hi") - F.col("s.lo")) / F.lit(float(bins))
-    index = F.least(F.floor((F.col("x") - low) / width), F.lit(bins - 1)).cast("int")
-    counts = scaled.select(index.alias("bin")).groupBy("bin").agg(F.count(F.lit(1)).alias("n"))
+    index = F.least(F.floor((F.col("x") - low) / width), F.lit(bins - 1))
+    spread = _spread(known, "x")
+    counts = (
+        known.withColumn("s", spread).select(index.alias("bin")).groupBy("bin").agg(F.count(F.lit(1)).alias("n"))
+    )
     spine = (
-        known.agg(
-            F.min("x").alias("lo0"), F.max("x").alias("hi0")
-        )
-        .filter(F.col("lo0").isNotNull())
-        .select(
-            F.when(F.col("lo0") == F.col("hi0"), F.col("lo0") - 0.5).otherwise(F.col("lo0")).alias("lo"),
-            F.when(F.col("lo0") == F.col("hi0"), F.lit(1.0)).otherwise(F.col("hi0") - F.col("lo0")).alias("range"),
-            F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"),
-        )
+        df.sparkSession.range(bins)
+        .select(F.col("id").alias("bin"), spread.alias("s"))
+        .filter(F.col("s.lo").isNotNull())
+        .select("bin", low.alias("lo"), width.alias("width"))
     )
-    step = F.col("range") / F.lit(float(bins))
     return spine.join(counts, "bin", "left").select(
-        "bin",
-        (F.col("lo") + F.col("bin") * step).alias("left_edge"),
-        (F.col("lo") + (F.col("bin") + 1) * step).alias("right_edge"),
+        F.col("bin").cast("int").alias("bin"),
+        (F.col("lo") + F.col("bin") * F.col("width")).alias("left_edge"),
+        (F.col("lo") + (F.col("bin") + 1) * F.col("width")).alias("right_edge"),
         F.coalesce("n", F.lit(0).cast("bigint")).alias("n"),
     )
 

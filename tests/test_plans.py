@@ -152,7 +152,7 @@ def test_shared_folder_is_the_configured_one(spark):
 
 
 
-@pytest.mark.parametrize("name", ["cleaned_listings", "daily_market_stats_changes", "segment_price_stats_cells", "point_in_polygon", "first_match_dictionary", "first_match_dictionary_join", "price_attractiveness", "kde", "dedup_latest"])
+@pytest.mark.parametrize("name", ["cleaned_listings", "daily_market_stats_delta", "segment_price_stats_cells", "point_in_polygon", "first_match_dictionary", "first_match_dictionary_join", "price_attractiveness", "kde", "dedup_latest"])
 def test_plans_without_python_or_cross_joins(spark, folder, name):
     plan = entry.queries()[name](spark, folder)._jdf.queryExecution().toString()
     for word in ("BatchEvalPython", "ArrowEvalPython", "CartesianProduct", "BroadcastNestedLoopJoin"):
