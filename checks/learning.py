@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from checks.aggregates import LABEL_SQL, LISTED_SQL, listed
@@ -234,10 +235,8 @@ def robust_trend(spark, folder):
         F.col("user_id").alias("x"), (F.col("value") + 0.3 * F.col("user_id")).alias("y")
     )
     line = fit_robust_line(events, "x", "y", max_rounds=6, tolerance=0.0)
-    return spark.createDataFrame(
-        [(round(line.intercept, 5), round(line.slope, 7), round(line.scale, 5))],
-        "intercept double, slope double, scale double",
-    )
+    values = {"intercept": round(line.intercept, 5), "slope": round(line.slope, 7), "scale": round(line.scale, 5)}
+    return spark.createDataFrame(pa.Table.from_pylist([values]))
 
 
 # Models: few and shallow trees, on all line items as listings of parts.
@@ -315,7 +314,8 @@ def search(spark, folder):
         kernel_size=16,
         svm_rounds=5,
     )
-    return spark.createDataFrame(
-        [(c.family, str(c.parameters), c.accuracy) for c in found.candidates],
-        "family string, parameters string, accuracy double",
-    )
+    shown = [
+        {"family": c.family, "parameters": str(c.parameters), "accuracy": c.accuracy}
+        for c in found.candidates
+    ]
+    return spark.createDataFrame(pa.Table.from_pylist(shown))

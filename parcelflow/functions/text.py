@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Polish capitals and the letters they fold to.
 DIACRITICS = ("ĄĆĘŁŃÓŚŹŻ", "ACELNOSZZ")
 
+# White space, with the non-breaking spaces used between thousands.
+SPACES = r"[\s\u00A0\u2007\u202F]"
+
 NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
 
 
@@ -25,8 +26,8 @@ def fold_literal(text: str, letters: tuple[str, str] = DIACRITICS) -> str:
 
 def replace_first(text: Column, literal: str, new: str = "") -> Column:
     """Replace only the first occurrence of ``literal``."""
-    quoted = "\\Q" + literal + "\\E"
-    return F.regexp_replace(text, f"(?s)^(.*?){quoted}", "$1" + re.sub(r"([$\\])", r"\\\1", new))
+    plain = len(literal) == 1 and literal not in ".$|()[{^?*+\\"
+    return F.array_join(F.split(text, literal if plain else f"\\Q{literal}\\E", 2), new)
 
 
 def strip_whitespace(text: Column) -> Column:
@@ -50,7 +51,7 @@ def parse_quantity(
     """
     body = replace_first(text, unit)
     if spaces == "all":
-        body = F.regexp_replace(body, r"(?U)\s", "")
+        body = F.regexp_replace(body, SPACES, "")
     elif spaces == "first":
         body = replace_first(body, " ")
     elif spaces != "none":

@@ -22,6 +22,7 @@ def x():
 
 
 def test_lenient_quantities(column):
+    assert column(["1\u00a0234,5 m2", "12\u202f000"], "string", parse_quantity(x())) == [1234.5, 12000.0]
     texts = ["1 234,5 m2", "800 m2", "1 234 567 m2", "brak", "12d", "", None]
     assert column(texts, "string", parse_quantity(x())) == [1234.5, 800.0, 1234567.0, None, None, None, None]
     assert column(texts, "string", parse_quantity(x(), spaces="first"))[2] is None
@@ -44,6 +45,8 @@ def test_text_helpers(column):
     assert column(["zażółć gęślą"], "string", fold(x())) == ["ZAZOLC GESLA"]
     assert column(["a-b-c", "abc"], "string", replace_first(x(), "-")) == ["ab-c", "abc"]
     assert column(["a.b"], "string", replace_first(x(), ".", "$1\\")) == ["a$1\\b"]
+    assert column(["--a", "a--", "-", "", None], "string", replace_first(x(), "-")) == ["-a", "a-", "", "", None]
+    assert column(["a m2 m2", " m2", "m2"], "string", replace_first(x(), " m2")) == ["a m2", "", "m2"]
     assert column(["Łomża", "Łomżanka", None], "string", mentions(x(), r"(?U)^Łomża\b")) == [True, False, False]
 
 
