@@ -11,10 +11,8 @@ from parcelflow.learning.encode import impute_median, indicators, standardise
 from parcelflow.learning.forest import (
     Features,
     feature_stages,
-    fit_classifier,
     label_stages,
     numeric_as_double,
-    out_of_fold,
     regressor,
 )
 from parcelflow.learning.metrics import (
@@ -27,6 +25,7 @@ from parcelflow.learning.metrics import (
 )
 from parcelflow.learning.search import grid_search
 from parcelflow.learning.split import contiguous_folds, hashed_folds, random_split, shuffled, stratified_split
+from parcelflow.plans.valuation import classify, labelled_listings, price_errors
 from parcelflow.learning.trend import fit_robust_line
 from parcelflow.operators.pricing import RATIO_LABELS, price_attractiveness
 from parcelflow.functions.numeric import great_circle_km
@@ -264,18 +263,13 @@ def _model_rows(spark, folder):
 
 
 def _labelled_rows(spark, folder):
-    labelled = price_attractiveness(_model_rows(spark, folder))
-    kept = labelled.filter(F.col("PRICE_ATTRACTIVENESS") != "Unknown")
-    return kept.select("ID", "PRICE_ATTRACTIVENESS", "PRICE_M2", *FEATURES.columns)
+    labelled = labelled_listings(_model_rows(spark, folder), ["NATION_10", "NATION_11"], "NATION_1")
+    return labelled.select("ID", "PRICE_ATTRACTIVENESS", "PRICE_M2", *FEATURES.columns)
 
 
 @check("rf_classify")
 def rf_classify(spark, folder):
-    rows = _labelled_rows(spark, folder)
-    marked = settle(stratified_split(rows, "PRICE_ATTRACTIVENESS", shuffled("ID")))
-    train, test = (marked.filter(F.col("split") == side) for side in ("train", "test"))
-    model = fit_classifier(train, "PRICE_ATTRACTIVENESS", RATIO_LABELS, FEATURES, trees=10, depth=6)
-    return classification_report(model.transform(test), "PRICE_ATTRACTIVENESS", "PREDICTED")
+    return classify(_labelled_rows(spark, folder), FEATURES, trees=10, depth=6).report
 
 
 @check("rf_regress")
@@ -291,10 +285,8 @@ def rf_regress(spark, folder):
 
 @check("out_of_fold")
 def held_out(spark, folder):
-    rows = contiguous_folds(_labelled_rows(spark, folder), shuffled("ID"), 5)
-    estimator = regressor(rows, "PRICE_M2", FEATURES, trees=5, depth=5)
-    predicted = out_of_fold(rows, estimator, "fold", 5, F.col("PRICE_M2") < 1000)
-    return error_summary(error_columns(predicted, "PRICE_M2", "PREDICTED"), "SIZE_SEGMENT")
+    errors = price_errors(_labelled_rows(spark, folder), FEATURES, trees=5, depth=5)
+    return error_summary(errors, "SIZE_SEGMENT")
 
 
 @check("grid_search")
