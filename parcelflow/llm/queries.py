@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parcelflow.llm import chat, mixing, urls
+from parcelflow.llm import chat, covertree, langid, mixing, urls, vectors
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -102,8 +102,11 @@ def op6_url_filters(spark: SparkSession, folder: str) -> DataFrame:
 def op7_chat_formatting(spark: SparkSession, folder: str) -> DataFrame:
     """Digests of what is read back from every formatted conversation."""
     given = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
-    tricky = spark.createDataFrame(
-        [(TRICKY_ID, 0, "user", TRICKY_TEXT), (TRICKY_ID, 1, "assistant", TRICKY_TEXT)], given.schema
+    tricky = spark.range(2).select(
+        F.lit(TRICKY_ID).cast("long").alias("conv_id"),
+        F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, F.lit("user")).otherwise(F.lit("assistant")).alias("role"),
+        F.lit(TRICKY_TEXT).alias("text"),
     )
     made = chat.format_conversations(given.unionByName(tricky))
     read = made.select(
@@ -123,3 +126,37 @@ def op7_chat_formatting(spark: SparkSession, folder: str) -> DataFrame:
         F.sha2("loss", 256).alias("loss_sha256"),
         "formatted_chars",
     )
+
+
+@query("op1_language_id")
+def op1_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    """Predicted language of every document, learned from four fifths of them."""
+    docs = table(spark, folder, "documents").select("doc_id", "text", "lang")
+    known = docs.filter(~held_out(F.col("doc_id")))
+    model = langid.fit(known)
+    return docs.select(
+        "doc_id", held_out(F.col("doc_id")).alias("held_out"), model.predict(F.col("text")).alias("p")
+    ).select("doc_id", "held_out", "p.lang_pred", "p.score")
+
+
+@query(
+    "op2_exact_topk",
+    """
+    WITH v AS (SELECT vec_id, [floor(64 * CAST(x AS DOUBLE)) FOR x IN embedding] AS e
+        FROM embeddings WHERE embedding IS NOT NULL
+        AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+    s AS (SELECT q.vec_id AS query_id, d.vec_id,
+        CAST(list_inner_product(q.e, d.e) AS BIGINT) AS score
+        FROM v q JOIN v d ON q.vec_id % 20 = 0 AND q.vec_id <> d.vec_id),
+    r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER)
+        AS rank FROM s)
+    SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
+    """,
+)
+def op2_exact_topk(spark: SparkSession, folder: str) -> DataFrame:
+    """The 20 best inner products of every twentieth vector with all others."""
+    vectors_ = table(spark, folder, "embeddings").select("vec_id", "embedding")
+    points = vectors.floored(vectors_, "vec_id", "embedding", scale=64)
+    return covertree.top_k(points.filter("id % 20 = 0"), points, k=20).select(
+        F.col("query_id"), "rank", F.col("id").alias("vec_id"), "score"
+    )

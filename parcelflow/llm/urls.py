@@ -35,7 +35,9 @@ def url_path(url: Column) -> Column:
 
 def rule_table(spark: SparkSession, rules: Sequence[tuple[str, str, str]]) -> DataFrame:
     """Rules given as (verdict, host, path), the path with its leading slash."""
-    return spark.createDataFrame(list(rules), "action string, host string, path string")
+    names = ("action", "host", "path")
+    rows = [F.struct(*[F.lit(v).alias(n) for n, v in zip(names, r, strict=True)]) for r in rules]
+    return spark.range(1).select(F.inline(F.array(*rows)))
 
 
 def _digest(host: Column, path: Column) -> Column:
@@ -105,9 +107,7 @@ def judge(
         lambda n: F.substr(F.col("_path"), F.lit(1), n),
     )
     expressions = F.flatten(
-        F.transform(
-            suffixes, lambda s: F.transform(prefixes, lambda p: _digest(s, p))
-        )
+        F.transform(suffixes, lambda s: F.transform(prefixes, lambda p: _digest(s, p)))
     )
     probes = rows.withColumn("_digest", F.explode_outer(expressions)).withColumn(
         "_prefix", F.substring("_digest", 1, PREFIX_DIGITS)
