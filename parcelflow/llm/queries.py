@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parcelflow.llm import chat, covertree, langid, mixing, urls, vectors
+from parcelflow.llm import cells, chat, covertree, langid, mixing, urls, vectors
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -160,3 +160,26 @@ def op2_exact_topk(spark: SparkSession, folder: str) -> DataFrame:
     return covertree.top_k(points.filter("id % 20 = 0"), points, k=20).select(
         F.col("query_id"), "rank", F.col("id").alias("vec_id"), "score"
     )
+
+
+@query(
+    "op9_embedding_near_dedup",
+    """
+    WITH RECURSIVE v AS (SELECT vec_id, label, [CAST(x AS DOUBLE) FOR x IN embedding] AS e FROM embeddings
+        WHERE embedding IS NOT NULL AND label IS NOT NULL
+        AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0
+        AND len([x FOR x IN embedding IF x <> 0]) > 0),
+    links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b
+        ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+        AND list_cosine_similarity(a.e, b.e) >= 0.98),
+    reach(a, b) AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON l.a = r.b),
+    least AS (SELECT a, min(b) AS b FROM reach GROUP BY a),
+    n AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+    SELECT e.vec_id, coalesce(n.n, 0) AS n_links, least(e.vec_id, coalesce(l.b, e.vec_id)) AS component_id,
+        e.vec_id = least(e.vec_id, coalesce(l.b, e.vec_id)) AS kept
+    FROM embeddings e LEFT JOIN least l ON l.a = e.vec_id LEFT JOIN n ON n.a = e.vec_id
+    """,
+)
+def op9_embedding_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Links, group and survivor of every vector, compared within its label."""
+    return cells.near_duplicates(table(spark, folder, "embeddings"), threshold=0.98)
