@@ -25,8 +25,8 @@ SAMPLE = 4_096
 CENTERS = 64
 # Rows of a block, and of a leaf of a tree within a block.
 QUERY_BLOCK = 1_024
-DATA_BLOCK = 1_024
-LEAF = 64
+DATA_BLOCK = 2_048
+LEAF = 256
 # A node's radius is divided by this from level to level.
 SHRINK = 1.3
 SEED = 5
@@ -87,12 +87,6 @@ def bound(center_a, radius_a, center_b, radius_b) -> float:
     return most + 1e-9 * (1 + (size_a + radius_a) * (size_b + radius_b))
 
 
-def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Inner products of rows of whole numbers; exact if they fit in 64 bits."""
-    largest = np.abs(a).max(initial=0) * np.abs(b).max(initial=0) * max(a.shape[1], 1)
-    return (a @ b.T if largest < EXACT else a.astype(np.int64) @ b.astype(np.int64).T).astype(np.int64)
-
-
 class Search:
     """Best k of every query so far; ties go to the smaller id. Ids are unique.
 
@@ -101,6 +95,7 @@ class Search:
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray, k: int, least: np.ndarray | None = None):
         self.ids, self.vectors, self.k = ids, vectors, k
+        self.largest = np.abs(vectors.astype(float)).max(initial=0)
         self.scores = np.full((len(ids), k), NO_SCORE)
         if least is not None:
             # One less than the known kth score, so that ties with it are still found.
@@ -111,13 +106,16 @@ class Search:
         """Candidates ``ids`` with their scores, a row per query."""
         k = self.k
         scores = np.where(self.ids[queries][:, None] == ids[None, :], NO_SCORE, scores)
-        if scores.shape[1] > 2 * k:
-            # Everything as good as the kth score stays, so ties are settled by id below.
-            least = np.partition(scores, -k, axis=1)[:, -k]
-            wanted = (scores >= np.maximum(least, self.scores[queries, -1])[:, None]).any(axis=0)
-            scores, ids = scores[:, wanted], ids[wanted]
-        if not len(ids):
+        # Scores equal to the kth one stay, as ids settle ties.
+        wanted = (scores >= self.scores[queries, -1][:, None]) & (scores > NO_SCORE)
+        some = wanted.any(axis=1)
+        if not some.any():
             return
+        queries, scores, wanted = queries[some], scores[some], wanted[some]
+        if scores.shape[1] > k:
+            wanted &= scores >= np.partition(scores, -k, axis=1)[:, -k][:, None]
+        columns = wanted.any(axis=0)
+        scores, ids = scores[:, columns], ids[columns]
         scores = np.hstack([self.scores[queries], scores])
         ids = np.hstack([self.found[queries], np.broadcast_to(ids, (len(queries), len(ids)))])
         ids = np.where(scores == NO_SCORE, NO_ID, ids)
@@ -131,6 +129,9 @@ class Search:
         if not len(self.ids) or not len(ids):
             return
         queries, data = Tree(self.vectors.astype(float)), Tree(vectors.astype(float))
+        largest = self.largest * np.abs(data.points).max() * max(vectors.shape[1], 1)
+        # Sums within doubles are exact there, others are computed in 64 bits.
+        left, right = (queries.points, data.points) if largest < EXACT else (self.vectors, vectors)
         stack = [(0, 0)]
         while stack:
             q, d = stack.pop()
@@ -141,7 +142,7 @@ class Search:
             below_q, below_d = queries.children[q], data.children[d]
             if not below_q and not below_d:
                 at = data.rows[d]
-                self.take(rows, ids[at], products(self.vectors[rows], vectors[at]))
+                self.take(rows, ids[at], (left[rows] @ right[at].T).astype(np.int64))
             elif below_q and (not below_d or queries.radii[q] > data.radii[d]):
                 stack += [(c, d) for c in below_q]
             else:
