@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parcelflow.llm import cells, chat, covertree, langid, mixing, urls, vectors
+from parcelflow.llm import cells, chat, covertree, langid, lines, mixing, ordermin, urls, vectors
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -183,3 +183,17 @@ def op2_exact_topk(spark: SparkSession, folder: str) -> DataFrame:
 def op9_embedding_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """Links, group and survivor of every vector, compared within its label."""
     return cells.near_duplicates(table(spark, folder, "embeddings"), threshold=0.98)
+
+
+@query("op3_line_dedup")
+def op3_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Class and survivor of every line of all documents."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return lines.line_classes(docs).drop("doc")
+
+
+@query("op10_minhash_near_dedup")
+def op10_minhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Class of near-duplicates and survivor of every document."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return ordermin.near_duplicates(docs).drop("key")
