@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from parcelflow.llm.graph import blocked, components
 from parcelflow.llm.vectors import usable
 from parcelflow.operators.joins import lookup_join
-from parcelflow.session import settle
+from parcelflow.llm.tables import settle
 
 THRESHOLD = 0.98
 # Vectors the centers are fitted to, rounds of fitting, and vectors of a label per center.

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from parcelflow.session import settle
+from parcelflow.llm.tables import settle
 
 # Vectors sampled to find the centers of level 0, and how many centers at most.
 SAMPLE = 4_096

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parcelflow.session import settle
+from parcelflow.llm.tables import settle
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -36,8 +36,9 @@ def components(edges: DataFrame) -> DataFrame:
     found = rounds[0]
     for later in rounds[1:]:
         step = later.select(F.col("node").alias("root"), F.col("root").alias("next"))
-        found = found.join(step, "root", "left").select("node", F.coalesce("next", "root").alias("root"))
-    return settle(found)
+        found = found.join(step, "root", "left")
+        found = settle(found.select("node", F.coalesce("next", "root").alias("root")))
+    return found
 
 
 def blocked(df: DataFrame, group: list[str], spread: str, size: int) -> DataFrame:

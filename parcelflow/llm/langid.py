@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parcelflow.operators.joins import lookup_join
-from parcelflow.session import settle
+from parcelflow.llm.tables import settle
 
 DIMENSIONS = 512
 ORDER = 3

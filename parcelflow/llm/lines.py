@@ -10,6 +10,8 @@ the corpus is kept.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -18,47 +20,83 @@ from pyspark.sql import functions as F
 from parcelflow.llm.banded import edit_distance
 from parcelflow.llm.graph import blocked, components
 from parcelflow.operators.joins import lookup_join
-from parcelflow.session import settle, stored
+from parcelflow.llm.tables import settle
+from parcelflow.session import stored
 
 THRESHOLD = 2
 # Shorter lines, where two edits change the meaning, are joined only if they are equal.
 MIN_CHARS = 40
 # Lines that one task compares with each other.
 BLOCK = 512
+# Rows given to one call of the comparison, and characters hashed at once.
+CALL = 4_096
+SLICE = 1_000_000
+# White space at the ends of lines.
+BLANK = " \t\r\f\v"
+# An odd base for polynomial hashes in 64 bits and a second odd number for mixing.
+BASE = np.uint64(0x9E3779B97F4A7C15)
+STEP = np.uint64(0xBF58476D1CE4E5B9)
 # Characters are counted in so many classes; an edit changes two counts at most by one each.
 CLASSES = 32
 
 
-def _segments(length: Column, threshold: int) -> list[tuple[Column, Column]]:
-    """Start (from 0) and length of each segment of a line; the last segments are the longer ones."""
-    parts = threshold + 1
-    short = F.floor(length / parts).cast("int")
-    longer = length.cast("int") - short * parts
-    found = []
-    for i in range(parts):
-        extra = F.greatest(longer - (parts - i), F.lit(0))
-        size = short + F.when(F.lit(parts - i) <= longer, 1).otherwise(0)
-        found.append((short * i + extra, size))
-    return found
+def _pieces(length: int | np.ndarray, threshold: int, longer: int, number: int):
+    """Start and length of segment ``number`` in a line shorter by ``longer``; the last segments are the
+    longer ones."""
+    parts, other = threshold + 1, length - longer
+    short, extra = other // parts, other % parts
+    before = np.maximum(number - (parts - extra), 0)
+    return short * number + before, short + (number >= parts - extra)
 
 
-def signatures(line: Column, threshold: int = THRESHOLD) -> Column:
-    """Hashes of (length, segment number, substring): the line's own segments, and the substrings by
-    which a shorter or equally long line within the threshold can be found.
+def signatures(lines: list[str], threshold: int) -> np.ndarray:
+    """A row per line of hashes of (length, segment number, substring): the line's own segments, and the
+    substrings by which a shorter or equally long line within the threshold can be found.
 
     For a line longer by ``d``, segment ``i`` of the other can start so far from its own place as edits
     before and after it allow: left of it at most ``i`` edits, right of it at most ``threshold - i``.
+    All lines are longer than the threshold. Substrings are hashed as polynomials of their characters,
+    whose prefix sums give any of them at once; equal hashes of different substrings only cost time.
     """
-    length = F.length(line)
-    hashes = []
+    codes = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32)
+    lengths = np.fromiter(map(len, lines), np.int64, len(lines))
+    begin = np.cumsum(lengths) - lengths
+    powers = np.cumprod(np.concatenate(([1], np.full(len(codes), BASE, np.uint64))), dtype=np.uint64)
+    inverse = np.uint64(pow(int(BASE), -1, 1 << 64))
+    back = np.cumprod(np.concatenate(([1], np.full(len(codes), inverse, np.uint64))), dtype=np.uint64)
+    terms = (codes.astype(np.uint64) + np.uint64(1)) * STEP * powers[:-1]
+    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(terms, dtype=np.uint64)))
+    found = []
     for d in range(threshold + 1):
-        other = length - F.lit(d)
-        for i, (start, size) in enumerate(_segments(other, threshold)):
+        for i in range(threshold + 1):
+            start, size = _pieces(lengths, threshold, d, i)
             least, most = max(-i, d - (threshold - i)), min(i, d + (threshold - i))
             for shift in range(least, most + 1):
-                piece = F.substr(line, start + F.lit(shift + 1), size)
-                hashes.append(F.xxhash64(other.cast("int"), F.lit(i), piece))
-    return F.array(*hashes)
+                # A start outside of the line cannot match and is moved inside.
+                left = begin + np.clip(start + shift, 0, lengths - size)
+                x = (sums[left + size] - sums[left]) * back[left]
+                x ^= ((lengths - d).astype(np.uint64) * np.uint64(threshold + 1) + np.uint64(i)) * STEP
+                x = (x ^ (x >> np.uint64(31))) * BASE
+                found.append(x ^ (x >> np.uint64(29)))
+    return np.stack(found, axis=1).view(np.int64)
+
+
+def _signed(threshold: int, least: int):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            keep = batch[batch["line"].map(len) >= least]
+            # Slices by size bound the memory whatever the lengths of lines are.
+            slices = keep["line"].map(len).cumsum() // SLICE
+            for _, part in keep.groupby(slices):
+                found = signatures(part["line"].tolist(), threshold)
+                yield pd.DataFrame(
+                    {
+                        "line_id": np.repeat(part["line_id"].to_numpy(), found.shape[1]),
+                        "signature": found.ravel(),
+                    }
+                )
+
+    return run
 
 
 def _counts(lines: list[str]) -> np.ndarray:
@@ -69,31 +107,46 @@ def _counts(lines: list[str]) -> np.ndarray:
     return flat.reshape(len(lines), CLASSES).astype(np.int32)
 
 
+def _linked(group: pd.DataFrame, threshold: int) -> list[tuple[int, int]]:
+    """A spanning forest of the lines of one signature that are within the threshold of each other."""
+    lines, ids = group["line"].tolist(), group["line_id"].tolist()
+    part = group["part"].to_numpy()
+    across = group["part_a"].iat[0] != group["part_b"].iat[0]
+    counts, lengths = _counts(lines), np.array([len(x) for x in lines])
+    root = list(range(len(lines)))
+
+    def find(i: int) -> int:
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return i
+
+    found = []
+    for i in range(len(lines) - 1):
+        near = np.abs(lengths[i + 1 :] - lengths[i]) <= threshold
+        near &= np.abs(counts[i + 1 :] - counts[i]).sum(axis=1) <= 2 * threshold
+        if across:
+            near &= part[i + 1 :] != part[i]
+        for j in (np.nonzero(near)[0] + i + 1).tolist():
+            if find(i) != find(j) and edit_distance(lines[i], lines[j], threshold) <= threshold:
+                found.append((ids[i], ids[j]))
+                root[find(j)] = find(i)
+    return found
+
+
 def _joiner(threshold: int):
-    def join(group: pd.DataFrame) -> pd.DataFrame:
-        """A spanning forest of the lines of a group that are within the threshold of each other."""
-        lines, ids = group["line"].tolist(), group["line_id"].to_numpy()
-        part = group["part"].to_numpy()
-        across = group["part_a"].iloc[0] != group["part_b"].iloc[0]
-        counts, lengths = _counts(lines), np.array([len(x) for x in lines])
-        root = list(range(len(lines)))
-
-        def find(i: int) -> int:
-            while root[i] != i:
-                root[i] = root[root[i]]
-                i = root[i]
-            return i
-
-        found = []
-        for i in range(len(lines) - 1):
-            near = np.abs(lengths[i + 1 :] - lengths[i]) <= threshold
-            near &= np.abs(counts[i + 1 :] - counts[i]).sum(axis=1) <= 2 * threshold
-            if across:
-                near &= part[i + 1 :] != part[i]
-            for j in (np.nonzero(near)[0] + i + 1).tolist():
-                if find(i) != find(j) and edit_distance(lines[i], lines[j], threshold) <= threshold:
-                    found.append((ids[i], ids[j]))
-                    root[find(j)] = find(i)
+    def join(tasks: pd.DataFrame) -> pd.DataFrame:
+        order = ["signature", "part_a", "part_b"]
+        tasks = tasks.sort_values([*order, "line_id"], ignore_index=True)
+        keys = tasks[order].to_numpy()
+        starts = np.nonzero((keys[1:] != keys[:-1]).any(axis=1))[0] + 1
+        found, done = [], set()
+        for a, b in zip([0, *starts], [*starts, len(tasks)], strict=True):
+            # The same lines often meet under several signatures.
+            same = tuple(tasks["line_id"].iloc[a:b])
+            if b - a > 1 and same not in done:
+                done.add(same)
+                found += _linked(tasks.iloc[a:b], threshold)
         return pd.DataFrame(found, columns=["a", "b"])
 
     return join
@@ -105,8 +158,7 @@ def _occurrences(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
         F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), document_key(docs, doc_id, text).alias("doc")
     )
     lines = marked.select("doc_id", "doc", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    stripped = F.regexp_replace("line", r"^\s+|\s+$", "")
-    lines = lines.withColumn("line", stripped).filter("line <> ''")
+    lines = lines.withColumn("line", F.btrim("line", F.lit(BLANK))).filter("line <> ''")
     return lines.withColumn("line_id", F.xxhash64(F.lit(1), "line"))
 
 
@@ -121,19 +173,20 @@ def line_links(lines: DataFrame, threshold: int = THRESHOLD, min_chars: int = MI
 
     Signatures that only one line has are dropped by counting; the texts of the rest are fetched once.
     """
-    long_lines = lines.filter(F.length("line") >= max(min_chars, threshold + 1))
-    probes = long_lines.select(
-        "line_id", F.explode(signatures(F.col("line"), threshold)).alias("signature")
-    )
+    least = max(min_chars, threshold + 1)
+    long_lines = lines.filter(F.length("line") >= least).select("line_id", "line")
+    probes = long_lines.mapInPandas(_signed(threshold, least), "line_id long, signature long")
     met = probes.groupBy("signature").agg(F.min("line_id").alias("low"), F.max("line_id").alias("high"))
     met = settle(met.filter("low <> high").select("signature"))
     members = settle(lookup_join(probes, met, "signature", "inner").distinct())
     wanted = settle(members.select("line_id").distinct())
-    texts = lookup_join(long_lines.select("line_id", "line"), wanted, "line_id", "inner")
+    texts = lookup_join(long_lines, wanted, "line_id", "inner")
     texts = settle(texts.groupBy("line_id").agg(F.min("line").alias("line")))
-    tasks = blocked(members, ["signature"], "line_id", BLOCK)
-    tasks = tasks.join(texts, "line_id")
-    pairs = tasks.groupBy("signature", "part_a", "part_b").applyInPandas(
+    tasks = settle(blocked(members, ["signature"], "line_id", BLOCK))
+    # Small groups share a call; a call has about ``CALL`` rows.
+    calls = max(1, -(-tasks.count() // CALL))
+    call = F.pmod(F.xxhash64("signature", "part_a", "part_b"), F.lit(calls)).alias("call")
+    pairs = tasks.select("*", call).join(texts, "line_id").groupBy("call").applyInPandas(
         _joiner(threshold), "a long, b long"
     )
     return components(pairs)

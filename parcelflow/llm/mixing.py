@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from parcelflow.operators.joins import lookup_join
-from parcelflow.session import settle, stored
+from parcelflow.llm.tables import settle
+from parcelflow.session import stored
 
 WORD = r"[^\x20\x09-\x0D]+"
 GAP = r"[\x20\x09-\x0D]"

@@ -18,7 +18,8 @@ from pyspark.sql import functions as F
 from parcelflow.llm.banded import edit_distance
 from parcelflow.llm.graph import blocked, components
 from parcelflow.operators.joins import lookup_join
-from parcelflow.session import settle, stored
+from parcelflow.llm.tables import settle
+from parcelflow.session import stored
 
 WORDS = 5
 SIMILARITY = 0.8
@@ -27,6 +28,8 @@ RUNS = 3
 # Sketches that a pair of candidates must share outside the first round; a pair at a similarity of 0.8
 # of its runs shares 12 of 24 on average, and fewer than two in one of a million cases.
 SHARED = 2
+# Turns in which every document is compared with one center.
+ROUNDS = 4
 # Documents compared with one center in a task, and candidates compared with each other.
 CENTER_BLOCK = 32
 BLOCK = 1_024
@@ -43,6 +46,11 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
+def text_key(text: Column) -> Column:
+    """Equal for equal texts; null for null and for texts without a word."""
+    return F.when(text.rlike(r"\S"), F.unhex(F.md5(text)))
+
+
 def words_of(text: str) -> list[str]:
     return text.lower().split()
 
@@ -156,6 +164,17 @@ def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFram
     return sent.groupBy("center", "part").applyInPandas(align, "a binary, b binary")
 
 
+def _one_center_each(labelled: DataFrame, turn: int) -> DataFrame:
+    """For each document the center of another class that it shares most sketches with, if any. The
+    center of a sketch is one of its documents, another one in each turn."""
+    drawn = F.min(F.struct(F.xxhash64(F.lit(turn), "key").alias("h"), "key", "label"))
+    centers = settle(labelled.groupBy("band").agg(drawn.alias("c")))
+    centers = centers.select("band", F.col("c.key").alias("center"), F.col("c.label").alias("other"))
+    met = labelled.join(centers, "band").filter("label <> other").groupBy("key", "center").count()
+    best = met.groupBy("key").agg(F.max(F.struct("count", "center")).alias("best"))
+    return best.select("key", F.col("best.center").alias("center"))
+
+
 def _alike(similarity: float, shared: int):
     def compare(group: pd.DataFrame) -> pd.DataFrame:
         """Pairs of different labels that share enough sketches and are similar in length."""
@@ -199,14 +218,13 @@ def near_duplicates(
     (``first_rows`` settles that). A text shorter than ``words`` is one run. An empty table gives no
     rows.
 
-    First every candidate is compared with one center, the smallest document that it shares a sketch
-    with, which settles large groups in as many comparisons as members. Sketches whose documents are
-    then still in different classes are compared in blocks, all pairs across classes.
+    In a few rounds every candidate is compared with one center in another class, the one it shares
+    most sketches with, which settles large groups in as many comparisons as members. Sketches whose
+    documents are then still in different classes are compared in blocks, all pairs across classes.
     """
-    empty = F.regexp_replace(F.col(text), r"\s+", "") == ""
     keyed = docs.select(
         F.col(doc_id).alias(doc_id),
-        F.when(~empty, F.unhex(F.md5(F.col(text)))).alias("key"),
+        text_key(F.col(text)).alias("key"),
         F.col(text).alias("text"),
     )
     sketcher = Sketcher(words, sketches, runs, seed)
@@ -214,9 +232,9 @@ def near_duplicates(
     singles = stored(drawn.groupBy("key").agg(F.first("n_words").alias("n_words"), F.first("sketch").alias("sketch")), "sketches")
     band = F.posexplode("sketch").alias("i", "h")
     bands = singles.select("key", band).select("key", F.xxhash64("i", "h").alias("band"))
-    centers = bands.groupBy("band").agg(F.min("key").alias("center"), F.max("key").alias("last"))
-    centers = settle(centers.filter("center <> last").drop("last"))
-    members = settle(lookup_join(bands, centers, "band", "inner"))
+    shared_bands = bands.groupBy("band").agg(F.min("key").alias("low"), F.max("key").alias("high"))
+    shared_bands = settle(shared_bands.filter("low <> high").select("band"))
+    members = settle(lookup_join(bands, shared_bands, "band", "inner"))
 
     # One text for each candidate: that of its smallest id.
     ids = keyed.groupBy("key").agg(F.min(doc_id).alias("least"), F.count("*").alias("copies"))
@@ -225,11 +243,17 @@ def near_duplicates(
     texts = lookup_join(keyed, settle(wanted), "key", "inner").filter(F.col(doc_id).eqNullSafe(F.col("least")))
     texts = stored(texts.groupBy("key").agg(F.first("text").alias("text")), "texts")
 
-    nearest = members.groupBy("key").agg(F.min("center").alias("center")).filter("key <> center")
-    links = settle(_verified(settle(nearest), texts, similarity))
-    roots = components(links)
-    labelled = members.select("band", "key").join(roots.withColumnRenamed("node", "key"), "key", "left")
-    labelled = settle(labelled.select("band", "key", F.coalesce("root", "key").alias("label")))
+    links = None
+    labelled = members.withColumn("label", F.col("key"))
+    for turn in range(ROUNDS):
+        pairs = settle(_one_center_each(labelled, turn))
+        if pairs.isEmpty():
+            break
+        found = settle(_verified(pairs, texts, similarity))
+        links = found if links is None else settle(links.unionByName(found))
+        roots = components(links)
+        labelled = members.join(roots.withColumnRenamed("node", "key"), "key", "left")
+        labelled = settle(labelled.select("band", "key", F.coalesce("root", "key").alias("label")))
     mixed = labelled.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high"))
     mixed = settle(mixed.filter("low <> high").select("band"))
     open_rows = labelled.join(mixed, "band").join(singles, "key")
@@ -238,7 +262,7 @@ def near_duplicates(
         _alike(similarity, min(SHARED, sketches)), "center binary, key binary"
     )
     more = _verified(settle(pairs.distinct()), texts, similarity)
-    roots = components(settle(links.unionByName(more)))
+    roots = components(more if links is None else settle(links.unionByName(more)))
 
     named = ids.join(roots.withColumnRenamed("node", "key"), "key", "left")
     named = settle(named.withColumn("root", F.coalesce("root", "key")))
@@ -274,8 +298,7 @@ def first_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", *
             "key", F.col(doc_id).alias("_id"), "kept", F.lit(True).alias("_other")
         )
     )
-    key = F.when(~(F.regexp_replace(F.col(text), r"\s+", "") == ""), F.unhex(F.md5(F.col(text))))
-    rows = docs.withColumn("_key", key)
+    rows = docs.withColumn("_key", text_key(F.col(text)))
     found = rows.join(
         other.withColumnRenamed("key", "_other_key"),
         (F.col("_key") == F.col("_other_key")) & F.col(doc_id).eqNullSafe(F.col("_id")),
