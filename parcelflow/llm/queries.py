@@ -7,7 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parcelflow.llm import cells, chat, covertree, langid, lines, mixing, ordermin, urls, vectors
+from parcelflow.llm import (
+    cells,
+    chat,
+    covertree,
+    langid,
+    lines,
+    mixing,
+    ordermin,
+    pieces,
+    toxicity,
+    urls,
+    vectors,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -197,3 +209,22 @@ def op10_minhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """Class of near-duplicates and survivor of every document."""
     docs = table(spark, folder, "documents").select("doc_id", "text")
     return ordermin.near_duplicates(docs).drop("key")
+
+
+@query("op5_toxicity")
+def op5_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    """Toxicity of every document, learned from labels of four fifths of them."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    known = table(spark, folder, "labels").filter(~held_out(F.col("doc_id")))
+    model = toxicity.fit(docs, known)
+    scored = docs.select(
+        "doc_id", held_out(F.col("doc_id")).alias("held_out"), model.score(F.col("text")).alias("score")
+    )
+    return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
+@query("op8_sentencepiece")
+def op8_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
+    """A sampled segmentation of every document and whether decoding gives the text back."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return pieces.encode_documents(docs).drop("text")
