@@ -34,6 +34,9 @@ ROUNDS = 4
 CENTER_BLOCK = 32
 BLOCK = 1_024
 SEED = 29
+# Classes in which words are counted. Two texts cannot share more words than their counts share, so pairs
+# that share too few are no candidates; counting by class never loses a link.
+CLASSES = 256
 # Numbers in a table of hashes.
 TABLE = 1_000_000
 
@@ -128,6 +131,22 @@ def _sketched(docs: DataFrame, sketcher: Sketcher) -> DataFrame:
     return docs.filter("key IS NOT NULL").mapInPandas(run, "key binary, n_words int, sketch array<long>")
 
 
+def _bags(texts: DataFrame) -> DataFrame:
+    """``key`` and ``bag``: how many words of each class a text has, as 32-bit numbers."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        with np.errstate(over="ignore"):
+            for batch in batches:
+                bags = []
+                for text in batch["text"]:
+                    hashes = _word_hashes(words_of(text)) % np.uint64(CLASSES)
+                    counts = np.bincount(hashes.astype(np.int64), minlength=CLASSES)
+                    bags.append(counts.astype(np.uint32).tobytes())
+                yield pd.DataFrame({"key": batch["key"], "bag": bags})
+
+    return texts.mapInPandas(run, "key binary, bag binary")
+
+
 def similarity_limit(n: int, m: int, similarity: float) -> int:
     """Most edits that two texts of so many words may have: similarity is 1 - edits / longer text."""
     return int((1 - similarity) * max(n, m) + 1e-9)
@@ -177,7 +196,8 @@ def _one_center_each(labelled: DataFrame, turn: int) -> DataFrame:
 
 def _alike(similarity: float, shared: int):
     def compare(group: pd.DataFrame) -> pd.DataFrame:
-        """Pairs of different labels that share enough sketches and are similar in length."""
+        """Pairs of different labels that share enough sketches and, by their counts, enough words."""
+        bags = np.stack([np.frombuffer(b, np.uint32) for b in group["bag"]]).astype(np.int64)
         sketch = np.vstack(group["sketch"].to_numpy())
         label, part = pd.factorize(group["label"])[0], group["part"].to_numpy()
         size, keys = group["n_words"].to_numpy(), group["key"].to_numpy()
@@ -192,6 +212,9 @@ def _alike(similarity: float, shared: int):
                 ok &= part[i + 1 :] != part[i]
             at = np.nonzero(ok)[0] + i + 1
             at = at[(sketch[at] == sketch[i]).sum(axis=1) >= shared]
+            longer = np.maximum(size[at], size[i])
+            missing = longer - np.minimum(bags[at], bags[i]).sum(axis=1)
+            at = at[missing <= (1 - similarity) * longer + 1e-9]
             found += [(min(keys[i], keys[j]), max(keys[i], keys[j])) for j in at.tolist()]
         return pd.DataFrame(found, columns=["center", "key"])
 
@@ -256,8 +279,9 @@ def near_duplicates(
         labelled = settle(labelled.select("band", "key", F.coalesce("root", "key").alias("label")))
     mixed = labelled.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high"))
     mixed = settle(mixed.filter("low <> high").select("band"))
-    open_rows = labelled.join(mixed, "band").join(singles, "key")
-    tasks = blocked(settle(open_rows), ["band"], "key", BLOCK)
+    open_rows = settle(labelled.join(mixed, "band").join(singles, "key"))
+    bags = settle(_bags(texts.join(settle(open_rows.select("key").distinct()), "key", "semi")))
+    tasks = blocked(open_rows, ["band"], "key", BLOCK).join(bags, "key")
     pairs = tasks.groupBy("band", "part_a", "part_b").applyInPandas(
         _alike(similarity, min(SHARED, sketches)), "center binary, key binary"
     )
