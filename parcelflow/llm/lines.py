@@ -61,9 +61,10 @@ def signatures(lines: list[str], threshold: int) -> np.ndarray:
     codes = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32)
     lengths = np.fromiter(map(len, lines), np.int64, len(lines))
     begin = np.cumsum(lengths) - lengths
-    powers = np.cumprod(np.concatenate(([1], np.full(len(codes), BASE, np.uint64))), dtype=np.uint64)
-    inverse = np.uint64(pow(int(BASE), -1, 1 << 64))
-    back = np.cumprod(np.concatenate(([1], np.full(len(codes), inverse, np.uint64))), dtype=np.uint64)
+    powers = np.full(len(codes) + 1, BASE, np.uint64)
+    back = np.full(len(codes) + 1, pow(int(BASE), -1, 1 << 64), np.uint64)
+    powers[0] = back[0] = 1
+    powers, back = np.cumprod(powers, dtype=np.uint64), np.cumprod(back, dtype=np.uint64)
     terms = (codes.astype(np.uint64) + np.uint64(1)) * STEP * powers[:-1]
     sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(terms, dtype=np.uint64)))
     found = []
