@@ -139,7 +139,8 @@ class Lattice:
         word = np.repeat(np.arange(len(words)), lengths)
         node = np.arange(len(codes)) + word
         left = np.cumsum(lengths)[word] - np.arange(len(codes))
-        starts, ends, pieces, weights = [], [], [], []
+        spot = np.arange(len(codes)) - (np.cumsum(lengths) - lengths)[word]
+        starts, ends, pieces, weights, places = [], [], [], [], []
         covered = np.zeros(len(codes), bool)
         for length, hashes in enumerate(substring_hashes(codes, vocab.longest), 1):
             inside = vocab.maybe[hashes >> FIRST_BITS] & (left[: len(hashes)] >= length)
@@ -150,6 +151,7 @@ class Lattice:
             at, found = at[known], found[known]
             starts.append(node[at])
             ends.append(node[at] + length)
+            places.append(spot[at] + length)
             pieces.append(vocab.ids[found])
             weights.append(vocab.weights[found])
             if length == 1:
@@ -160,6 +162,7 @@ class Lattice:
         width = 1 + (value > 0x7F) + (value > 0x7FF) + (value > 0xFFFF)
         starts.append(node[bare])
         ends.append(node[bare] + 1)
+        places.append(spot[bare] + 1)
         pieces.append(np.full(len(bare), -1))
         weights.append(width * vocab.byte_weight)
         start, end = np.concatenate(starts), np.concatenate(ends)
@@ -168,8 +171,8 @@ class Lattice:
         self.code_at[node] = codes
 
         # Nodes at the same place of their words are filtered at once.
-        place = end - self.offset[np.searchsorted(self.offset, end, side="right") - 1]
-        order = np.lexsort((piece, end, place))
+        place = np.concatenate(places)
+        order = np.argsort(place * (len(codes) + len(words)) + end, kind="stable")
         start, end, piece, weight, place = (x[order] for x in (start, end, piece, weight, place))
         level = np.searchsorted(place, np.arange(1, int(lengths.max(initial=0)) + 2))
         total = np.zeros(len(codes) + len(words))
