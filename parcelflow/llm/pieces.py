@@ -12,9 +12,12 @@ weight of the last rank for each byte. The model is read, never trained.
 
 from __future__ import annotations
 
+import re
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cache
+from itertools import count, islice
 
 import numpy as np
 import pandas as pd
@@ -27,12 +30,18 @@ SEED = 41
 SPACE = "▁"
 # Stands for a space mark that is in the text itself; no model has it as a piece.
 LITERAL = "﷐"
-# Characters taken together.
-SLICE = 2_000_000
+# Texts taken together: until their different words, and all their words, have so many characters.
+DISTINCT = 1_000_000
+SLICE = 8_000_000
+# Words sampled at once.
+DRAWS = 250_000
 
 # What is left of a hash when its first 20 bits look it up in a table.
 FIRST_BITS = np.uint64(44)
 
+# Spaces with what follows them, to the end of a line; a line break on its own is a word too.
+WORD = re.compile(f"{SPACE}+[^{SPACE}\n]*\n?|[^{SPACE}\n]+\n?|\n")
+
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
@@ -49,12 +58,13 @@ def _codes(text: str) -> np.ndarray:
 
 @dataclass
 class Vocabulary:
-    """Pieces by hash, for all lengths up to ``longest``, and the bytes each id stands for. ``maybe`` says
-    by the first bits of a hash whether any piece has them."""
+    """Pieces by hash, for all lengths up to ``longest``, and the bytes each id stands for. ``first`` gives
+    the place of the first piece with the first bits of a hash, -1 for none; at most ``same`` share them."""
 
     hashes: np.ndarray
     ids: np.ndarray
-    maybe: np.ndarray
+    first: np.ndarray
+    same: int
     weights: np.ndarray
     longest: int
     byte_ids: np.ndarray
@@ -70,13 +80,10 @@ class Vocabulary:
         return self.flat[at].tobytes()
 
 
-def substring_hashes(codes: np.ndarray, longest: int) -> Iterator[np.ndarray]:
-    """For each length from 1, the hash of the substring at every place where it fits."""
-    found, terms = np.zeros(len(codes), np.uint64), codes.astype(np.uint64) + np.uint64(1)
-    for length in range(1, min(longest, len(codes)) + 1):
-        found = (found[: len(codes) - length + 1] ^ terms[length - 1 :]) * _BASE
-        found ^= found >> np.uint64(29)
-        yield found
+def extended(hashes: np.ndarray, terms: np.ndarray) -> np.ndarray:
+    """The hashes of substrings that are longer by one character, given as its code plus one."""
+    found = (hashes ^ terms) * _BASE
+    return found ^ (found >> np.uint64(29))
 
 
 @cache
@@ -99,7 +106,9 @@ def vocabulary(path: str, alpha: float) -> Vocabulary:
             spelled[i] = bytes([int(name[1:-1], 16)])
         elif not (model.is_control(i) or model.is_unknown(i) or SPACE in name.lstrip(SPACE)):
             spelled[i] = name.replace(SPACE, " ").encode()
-            *_, whole = substring_hashes(_codes(name), len(name))
+            whole = np.zeros(1, np.uint64)
+            for code in _codes(name):
+                whole = extended(whole, np.array([code], np.uint64) + np.uint64(1))
             hashes.append(int(whole[0]))
             ids.append(i)
     if (byte_ids < 0).any():
@@ -107,12 +116,14 @@ def vocabulary(path: str, alpha: float) -> Vocabulary:
     hashes, ids = np.array(hashes, np.uint64), np.array(ids)
     by_hash = np.argsort(hashes)
     sizes = np.array([len(b) for b in spelled])
-    maybe = np.zeros(1 << 20, bool)
-    maybe[hashes >> FIRST_BITS] = True
+    bits, begins, shared = np.unique(hashes[by_hash] >> FIRST_BITS, return_index=True, return_counts=True)
+    first = np.full(1 << 20, -1, np.int32)
+    first[bits] = begins
     return Vocabulary(
         hashes[by_hash],
         ids[by_hash],
-        maybe,
+        first,
+        int(shared.max()),
         -alpha * np.log(rank[ids[by_hash]] + 2),
         max(len(names[i]) for i in ids),
         byte_ids,
@@ -124,119 +135,129 @@ def vocabulary(path: str, alpha: float) -> Vocabulary:
 
 
 class Lattice:
-    """Forward-filtered lattices of distinct words, laid end to end.
+    """Forward-filtered lattices of distinct words.
 
-    Node ``offset + p`` is the place after ``p`` characters of a word. ``start`` and ``piece`` are the
-    edges in the order of the nodes that they end in; ``mark`` is the number of the end node plus the
-    share of the edges up to this one in what flows into it, so a random number finds its edge.
+    Nodes are numbered by place: first the beginnings of all words, then what lies after their first
+    character, and so on; within a place longer words come first, so that those that reach it are
+    numbered without gaps. ``start`` and ``piece`` are the edges in the order of the nodes that they end
+    in, where ``first`` finds them; ``share`` is that of the edges up to this one in what flows into the
+    node, so a random number finds its edge.
     """
 
     def __init__(self, words: list[str], vocab: Vocabulary):
-        codes = _codes("".join(words))
         lengths = np.fromiter(map(len, words), np.int64, len(words))
-        self.offset = np.cumsum(lengths + 1) - lengths - 1
-        self.end = self.offset + lengths
+        by_length = np.argsort(-lengths, kind="stable")
+        lengths = lengths[by_length]
+        codes = _codes("".join([words[i] for i in by_length.tolist()]))
+        # How many words have at least so many characters, and the number of the first node of a place.
+        reach = np.searchsorted(-lengths, -np.arange(int(lengths[0]) + 1), side="right")
+        begin = np.concatenate(([0], np.cumsum(reach)))
+        rank = np.empty(len(words), np.int64)
+        rank[by_length] = np.arange(len(words))
+        self.words = len(words)
+        self.end = begin[lengths[rank]] + rank
+
+        spot = np.arange(len(codes)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
         word = np.repeat(np.arange(len(words)), lengths)
-        node = np.arange(len(codes)) + word
-        left = np.cumsum(lengths)[word] - np.arange(len(codes))
-        spot = np.arange(len(codes)) - (np.cumsum(lengths) - lengths)[word]
-        starts, ends, pieces, weights, places = [], [], [], [], []
+        left = np.repeat(lengths, lengths) - spot
+        starts, ends, pieces, weights = [], [], [], []
         covered = np.zeros(len(codes), bool)
-        for length, hashes in enumerate(substring_hashes(codes, vocab.longest), 1):
-            inside = vocab.maybe[hashes >> FIRST_BITS] & (left[: len(hashes)] >= length)
-            at = np.nonzero(inside)[0]
-            hashes = hashes[at]
-            found = np.minimum(np.searchsorted(vocab.hashes, hashes), len(vocab.hashes) - 1)
+
+        def add(at: np.ndarray, length: int, piece: np.ndarray, weight: np.ndarray) -> None:
+            starts.append(begin[spot[at]] + word[at])
+            ends.append(begin[spot[at] + length] + word[at])
+            pieces.append(piece.astype(np.int32))
+            weights.append(weight)
+
+        for length, at, hashes in self._substrings(codes, left, vocab.longest):
+            found = vocab.first[hashes >> FIRST_BITS]
+            some = np.nonzero(found >= 0)[0]
+            at, hashes, found = at[some], hashes[some], found[some]
+            for _ in range(vocab.same - 1):
+                # Hashes are in order, so the next one is the only other that it can be.
+                found += (vocab.hashes[found] < hashes) & (found + 1 < len(vocab.hashes))
             known = vocab.hashes[found] == hashes
             at, found = at[known], found[known]
-            starts.append(node[at])
-            ends.append(node[at] + length)
-            places.append(spot[at] + length)
-            pieces.append(vocab.ids[found])
-            weights.append(vocab.weights[found])
+            add(at, length, vocab.ids[found], vocab.weights[found])
             if length == 1:
                 covered[at] = True
         # Characters without a piece of their own are spelled in bytes: piece -1.
         bare = np.nonzero(~covered)[0]
         value = codes[bare]
         width = 1 + (value > 0x7F) + (value > 0x7FF) + (value > 0xFFFF)
-        starts.append(node[bare])
-        ends.append(node[bare] + 1)
-        places.append(spot[bare] + 1)
-        pieces.append(np.full(len(bare), -1))
-        weights.append(width * vocab.byte_weight)
-        start, end = np.concatenate(starts), np.concatenate(ends)
-        piece, weight = np.concatenate(pieces), np.concatenate(weights)
-        self.code_at = np.zeros(len(codes) + len(words), np.uint32)
-        self.code_at[node] = codes
-
-        # Nodes at the same place of their words are filtered at once.
-        place = np.concatenate(places)
-        order = np.argsort(place * (len(codes) + len(words)) + end, kind="stable")
-        start, end, piece, weight, place = (x[order] for x in (start, end, piece, weight, place))
-        level = np.searchsorted(place, np.arange(1, int(lengths.max(initial=0)) + 2))
-        total = np.zeros(len(codes) + len(words))
-        flow = np.empty(len(start))
-        for a, b in zip(level[:-1], level[1:], strict=True):
-            into = total[start[a:b]] + weight[a:b]
-            first = np.nonzero(np.concatenate(([True], end[a + 1 : b] != end[a : b - 1])))[0]
+        add(bare, 1, np.full(len(bare), -1), width * vocab.byte_weight)
+        self.code_at = np.zeros(begin[-1], np.uint32)
+        self.code_at[begin[spot] + word] = codes
+
+        end = np.concatenate(ends)
+        order = np.argsort(end, kind="stable")
+        end, weight = end[order], np.concatenate(weights)[order]
+        self.start, self.piece = np.concatenate(starts)[order], np.concatenate(pieces)[order]
+        # Every node but the beginnings has an edge, as each character has one of its own.
+        into = np.bincount(end - len(words), minlength=begin[-1] - len(words))
+        firsts = np.concatenate(([0], np.cumsum(into)))
+        self.first = firsts[:-1]
+        # The nodes of a place are filtered at once.
+        total, flow = np.zeros(begin[-1]), np.empty(len(end))
+        for low, high in zip(begin[1:-1].tolist(), begin[2:].tolist(), strict=True):
+            first = firsts[low - len(words) : high - len(words) + 1]
+            a, b, first = first[0], first[-1], first[:-1] - first[0]
+            into = total[self.start[a:b]] + weight[a:b]
+            node = end[a:b] - low
             most = np.maximum.reduceat(into, first)
-            sizes = np.diff(np.append(first, b - a))
-            part = np.exp(into - np.repeat(most, sizes))
+            part = np.exp(into - most[node])
             whole = np.add.reduceat(part, first)
-            total[end[a:b][first]] = most + np.log(whole)
-            flow[a:b] = part / np.repeat(whole, sizes)
-        order = np.argsort(end, kind="stable")
-        self.start, self.piece, end, flow = start[order], piece[order], end[order], flow[order]
+            total[low:high] = most + np.log(whole)
+            flow[a:b] = part / whole[node]
         # Shares are summed within their nodes; the last edge of a node takes up rounding.
         sums = np.cumsum(flow)
-        new = np.concatenate(([True], end[1:] != end[:-1]))
-        first = np.nonzero(new)[0]
-        base = np.repeat(sums[first] - flow[first], np.diff(np.append(first, len(end))))
-        self.mark = end + np.clip(sums - base, 0, 1)
-        last = np.append(first[1:], len(end)) - 1
-        self.mark[last] = end[last] + 1.0
-        self.last = np.zeros(len(total), np.int64)
-        self.last[end[last]] = last
+        before = np.concatenate(([0.0], sums))[firsts[:-1]]
+        self.share = sums - before[end - len(words)]
+        self.share[firsts[1:] - 1] = 1.0
+
+    @staticmethod
+    def _substrings(codes: np.ndarray, left: np.ndarray, longest: int):
+        """For each length, the places where a substring fits into its word, and its hashes."""
+        at, found, terms = np.arange(len(codes)), np.zeros(len(codes), np.uint64), codes.astype(np.uint64)
+        terms += np.uint64(1)
+        for length in range(1, longest + 1):
+            if length > 1:
+                fits = np.nonzero(left[at] >= length)[0]
+                at, found = at[fits], found[fits]
+            if not len(at):
+                return
+            found = extended(found, terms[at + (length - 1)])
+            yield length, at, found
 
     def sample(self, words: np.ndarray, draws: np.ndarray):
         """A way through the lattice of each word: its piece ids, in reading order, and their number.
         ``draws`` seeds each word; byte pieces are given as -1 - character."""
-        node, seeds = self.end[words].copy(), draws.copy()
-        active = np.nonzero(node > self.offset[words])[0]
-        steps = []
+        node, seeds, active = self.end[words], draws, np.arange(len(words))
+        counts, steps = np.zeros(len(words), np.int64), []
         while len(active):
-            at = node[active]
-            seeds[active] = _mixed(seeds[active])
-            u = (seeds[active] >> np.uint64(11)).astype(np.float64) * 2.0**-53
-            edge = np.minimum(np.searchsorted(self.mark, at + u, side="right"), self.last[at])
-            piece, before = self.piece[edge], self.start[edge]
-            spelled = -1 - self.code_at[before].astype(np.int64)
-            steps.append((active, np.where(piece < 0, spelled, piece)))
-            node[active] = before
-            active = active[before > self.offset[words[active]]]
-        if not steps:
-            return np.empty(0, np.int64), np.zeros(len(words), np.int64)
-        row = np.concatenate([s[0] for s in steps])
-        step = np.repeat(np.arange(len(steps)), [len(s[0]) for s in steps])
-        order = np.lexsort((-step, row))
-        return np.concatenate([s[1] for s in steps])[order], np.bincount(row, minlength=len(words))
+            seeds = _mixed(seeds)
+            u = (seeds >> np.uint64(11)).astype(np.float64) * 2.0**-53
+            edge, later = self.first[node - self.words], np.arange(len(node))
+            while len(later):
+                later = later[u[later] >= self.share[edge[later]]]
+                edge[later] += 1
+            piece, node = self.piece[edge], self.start[edge]
+            bare = np.nonzero(piece < 0)[0]
+            piece[bare] = -1 - self.code_at[node[bare]].astype(np.int32)
+            steps.append((active, piece))
+            counts[active] += 1
+            more = np.nonzero(node >= self.words)[0]
+            active, node, seeds = active[more], node[more], seeds[more]
+        # Pieces were drawn from the end.
+        ids, ends = np.empty(counts.sum(), np.int64), np.cumsum(counts)
+        for step, (row, piece) in enumerate(steps):
+            ids[ends[row] - 1 - step] = piece
+        return ids, counts
 
 
 def cut_words(text: str) -> list[str]:
     """The words of a marked text: spaces with what follows them; a line break ends a word."""
-    parts = text.replace("\n", "\n\0").replace(SPACE, "\0" + SPACE).split("\0")
-    words, spaces = [], ""
-    for part in parts:
-        if part == SPACE:
-            spaces += part
-        elif part:
-            if part[0] == SPACE or not spaces:
-                words.append(spaces + part)
-            else:
-                words += [spaces, part]
-            spaces = ""
-    return words + [spaces] if spaces else words
+    return WORD.findall(text)
 
 
 def marked(text: str) -> str:
@@ -264,22 +285,42 @@ def _spelled(ids: np.ndarray, counts: np.ndarray, vocab: Vocabulary):
 def encode(texts: list[str], keys: np.ndarray, vocab: Vocabulary) -> list[np.ndarray]:
     """Sampled piece ids of each text; ``keys`` are 64-bit seeds. Equal texts with equal keys get equal
     ids, whatever other texts are beside them."""
+    found: list[np.ndarray] = []
+    at: defaultdict[str, int] = defaultdict(count().__next__)
+    rows, size, distinct, known = [], 0, 0, 0
+    for text in texts:
+        words = cut_words(marked(text)) if text else []
+        rows.append(np.fromiter(map(at.__getitem__, words), np.int64, len(words)))
+        size += len(text)
+        if len(at) > known:
+            # New words stand at the end.
+            distinct += sum(map(len, islice(reversed(at), len(at) - known)))
+            known = len(at)
+        if size > SLICE or distinct > DISTINCT:
+            found += _encoded(list(at), rows, keys[len(found) : len(found) + len(rows)], vocab)
+            at = defaultdict(count().__next__)
+            rows, size, distinct, known = [], 0, 0, 0
+    return found + _encoded(list(at), rows, keys[len(found) :], vocab)
+
+
+def _encoded(words: list[str], rows: list[np.ndarray], keys: np.ndarray, vocab: Vocabulary) -> list[np.ndarray]:
+    """Sampled piece ids of texts that are given as places in ``words``."""
+    if not words:
+        return [np.empty(0, np.int64) for _ in rows]
     with np.errstate(over="ignore"):
-        at: dict[str, int] = {}
-        rows = [
-            np.array([at.setdefault(w, len(at)) for w in cut_words(marked(t))] if t else [], np.int64)
-            for t in texts
-        ]
-        if not at:
-            return [np.empty(0, np.int64) for _ in texts]
-        lattice = Lattice(list(at), vocab)
+        lattice = Lattice(words, vocab)
         sizes = np.array([len(r) for r in rows])
-        doc = np.repeat(np.arange(len(texts)), sizes)
+        doc = np.repeat(np.arange(len(rows)), sizes)
         place = np.arange(len(doc)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
         draws = _mixed(keys.astype(np.uint64)[doc] ^ _mixed(place.astype(np.uint64) + _BASE))
-        ids, counts = _spelled(*lattice.sample(np.concatenate(rows), draws), vocab)
-    ends = np.cumsum(np.bincount(doc, weights=counts, minlength=len(texts)).astype(np.int64))
-    return np.split(ids, ends[:-1])
+        chosen, ids, counts = np.concatenate(rows), [], []
+        for i in range(0, len(chosen), DRAWS):
+            part = lattice.sample(chosen[i : i + DRAWS], draws[i : i + DRAWS])
+            part = _spelled(*part, vocab)
+            ids.append(part[0])
+            counts.append(part[1])
+    lengths = np.bincount(doc, weights=np.concatenate(counts), minlength=len(rows)).astype(np.int64)
+    return np.split(np.concatenate(ids), np.cumsum(lengths)[:-1])
 
 
 def decode(ids, vocab: Vocabulary) -> str:
@@ -303,12 +344,9 @@ def encode_column(
             found: list = []
             same: list[bool] = []
             given, seeds = texts.tolist(), keys.to_numpy(dtype=np.int64).view(np.uint64)
-            sizes = np.cumsum([len(t or "") for t in given]) // SLICE
-            for part in np.split(np.arange(len(given)), np.nonzero(np.diff(sizes))[0] + 1):
-                some = [given[i] for i in part]
-                for t, ids in zip(some, encode([t or "" for t in some], seeds[part], vocab), strict=True):
-                    found.append(None if t is None else ids.astype(np.int32))
-                    same.append(decode(ids, vocab) == (t or ""))
+            for t, ids in zip(given, encode([t or "" for t in given], seeds, vocab), strict=True):
+                found.append(None if t is None else ids.astype(np.int32))
+                same.append(decode(ids, vocab) == (t or ""))
             yield pd.DataFrame({"ids": found, "lossless": same})
 
     return run(text, F.xxhash64(F.lit(seed), key))
