@@ -24,10 +24,10 @@ def great_circle_km(lat: Column, lon: Column, to_lat: float, to_lon: float) -> C
 
 
 def bin_ordinal(value: Column, breaks: Sequence[float]) -> Column:
-    """Index of the right-closed interval ``value`` falls into; null for null."""
+    """Index of the right-closed interval ``value`` falls into; null for null and NaN."""
     if list(breaks) != sorted(set(breaks)):
         raise ValueError("breaks must ascend")
-    index = F.when(value.isNull(), F.lit(None).cast("int"))
+    index = F.when(not_nan(value).isNull(), F.lit(None).cast("int"))
     for position, upper in enumerate(breaks):
         index = index.when(value <= F.lit(float(upper)), F.lit(position))
     return index.otherwise(F.lit(len(breaks)))

@@ -31,10 +31,12 @@ def first_match_join(
     names are written into the plan, which needs no shuffle. Beyond, texts are cut into their distinct
     pieces of a few letters and equi-joined with the first letters of each name; only the few names
     that share a piece are then looked for in the text, and the one of lowest priority is kept.
-    Pieces travel without their text. Shorter names meet pieces of their own length.
+    Pieces travel without their text. Null names are skipped, equal priorities go by name, and rows with
+    a null key are searched like others. Shorter names meet pieces of their own length.
     """
     if at_most(dictionary, inline):
-        ordered = [row["name"] for row in dictionary.orderBy("priority").collect()]
+        known = dictionary.filter("name IS NOT NULL").orderBy("priority", "name")
+        ordered = [row["name"] for row in known.collect()]
         return df.withColumn(result, first_match_in_text(F.col(text), ordered))
     names = dictionary.select("priority", "name", fold(F.col("name")).alias("probe")).filter(
         F.length("probe") > 0
@@ -49,7 +51,7 @@ def first_match_join(
     cut = df.select(key, F.explode(cut).alias("piece"))
     candidates = (
         lookup_join(cut, names, "piece", "inner")
-        .groupBy(key)
+        .groupBy(F.col(key).alias("_key"))
         .agg(F.collect_set(F.struct("priority", "name", "probe")).alias("_names"))
     )
 
@@ -57,7 +59,7 @@ def first_match_join(
         return F.array_min(F.filter("_names", lambda name: F.contains(body, name["probe"])))["name"]
 
     return (
-        df.join(candidates, key, "left")
+        df.join(candidates, F.col(key).eqNullSafe(F.col("_key")), "left")
         .withColumn(result, computed_once(searched, best))
         .select(*df.columns, result)
     )

@@ -189,7 +189,7 @@ def group_quantiles(
     ``linear`` interpolates between neighbours, ``nearest`` takes the element at
     ``round(p * (n - 1))``. ``strategy`` is ``builtin`` (one aggregate, a group in one task),
     ``cells`` (see the module) or ``auto``, which takes ``builtin`` for small inputs only. Groups
-    without any value are left out by ``cells`` and hold nulls with ``builtin``.
+    without any value are left out.
     """
     if strategy not in ("auto", "builtin", "cells"):
         raise ValueError(strategy)
@@ -200,6 +200,8 @@ def group_quantiles(
         direct = df.groupBy(*keys).agg(
             *[F.percentile(not_nan(F.col(value).cast("double")), points).alias(value) for value in values]
         )
+        if keys:
+            direct = direct.filter(F.coalesce(*values).isNotNull())
         return direct.select(
             *keys,
             *[

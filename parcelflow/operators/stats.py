@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from parcelflow.functions.numeric import not_nan
 from parcelflow.operators.joins import lookup_join
 from parcelflow.operators.selection import group_quantiles, summarise
 from parcelflow.session import settle
@@ -44,9 +45,10 @@ def group_stats(
 ) -> DataFrame:
     """Several functions of several columns per group, named ``<column>_<function>``.
 
-    Rows with a null key belong to no group.
+    Rows with a null key belong to no group; NaN counts as missing.
     """
-    known = df
+    floats = [c for c, kind in df.dtypes if c in columns and kind in ("double", "float")]
+    known = df.withColumns({c: not_nan(F.col(c)) for c in floats if c not in keys})
     for key in keys:
         known = known.filter(F.col(key).isNotNull())
     plain = {f"{c}_{f}": FUNCTIONS[f](c) for c in columns for f in functions if f != "median"}
@@ -58,19 +60,15 @@ def group_stats(
     )
 
 
-def total_or_zero(value: Column) -> Column:
-    """Sum that is 0 where there is nothing to add."""
-    return F.coalesce(F.sum(value), F.lit(0.0))
-
-
 def boxplot_stats(
     df: DataFrame, key: str, column: str, whisker: float = 1.5, strategy: str = "auto"
 ) -> DataFrame:
     """Quartiles, whiskers at the outermost points inside the fences, number of points outside.
 
-    The second pass joins the fences of a bounded number of groups back to the rows.
+    The second pass joins the fences of a bounded number of groups back to the rows. NaN counts as
+    missing.
     """
-    known = df.select(key, column).filter(F.col(key).isNotNull() & F.col(column).isNotNull())
+    known = df.select(key, column).filter(F.col(key).isNotNull() & not_nan(F.col(column)).isNotNull())
     quartiles = group_quantiles(
         known, [key], [column], {"q1": 0.25, "median": 0.5, "q3": 0.75}, strategy=strategy
     ).select(key, *[F.col(f"{column}_{q}").alias(q) for q in ("q1", "median", "q3")])
@@ -108,7 +106,7 @@ def histogram(df: DataFrame, column: str, bins: int = 500) -> DataFrame:
 
     Empty bins are listed with 0. A constant column is spread over a range of one around it.
     """
-    known = df.select(F.col(column).cast("double").alias("x")).filter(F.col("x").isNotNull())
+    known = df.select(not_nan(F.col(column).cast("double")).alias("x")).filter(F.col("x").isNotNull())
     flat = F.col("s.lo") == F.col("s.hi")
     low = F.when(flat, F.col("s.lo") - 0.5).otherwise(F.col("s.lo"))
     width = F.when(flat, F.lit(1.0)).otherwise(F.col("s.hi") - F.col("s.lo")) / F.lit(float(bins))
@@ -141,7 +139,7 @@ def kernel_density(
     values count as the middle of one of so many equal parts of the range, which bounds the kernels
     to evaluate whatever the number of rows; ten thousand are far finer than any bandwidth.
     """
-    known = df.select(F.col(column).cast("double").alias("x")).filter(F.col("x").isNotNull())
+    known = df.select(not_nan(F.col(column).cast("double")).alias("x")).filter(F.col("x").isNotNull())
     value = F.col("x")
     if bins is not None:
         low, width = F.col("s.lo"), (F.col("s.hi") - F.col("s.lo")) / F.lit(float(bins))
@@ -186,8 +184,8 @@ def melt(
 def column_summary(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Smallest and largest value over all ``columns`` together and the largest of each."""
     return df.agg(
-        F.least(*[F.min(c) for c in columns]).alias("smallest"),
-        F.greatest(*[F.max(c) for c in columns]).alias("largest"),
+        F.array_min(F.array(*[F.min(c) for c in columns])).alias("smallest"),
+        F.array_max(F.array(*[F.max(c) for c in columns])).alias("largest"),
         *[F.max(c).alias(f"max_{c}") for c in columns],
     )
 

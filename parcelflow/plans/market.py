@@ -48,13 +48,14 @@ def daily_market_stats(
 ) -> DataFrame:
     """Counts, means, sums and exact medians of the listings active on each day, ordered by day.
 
-    Days before the earliest ``end`` are left out. ``explode`` makes one row per listing and day and
+    Days before the earliest ``end`` are left out; NaN counts as missing. ``explode`` makes one row per listing and day and
     aggregates them; ``changes`` sums what starts and ends on each day and revisits only rows near
     the medians; ``auto`` explodes small inputs.
     """
     if strategy not in ("auto", "explode", "changes"):
         raise ValueError(strategy)
-    needed = listings.select("ID", start, end, "PRICE", "PRICE_M2", "AREA_M2")
+    numbers = {c: not_nan(F.col(c)) for c in ("PRICE", "PRICE_M2", "AREA_M2")}
+    needed = listings.select("ID", start, end, *numbers).withColumns(numbers)
     if strategy == "explode" or strategy == "auto" and is_small(needed, EXPLODED_BYTES):
         series = _by_explode(needed, start, end)
     else:

@@ -25,11 +25,16 @@ def write_snapshot(df: DataFrame, root: str, day: dt.date | str, files: int | No
 
 
 def snapshot_days(spark: SparkSession, root: str) -> list[str]:
-    """Days for which a snapshot folder exists, oldest first: one folder listing, no data read."""
+    """Days whose snapshot was written to its end, oldest first: folders are listed, no data is read."""
     path = spark._jvm.org.apache.hadoop.fs.Path(root)
     system = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    names = [item.getPath().getName() for item in system.listStatus(path) if item.isDirectory()]
-    return sorted(n.split("=", 1)[1] for n in names if n.startswith(f"{PARTITION}="))
+    folders = [item.getPath() for item in system.listStatus(path) if item.isDirectory()]
+    return sorted(
+        f.getName().split("=", 1)[1]
+        for f in folders
+        if f.getName().startswith(f"{PARTITION}=")
+        and system.exists(spark._jvm.org.apache.hadoop.fs.Path(f, "_SUCCESS"))
+    )
 
 
 def latest_snapshot(spark: SparkSession, root: str) -> DataFrame:
