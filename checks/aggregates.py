@@ -53,7 +53,9 @@ def listed(spark, folder, *more):
     )
 
 
-_DAYS = ", ".join(f"({i + 1}, '{name}')" for i, name in enumerate(lomza.WEEKDAYS))
+# The last category has no rows.
+CATEGORIES = [*lomza.WEEKDAYS, "Bez dnia"]
+_DAYS = ", ".join(f"({i + 1}, '{name}')" for i, name in enumerate(CATEGORIES))
 
 
 @check(
@@ -61,15 +63,15 @@ _DAYS = ", ".join(f"({i + 1}, '{name}')" for i, name in enumerate(lomza.WEEKDAYS
     f"""
     WITH d(ordinal, name) AS (VALUES {_DAYS}),
     c AS (SELECT isodow(CAST(o_orderdate AS DATE)) AS dow, count(*) AS n FROM orders
-          WHERE isodow(CAST(o_orderdate AS DATE)) <> 7 GROUP BY 1)
+          GROUP BY 1)
     SELECT name AS DAY_NAME_PL, CAST(ordinal - 1 AS INTEGER) AS ordinal, n FROM d LEFT JOIN c ON dow = ordinal""",
 )
 def weekday_counts(spark, folder):
     named = table(spark, folder, "orders").select(
         weekday_label(F.to_date("o_orderdate"), lomza.WEEKDAYS).alias("DAY_NAME_PL")
     )
-    weekdays = ordered_categories(spark, lomza.WEEKDAYS, "DAY_NAME_PL")
-    return stats.ordered_counts(named.filter(F.col("DAY_NAME_PL") != "Niedziela"), "DAY_NAME_PL", weekdays)
+    weekdays = ordered_categories(spark, CATEGORIES, "DAY_NAME_PL")
+    return stats.ordered_counts(named, "DAY_NAME_PL", weekdays)
 
 
 @check(
