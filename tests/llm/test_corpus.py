@@ -302,14 +302,17 @@ def test_chat_is_read_back_exactly(spark):
     assert chat.format_conversations(turns.limit(0)).isEmpty()
 
 
-def test_pieces_are_lossless_and_repeatable(spark, odd):
-    texts = ["a", " two  spaces ", "\n\n x\n", "▁ and ▁▁", "日本 é 😀", "\t", "y" * 5000, "</s><s>"]
+def test_pieces_are_lossless_and_repeatable(spark, odd, monkeypatch):
+    texts = ["a", " two  spaces ", "\n\n x\n", "▁ and ▁▁", "日本 é 😀", "\t", "y" * 5000, "</s><s>", "a\0b", " " * 300, "\n", ""]
     vocab = pieces.vocabulary(pieces.MODEL, 1.0)
     keys = np.arange(len(texts), dtype=np.uint64)
     coded = pieces.encode(texts, keys, vocab)
     assert [pieces.decode(x, vocab) for x in coded] == texts
     alone = [pieces.encode([t], keys[i : i + 1], vocab)[0] for i, t in enumerate(texts)]
     assert all((a == b).all() for a, b in zip(coded, alone, strict=True))
+    # Nor does it matter where a slice ends.
+    monkeypatch.setattr(pieces, "DISTINCT", 3)
+    assert all((a == b).all() for a, b in zip(coded, pieces.encode(texts, keys, vocab), strict=True))
     rows = pieces.encode_documents(odd)
     assert rows.filter("NOT lossless").isEmpty() and rows.count() == odd.count()
     back = rows.filter(~F.col("text").eqNullSafe(pieces.decode_column(F.col("ids"))))
