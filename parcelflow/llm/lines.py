@@ -1,11 +1,11 @@
-"""Line deduplication by a segment-partition edit join.
-
-A line is split into ``threshold + 1`` segments of nearly equal length; of two lines within ``threshold``
-edits, the shorter has a segment that stands unchanged in the longer one, near the same place. Segments
-go into an index by length of line and number of segment; lines probe the indexes of their own and of
-the lengths just below with the substrings that can match. Where two different lines meet, banded
-bit-parallel edit distance decides. Lines connected in this way form a class, of which the first line in
-the corpus is kept.
+"""Line deduplication by an edit join over rare grams.
+
+Lines are compared by their runs of ``q`` characters (grams), ordered by how rare they are. A line gives as
+signatures its rarest grams, so many that no set of permitted edits touches all of them: grams that do
+not overlap, one more than edits. Of two lines within the limit, the one whose signatures end earlier in
+the order has one that stands unchanged in the other, where it is a signature too; no pair is lost.
+Lengths and counts of characters rule pairs out without loss, and banded bit-parallel edit distance
+decides. Lines connected in this way form a class, of which the first line in the corpus is kept.
 """
 
 from __future__ import annotations
@@ -26,10 +26,22 @@ from parcelflow.session import stored
 THRESHOLD = 2
 # Shorter lines, where two edits change the meaning, are joined only if they are equal.
 MIN_CHARS = 40
+# Edits that grow with the line: a twentieth of its characters, one from 15 characters on.
+NEAR = {"threshold": 1, "min_chars": 15, "share": 0.05}
+# Longest gram; a multiple of it is the distance at which grams are tried.
+GRAM = 7
+PERIOD = 12
+# Lines and characters of each whose grams are counted to order them, and counters. Another order finds
+# the same pairs.
+SAMPLE = 8_192
+SAMPLE_CHARS = 1_000
+COUNTERS = 1 << 20
+# Turns in which every line is compared with one line of each signature.
+ROUNDS = 2
 # Lines that one task compares with each other.
 BLOCK = 512
 # Rows given to one call of the comparison, and characters hashed at once.
-CALL = 4_096
+CALL = 16_384
 SLICE = 1_000_000
 # White space at the ends of lines.
 BLANK = " \t\r\f\v"
@@ -37,122 +49,171 @@ BLANK = " \t\r\f\v"
 BASE = np.uint64(0x9E3779B97F4A7C15)
 STEP = np.uint64(0xBF58476D1CE4E5B9)
 # Characters are counted in so many classes; an edit changes two counts at most by one each.
-CLASSES = 32
+CLASSES = 16
 
 
-def _pieces(length: int | np.ndarray, threshold: int, longer: int, number: int):
-    """Start and length of segment ``number`` in a line shorter by ``longer``; the last segments are the
-    longer ones."""
-    parts, other = threshold + 1, length - longer
-    short, extra = other // parts, other % parts
-    before = np.maximum(number - (parts - extra), 0)
-    return short * number + before, short + (number >= parts - extra)
+def edits(length, threshold: int, share: float):
+    """Most edits between two lines of which the longer one has ``length`` characters."""
+    return np.maximum(threshold, np.floor(share * np.asarray(length) + 1e-9).astype(np.int64))
 
 
-def signatures(lines: list[str], threshold: int) -> np.ndarray:
-    """A row per line of hashes of (length, segment number, substring): the line's own segments, and the
-    substrings by which a shorter or equally long line within the threshold can be found.
+def _most(length, threshold: int, share: float):
+    """Most edits between a line and any longer one."""
+    longest = np.maximum(np.asarray(length) + threshold, np.floor(np.asarray(length) / (1 - share) + 1e-9))
+    return edits(longest, threshold, share)
 
-    For a line longer by ``d``, segment ``i`` of the other can start so far from its own place as edits
-    before and after it allow: left of it at most ``i`` edits, right of it at most ``threshold - i``.
-    All lines are longer than the threshold. Substrings are hashed as polynomials of their characters,
-    whose prefix sums give any of them at once; equal hashes of different substrings only cost time.
+
+def gram_size(threshold: int, min_chars: int, share: float) -> int:
+    """Length of grams of which every line has more than edits without overlap."""
+    lengths = np.arange(min_chars, min_chars + 10_000)
+    return max(1, min(GRAM, int((lengths // (_most(lengths, threshold, share) + 1)).min())))
+
+
+def _grams(lines: list[str], q: int) -> np.ndarray:
+    """Hashes of the runs of ``q`` characters of the joined lines."""
+    codes = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    x = np.zeros(max(0, len(codes) - q + 1), np.uint64)
+    for i in range(q):
+        x = x * BASE + codes[i : i + len(x)] + np.uint64(1)
+    x = (x ^ (x >> np.uint64(31))) * STEP
+    return x ^ (x >> np.uint64(29))
+
+
+def _seen(lines: list[str], q: int) -> np.ndarray:
+    """How often grams of each hash occur in a sample, as a table for :func:`signatures`."""
+    places = [(_grams([x], q) % np.uint64(COUNTERS)).astype(np.int64) for x in lines]
+    counts = np.zeros(COUNTERS, np.int64) if not places else np.bincount(np.concatenate(places), minlength=COUNTERS)
+    return np.minimum(counts, (1 << 20) - 1).astype(np.uint32)
+
+
+def signatures(lines: list[str], seen: np.ndarray, q: int, threshold: int, share: float) -> list[np.ndarray]:
+    """For each line the hashes of its rarest grams, of which at least one outlasts the edits.
+
+    Where one gram is taken in each of ``_most + 1`` stretches that do not overlap, all grams as rare as
+    the last of these are enough; a line with too few stretches gives all its grams.
     """
-    codes = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32)
+    hashes = _grams(lines, q)
+    order = seen[(hashes % np.uint64(COUNTERS)).astype(np.int64)].astype(np.uint64)
+    order = order << np.uint64(40) | hashes >> np.uint64(24)
     lengths = np.fromiter(map(len, lines), np.int64, len(lines))
-    begin = np.cumsum(lengths) - lengths
-    powers = np.full(len(codes) + 1, BASE, np.uint64)
-    back = np.full(len(codes) + 1, pow(int(BASE), -1, 1 << 64), np.uint64)
-    powers[0] = back[0] = 1
-    powers, back = np.cumprod(powers, dtype=np.uint64), np.cumprod(back, dtype=np.uint64)
-    terms = (codes.astype(np.uint64) + np.uint64(1)) * STEP * powers[:-1]
-    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(terms, dtype=np.uint64)))
-    found = []
-    for d in range(threshold + 1):
-        for i in range(threshold + 1):
-            start, size = _pieces(lengths, threshold, d, i)
-            least, most = max(-i, d - (threshold - i)), min(i, d + (threshold - i))
-            for shift in range(least, most + 1):
-                # A start outside of the line cannot match and is moved inside.
-                left = begin + np.clip(start + shift, 0, lengths - size)
-                x = (sums[left + size] - sums[left]) * back[left]
-                x ^= ((lengths - d).astype(np.uint64) * np.uint64(threshold + 1) + np.uint64(i)) * STEP
-                x = (x ^ (x >> np.uint64(31))) * BASE
-                found.append(x ^ (x >> np.uint64(29)))
-    return np.stack(found, axis=1).view(np.int64)
-
-
-def _signed(threshold: int, least: int):
+    wanted = _most(lengths, threshold, share).tolist()
+    found, begin, free = [], 0, PERIOD - q + 1
+    for length, most in zip(lengths.tolist(), wanted, strict=True):
+        end = begin + length - q + 1
+        own, rank = hashes[begin:end], order[begin:end]
+        stretches = len(rank) // PERIOD
+        # The last stretch may be cut short by the end of the line.
+        if stretches > most:
+            least = rank[: stretches * PERIOD].reshape(-1, PERIOD)[:, :free].min(axis=1)
+            own = own[rank <= np.partition(least, most)[most]]
+        found.append(np.unique(own).view(np.int64))
+        begin += length
+    return found
+
+
+def _counts(lines: list[str]) -> np.ndarray:
+    """How many characters of each class a line has, modulo 256."""
+    joined = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32)
+    row = np.repeat(np.arange(len(lines)), [len(x) for x in lines])
+    flat = np.bincount(row * CLASSES + joined % CLASSES, minlength=len(lines) * CLASSES)
+    return flat.reshape(len(lines), CLASSES).astype(np.uint8)
+
+
+def _signed(seen: np.ndarray, q: int, threshold: int, least: int, share: float):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            keep = batch[batch["line"].map(len) >= least]
+            lengths = batch["line"].map(len)
+            keep = batch[lengths >= least]
             # Slices by size bound the memory whatever the lengths of lines are.
-            slices = keep["line"].map(len).cumsum() // SLICE
+            slices = lengths[lengths >= least].cumsum() // SLICE
             for _, part in keep.groupby(slices):
-                found = signatures(part["line"].tolist(), threshold)
+                lines = part["line"].tolist()
+                with np.errstate(over="ignore"):
+                    found = signatures(lines, seen, q, threshold, share)
+                sizes = [len(x) for x in found]
+                bags = [x.tobytes() for x in _counts(lines)]
                 yield pd.DataFrame(
                     {
-                        "line_id": np.repeat(part["line_id"].to_numpy(), found.shape[1]),
-                        "signature": found.ravel(),
+                        "line_id": np.repeat(part["line_id"].to_numpy(), sizes),
+                        "signature": np.concatenate(found),
+                        "n": np.repeat(part["line"].map(len).to_numpy(), sizes),
+                        "bag": np.repeat(np.array(bags, object), sizes),
                     }
                 )
 
     return run
 
 
-def _counts(lines: list[str]) -> np.ndarray:
-    """How many characters of each class a line has."""
-    joined = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32)
-    row = np.repeat(np.arange(len(lines)), [len(x) for x in lines])
-    flat = np.bincount(row * CLASSES + joined % CLASSES, minlength=len(lines) * CLASSES)
-    return flat.reshape(len(lines), CLASSES).astype(np.int32)
-
-
-def _linked(group: pd.DataFrame, threshold: int) -> list[tuple[int, int]]:
-    """A spanning forest of the lines of one signature that are within the threshold of each other."""
-    lines, ids = group["line"].tolist(), group["line_id"].tolist()
-    part = group["part"].to_numpy()
-    across = group["part_a"].iat[0] != group["part_b"].iat[0]
-    counts, lengths = _counts(lines), np.array([len(x) for x in lines])
-    root = list(range(len(lines)))
-
-    def find(i: int) -> int:
-        while root[i] != i:
-            root[i] = root[root[i]]
-            i = root[i]
-        return i
-
-    found = []
-    for i in range(len(lines) - 1):
-        near = np.abs(lengths[i + 1 :] - lengths[i]) <= threshold
-        near &= np.abs(counts[i + 1 :] - counts[i]).sum(axis=1) <= 2 * threshold
-        if across:
-            near &= part[i + 1 :] != part[i]
-        for j in (np.nonzero(near)[0] + i + 1).tolist():
-            if find(i) != find(j) and edit_distance(lines[i], lines[j], threshold) <= threshold:
-                found.append((ids[i], ids[j]))
-                root[find(j)] = find(i)
-    return found
+def _possible(n_a, n_b, bag_a, bag_b, threshold: int, share: float) -> np.ndarray:
+    """False for pairs that lengths or counts of characters show to be too different."""
+    most = edits(np.maximum(n_a, n_b), threshold, share)
+    ok = np.abs(n_a - n_b) <= most
+    change = bag_a[ok] - bag_b[ok]
+    # Counts are known modulo 256, so the nearer way round is the least change.
+    ok[ok] = np.minimum(change, -change).sum(axis=1, dtype=np.int64) <= 2 * most[ok]
+    return ok
+
+
+def _bags(column: pd.Series) -> np.ndarray:
+    return np.frombuffer(b"".join(column), np.uint8).reshape(-1, CLASSES)
+
+
+def _near_center(threshold: int, share: float):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for x in batches:
+            n, m = x["n"].to_numpy(np.int64), x["m"].to_numpy(np.int64)
+            ok = _possible(n, m, _bags(x["bag"]), _bags(x["other"]), threshold, share)
+            yield x.loc[ok, ["center", "line_id"]].drop_duplicates().set_axis(["a", "b"], axis=1)
+
+    return run
 
 
-def _joiner(threshold: int):
+def _joiner(threshold: int, share: float):
     def join(tasks: pd.DataFrame) -> pd.DataFrame:
+        """Pairs of different labels that share a signature and may be within the limit."""
         order = ["signature", "part_a", "part_b"]
-        tasks = tasks.sort_values([*order, "line_id"], ignore_index=True)
-        keys = tasks[order].to_numpy()
-        starts = np.nonzero((keys[1:] != keys[:-1]).any(axis=1))[0] + 1
-        found, done = [], set()
-        for a, b in zip([0, *starts], [*starts, len(tasks)], strict=True):
-            # The same lines often meet under several signatures.
-            same = tuple(tasks["line_id"].iloc[a:b])
-            if b - a > 1 and same not in done:
-                done.add(same)
-                found += _linked(tasks.iloc[a:b], threshold)
-        return pd.DataFrame(found, columns=["a", "b"])
+        tasks = tasks.sort_values([*order, "n"], ignore_index=True)
+        group = tasks.groupby(order, sort=False).ngroup().to_numpy()
+        across = (tasks["part_a"] != tasks["part_b"]).to_numpy()
+        part, label, n = (tasks[c].to_numpy(np.int64) for c in ("part", "label", "n"))
+        ids, bags = tasks["line_id"].to_numpy(), _bags(tasks["bag"])
+        limit, found = edits(n, threshold, share), [np.empty((0, 2), np.int64)]
+        at, ahead = np.arange(len(n)), 0
+        while len(at):
+            # Lines of a group are sorted by length: one that is too long for a line ends its turn.
+            ahead += 1
+            at = at[at + ahead < len(n)]
+            to = at + ahead
+            at = at[(group[to] == group[at]) & (n[to] - n[at] <= np.maximum(limit[to], limit[at]))]
+            to = at + ahead
+            ok = (label[to] != label[at]) & (~across[at] | (part[to] != part[at]))
+            a, b = at[ok], to[ok]
+            ok = _possible(n[a], n[b], bags[a], bags[b], threshold, share)
+            found.append(np.stack((ids[a[ok]], ids[b[ok]]), axis=1))
+        pairs = np.unique(np.sort(np.concatenate(found), axis=1), axis=0)
+        return pd.DataFrame(pairs, columns=["a", "b"])
 
     return join
 
 
+def _within(pairs: DataFrame, texts: DataFrame, threshold: int, share: float) -> DataFrame:
+    """The pairs whose texts are within the limit."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for x in batches:
+            ok = []
+            for a, b in zip(x["text_a"], x["text_b"], strict=True):
+                most = int(edits(max(len(a), len(b)), threshold, share))
+                ok.append(edit_distance(a, b, most) <= most)
+            yield x.loc[np.array(ok, bool), ["a", "b"]]
+
+    wanted = pairs.select(F.col("a").alias("line_id")).union(pairs.select("b")).distinct()
+    own = settle(lookup_join(texts, settle(wanted), "line_id", "inner").groupBy("line_id").agg(F.min("line").alias("line")))
+    both = lookup_join(pairs, own.withColumnsRenamed({"line_id": "a", "line": "text_a"}), "a", "inner")
+    both = lookup_join(both, own.withColumnsRenamed({"line_id": "b", "line": "text_b"}), "b", "inner")
+    return settle(both.select("a", "b", "text_a", "text_b").mapInPandas(run, "a long, b long"))
+
+
 def _occurrences(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     """A row per line with something in it; ``doc`` tells documents with equal ids apart by text."""
     marked = docs.select(
@@ -169,28 +230,60 @@ def document_key(docs: DataFrame, doc_id: str, text: str) -> Column:
     return F.unhex(F.md5(F.concat_ws("\n", name, F.col(text))))
 
 
-def line_links(lines: DataFrame, threshold: int = THRESHOLD, min_chars: int = MIN_CHARS) -> DataFrame:
-    """``node`` and ``root`` of the different lines that are connected by at most ``threshold`` edits.
+def line_links(
+    lines: DataFrame, threshold: int = THRESHOLD, min_chars: int = MIN_CHARS, share: float = 0.0
+) -> DataFrame:
+    """``node`` and ``root`` of the different lines that are connected by few edits: ``threshold``, or
+    ``share`` of the longer line if that is more.
 
-    Signatures that only one line has are dropped by counting; the texts of the rest are fetched once.
+    Signatures that only one line has are dropped by counting. In a few rounds every line is compared with
+    one line of each of its signatures, which settles large groups; what is then still in different
+    classes is compared in blocks.
     """
     least = max(min_chars, threshold + 1)
+    q = gram_size(threshold, least, share)
     long_lines = lines.filter(F.length("line") >= least).select("line_id", "line")
-    probes = long_lines.mapInPandas(_signed(threshold, least), "line_id long, signature long")
+    some = long_lines.select("line_id", F.substring("line", 1, SAMPLE_CHARS).alias("line"))
+    sample = [r["line"] for r in some.orderBy("line_id").limit(SAMPLE).collect()]
+    with np.errstate(over="ignore"):
+        seen = _seen(sample, q)
+    probes = long_lines.mapInPandas(
+        _signed(seen, q, threshold, least, share), "line_id long, signature long, n int, bag binary"
+    )
     met = probes.groupBy("signature").agg(F.min("line_id").alias("low"), F.max("line_id").alias("high"))
     met = settle(met.filter("low <> high").select("signature"))
     members = settle(lookup_join(probes, met, "signature", "inner").distinct())
-    wanted = settle(members.select("line_id").distinct())
-    texts = lookup_join(long_lines, wanted, "line_id", "inner")
-    texts = settle(texts.groupBy("line_id").agg(F.min("line").alias("line")))
-    tasks = settle(blocked(members, ["signature"], "line_id", BLOCK))
+    labelled, links = members.withColumn("label", F.col("line_id")), None
+    for turn in range(ROUNDS):
+        drawn = F.min(F.struct(F.xxhash64(F.lit(turn), "line_id").alias("h"), "line_id", "n", "bag", "label"))
+        centers = labelled.groupBy("signature").agg(drawn.alias("c"))
+        centers = settle(
+            centers.select(
+                "signature",
+                F.col("c.line_id").alias("center"),
+                F.col("c.n").alias("m"),
+                F.col("c.bag").alias("other"),
+                F.col("c.label").alias("own"),
+            )
+        )
+        beside = labelled.join(centers, "signature").filter("label <> own")
+        beside = beside.select("center", "line_id", "n", "m", "bag", "other")
+        near = beside.mapInPandas(_near_center(threshold, share), "a long, b long")
+        found = _within(settle(near.distinct()), long_lines, threshold, share)
+        links = found if links is None else settle(links.unionByName(found))
+        roots = components(links).withColumnRenamed("node", "line_id")
+        labelled = lookup_join(members, roots, "line_id")
+        labelled = labelled.withColumn("label", F.coalesce("root", "line_id")).drop("root")
+        mixed = labelled.groupBy("signature").agg(F.min("label").alias("low"), F.max("label").alias("high"))
+        mixed = settle(mixed.filter("low <> high").select("signature"))
+        labelled = settle(lookup_join(labelled, mixed, "signature", "inner"))
+    tasks = settle(blocked(labelled, ["signature"], "line_id", BLOCK))
     # Small groups share a call; a call has about ``CALL`` rows.
     calls = max(1, -(-tasks.count() // CALL))
     call = F.pmod(F.xxhash64("signature", "part_a", "part_b"), F.lit(calls)).alias("call")
-    pairs = tasks.select("*", call).join(texts, "line_id").groupBy("call").applyInPandas(
-        _joiner(threshold), "a long, b long"
-    )
-    return components(pairs)
+    pairs = tasks.select("*", call).groupBy("call").applyInPandas(_joiner(threshold, share), "a long, b long")
+    found = _within(settle(pairs.distinct()), long_lines, threshold, share)
+    return components(links.unionByName(found))
 
 
 def line_classes(
@@ -199,6 +292,7 @@ def line_classes(
     text: str = "text",
     threshold: int = THRESHOLD,
     min_chars: int = MIN_CHARS,
+    share: float = 0.0,
 ) -> DataFrame:
     """A row per line: ``doc_id``, ``doc``, ``line_no`` from 0, the first line of its class by document
     id, number and text (``class_doc_id``, ``class_line_no``), ``class_lines`` and ``kept``.
@@ -206,10 +300,10 @@ def line_classes(
     White space at the ends of lines does not count; lines of nothing else, and null and empty texts,
     have no row. Rows with a null id come before others. Rows that repeat a document (same id and text)
     are treated alike: their lines stay or go together. Lines shorter than ``min_chars`` are joined
-    only if equal. Hashes of 64 bits stand for lines until texts are compared.
+    only if equal, others up to ``threshold`` edits, or ``share`` of the longer line if that is more. Hashes of 64 bits stand for lines until texts are compared.
     """
     lines = _occurrences(docs, doc_id, text)
-    roots = line_links(lines, threshold, min_chars)
+    roots = line_links(lines, threshold, min_chars, share)
     narrow = stored(lines.select("doc_id", "doc", "line_no", "line_id"), "lines")
     joined = lookup_join(narrow, roots.withColumnRenamed("node", "line_id"), "line_id")
     joined = joined.withColumn("class", F.coalesce("root", "line_id")).drop("root", "line_id")
@@ -235,10 +329,11 @@ def drop_repeated_lines(
     text: str = "text",
     threshold: int = THRESHOLD,
     min_chars: int = MIN_CHARS,
+    share: float = 0.0,
 ) -> DataFrame:
     """``docs`` with only the first line of each class left in the texts; all rows and columns stay, a
     text without a line left is empty, null stays null."""
-    classes = line_classes(docs, doc_id, text, threshold, min_chars)
+    classes = line_classes(docs, doc_id, text, threshold, min_chars, share)
     gone = classes.filter(~F.col("kept")).groupBy(F.col("doc").alias("_doc"))
     gone = settle(gone.agg(F.collect_set("line_no").alias("_gone")))
     rows = lookup_join(docs.withColumn("_doc", document_key(docs, doc_id, text)), gone, "_doc")

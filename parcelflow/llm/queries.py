@@ -201,7 +201,7 @@ def op9_embedding_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
 def op3_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """Class and survivor of every line of all documents."""
     docs = table(spark, folder, "documents").select("doc_id", "text")
-    return lines.line_classes(docs).drop("doc")
+    return lines.line_classes(docs, **lines.NEAR).drop("doc")
 
 
 @query("op10_minhash_near_dedup")

@@ -176,6 +176,33 @@ def test_lines_against_all_pairs(spark, docs):
     assert {(r["doc_id"], r["line_no"]) for r in found if r["kept"]} == set(first.values())
 
 
+def test_near_lines_by_length_against_all_pairs(spark, docs):
+    rng = random.Random(3)
+    rows = [(r["doc_id"], r["text"]) for r in docs.orderBy("doc_id").limit(60).collect()]
+    seen = list(dict.fromkeys(x.strip() for _, t in rows for x in t.split("\n") if x.strip()))
+    for i, x in enumerate(seen[:200]):
+        changed = list(x)
+        for k in rng.sample(range(len(x)), len(x) // 20):
+            changed[k] = rng.choice(["", "#", changed[k] + "+"])
+        rows.append((9000 + i, "".join(changed)))
+    rows += [(9900, "a short line to join"), (9901, "a short lime to join"), (9902, "a tiny"), (9903, "a tony")]
+    distinct = list(dict.fromkeys(x.strip() for _, t in rows for x in t.split("\n") if x.strip()))
+    links, beyond = [], 0
+    for a in range(len(distinct)):
+        for b in range(a + 1, len(distinct)):
+            n = max(len(distinct[a]), len(distinct[b]))
+            most = max(1, n // 20)
+            if min(len(distinct[a]), len(distinct[b])) >= 15 and abs(len(distinct[a]) - len(distinct[b])) <= most:
+                edits = edit_distance(distinct[a], distinct[b], most)
+                links += [(a, b)] if edits <= most else []
+                beyond += 2 < edits <= most
+    assert beyond >= 50
+    root = grouped(len(distinct), links)
+    frame = spark.createDataFrame(enumerate(distinct), "doc_id long, text string")
+    found = {r["doc_id"]: r["class_doc_id"] for r in lines.line_classes(frame, **lines.NEAR).collect()}
+    assert found == dict(enumerate(root))
+
+
 def test_repeated_lines_go_and_all_rows_stay(spark, odd):
     rows = [(1, "same\nown one"), (2, "same\n\nown two"), (3, None), (4, "same"), (None, "other")]
     some = spark.createDataFrame(rows, "doc_id long, text string").withColumn("line", F.lit(0))
