@@ -399,6 +399,20 @@ def test_near_documents_against_all_pairs(spark, docs):
     assert {r["doc_id"] for r in found if r["kept"]} == set(least.values())
 
 
+def test_sketches_meet_down_to_the_link_rule():
+    rng = random.Random(8)
+    sketcher = ordermin.Sketcher(ordermin.WORDS, ordermin.SKETCHES, ordermin.RUNS, ordermin.SEED)
+    vocabulary = [f"w{i}" for i in range(3000)]
+    for share in (0.08, 0.1, 0.15, 0.2):
+        for n in [40, 150, 600] * 30:
+            text = [rng.choice(vocabulary) for _ in range(n)]
+            other = list(text)
+            for k in range(int(share * n)):
+                other[int(k / share)] = "new"
+            with np.errstate(over="ignore"):
+                assert (sketcher.sketch(text) == sketcher.sketch(other)).any(), (share, n)
+
+
 def test_one_document_of_each_group_stays(odd):
     left = ordermin.first_of_each(odd)
     assert left.columns == odd.columns
