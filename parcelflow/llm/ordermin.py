@@ -28,9 +28,6 @@ WORDS = 2
 SIMILARITY = 0.8
 SKETCHES = 48
 RUNS = 2
-# Sketches that a pair of candidates must share outside the first round; a pair at a similarity of 0.8
-# of its runs shares 12 of 24 on average, and fewer than two in one of a million cases.
-SHARED = 2
 # Turns in which every document is compared with one center.
 ROUNDS = 4
 # Documents compared with one center in a task, and candidates compared with each other.
@@ -197,11 +194,10 @@ def _one_center_each(labelled: DataFrame, turn: int) -> DataFrame:
     return best.select("key", F.col("best.center").alias("center"))
 
 
-def _alike(similarity: float, shared: int):
+def _alike(similarity: float):
     def compare(group: pd.DataFrame) -> pd.DataFrame:
-        """Pairs of different labels that share enough sketches and, by their counts, enough words."""
+        """Pairs of different labels that share a sketch and, by their counts, enough words."""
         bags = np.stack([np.frombuffer(b, np.uint32) for b in group["bag"]]).astype(np.int64)
-        sketch = np.vstack(group["sketch"].to_numpy())
         label, part = pd.factorize(group["label"])[0], group["part"].to_numpy()
         size, keys = group["n_words"].to_numpy(), group["key"].to_numpy()
         across = group["part_a"].iloc[0] != group["part_b"].iloc[0]
@@ -214,7 +210,6 @@ def _alike(similarity: float, shared: int):
             if across:
                 ok &= part[i + 1 :] != part[i]
             at = np.nonzero(ok)[0] + i + 1
-            at = at[(sketch[at] == sketch[i]).sum(axis=1) >= shared]
             longer = np.maximum(size[at], size[i])
             missing = longer - np.minimum(bags[at], bags[i]).sum(axis=1)
             at = at[missing <= (1 - similarity) * longer + 1e-9]
@@ -282,11 +277,11 @@ def near_duplicates(
         labelled = settle(labelled.select("band", "key", F.coalesce("root", "key").alias("label")))
     mixed = labelled.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high"))
     mixed = settle(mixed.filter("low <> high").select("band"))
-    open_rows = settle(labelled.join(mixed, "band").join(singles, "key"))
+    open_rows = settle(labelled.join(mixed, "band").join(singles.select("key", "n_words"), "key"))
     bags = settle(_bags(texts.join(settle(open_rows.select("key").distinct()), "key", "semi")))
     tasks = blocked(open_rows, ["band"], "key", BLOCK).join(bags, "key")
     pairs = tasks.groupBy("band", "part_a", "part_b").applyInPandas(
-        _alike(similarity, min(SHARED, sketches)), "center binary, key binary"
+        _alike(similarity), "center binary, key binary"
     )
     more = _verified(settle(pairs.distinct()), texts, similarity)
     roots = components(more if links is None else settle(links.unionByName(more)))

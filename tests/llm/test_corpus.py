@@ -6,6 +6,7 @@ import hashlib
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -413,6 +414,21 @@ def test_sketches_meet_down_to_the_link_rule():
                 assert (sketcher.sketch(text) == sketcher.sketch(other)).any(), (share, n)
 
 
+def test_one_shared_sketch_is_enough(monkeypatch, spark):
+    text = [f"w{i}" for i in range(60)]
+    rows = [(i, " ".join([*text[:i], "new", *text[i + 1 :]])) for i in (10, 25, 40)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    monkeypatch.setattr(ordermin, "ROUNDS", 0)
+    single = [r["class_id"] for r in ordermin.near_duplicates(frame, sketches=1, runs=1, seed=5).collect()]
+    assert single == [10, 10, 10]
+    compare = ordermin._alike(0.8)
+    bag = np.bincount([1, 2, 3, 4, 5], minlength=ordermin.CLASSES).astype(np.uint32).tobytes()
+    group = pd.DataFrame({"key": [b"a", b"b"], "label": [b"a", b"b"], "bag": [bag, bag], "n_words": 5, "part": 0})
+    group["part_a"] = group["part_b"] = 0
+    group["sketch"] = [np.array([1, 2, 3]), np.array([1, 7, 8])]
+    assert compare(group).to_numpy().tolist() == [[b"a", b"b"]]
+
+
 def test_one_document_of_each_group_stays(odd):
     left = ordermin.first_of_each(odd)
     assert left.columns == odd.columns
