@@ -226,6 +226,22 @@ def test_mix_meets_targets(spark, docs):
     assert words == mixed.agg(F.sum("taken")).first()[0]
 
 
+def test_mix_of_whole_documents(spark, docs):
+    rows = [(r["doc_id"], r["text"], r["source"]) for r in docs.collect()]
+    rows += [(None, f"without an id {'x ' * (i % 40)}{i}", "s9") for i in range(100)]
+    rows += [(None, "the same words again", "s9")] * 60
+    some = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    mixed = mixing.mix(some, whole_docs=True).cache()
+    assert mixed.count() == len(rows) and mixed.filter("partial_words <> 0 OR taken <> copies * size").isEmpty()
+    for r in mixed.groupBy("source").agg(
+        F.sum("taken").alias("taken"), F.first("target").alias("target"), F.max("size").alias("most")
+    ).collect():
+        assert abs(r["taken"] - r["target"]) <= r["most"] / 2 + 1
+    texts = {r["text"] for r in some.collect()}
+    assert {r["text"] for r in mixing.repeated(mixed).collect()} <= texts
+    assert mixed.exceptAll(mixing.mix(some.repartition(3), whole_docs=True)).isEmpty()
+
+
 def test_filling_against_a_loop(spark):
     sizes = [100, 5, 40, 1, 900, 0]
     weights = [5.0, 2.0, 1.0, 5.0, 2.0, 1.0]
