@@ -16,6 +16,7 @@ from parcelflow.llm import (
     mixing,
     ordermin,
     pieces,
+    tokencount,
     toxicity,
     urls,
     vectors,
@@ -228,3 +229,10 @@ def op8_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
     """A sampled segmentation of every document and whether decoding gives the text back."""
     docs = table(spark, folder, "documents").select("doc_id", "text")
     return pieces.encode_documents(docs).drop("text")
+
+
+@query("op12_token_counts")
+def op12_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """Bytes and tokens of every whole document."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return tokencount.count_tokens(docs).drop("text")
