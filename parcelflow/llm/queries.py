@@ -18,9 +18,11 @@ from parcelflow.llm import (
     pieces,
     tokencount,
     toxicity,
+    trie,
     urls,
     vectors,
 )
+from parcelflow.llm.tables import settle
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -236,3 +238,58 @@ def op12_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     """Bytes and tokens of every whole document."""
     docs = table(spark, folder, "documents").select("doc_id", "text")
     return tokencount.count_tokens(docs).drop("text")
+
+
+# Conversations share up to HEADS turns with the one whose id is the multiple of FORK below theirs.
+FORK, HEADS = 20, 3
+
+
+def rebuilt(turns: DataFrame, conversations: DataFrame) -> DataFrame:
+    """Turns of all conversations, the first h of each taken from the conversation it forks off, where h is
+    the CRC of its id modulo ``HEADS + 1``."""
+    shared = F.crc32(F.col("conv_id").cast("string").cast("binary")) % (HEADS + 1)
+    own = turns.filter(F.col("pos") > shared).withColumn("pos", F.col("pos") + HEADS)
+    first = turns.filter((F.col("pos") <= HEADS) & (F.col("conv_id") % FORK == 0))
+    forks = conversations.select("conv_id", (F.col("conv_id") - F.col("conv_id") % FORK).alias("base"))
+    heads = forks.join(first.withColumnRenamed("conv_id", "base"), "base").filter(F.col("pos") <= shared)
+    return own.unionByName(heads.select(own.columns))
+
+
+@query(
+    "op13_conversation_prefix_trie",
+    """
+    WITH RECURSIVE steps(i, k, v) AS (SELECT range, 0, range FROM range(256)
+        UNION ALL SELECT i, k + 1, CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END
+        FROM steps WHERE k < 8),
+    crc AS (SELECT list(v ORDER BY i) AS crcs FROM steps WHERE k = 8),
+    t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text
+        FROM conversations WHERE conv_id IS NOT NULL),
+    c AS (SELECT conv_id, list({'role': role, 'text': text} ORDER BY turn NULLS FIRST, role, text) AS turns,
+        FROM t GROUP BY conv_id),
+    h AS (SELECT conv_id, turns, xor(4294967295, list_reduce(list_concat([4294967295], list_transform(
+        string_split(CAST(conv_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))),
+        lambda a, b: xor(crcs[(xor(a, b) & 255) + 1], a >> 8))) % 4 AS h FROM c, crc),
+    r AS (SELECT h.conv_id, list_concat(coalesce(list_slice(b.turns, 1, h.h), []),
+        list_slice(h.turns, h.h + 1, len(h.turns))) AS turns
+        FROM h LEFT JOIN c b ON b.conv_id = h.conv_id - h.conv_id % 20),
+    p AS (SELECT conv_id, len(turns) AS length, d, list_slice(turns, 1, d) AS path
+        FROM (SELECT *, unnest(range(len(turns) + 1)) AS d FROM r)),
+    n AS (SELECT path, d, min(conv_id) AS conv_id, count(*) AS n_convs, max(length) > d AS inner_node,
+        sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (length = d), ''))
+            AS ends_sha256,
+        CASE WHEN d = 0 THEN 0 ELSE (count(*) - 1)
+            * len(regexp_extract_all(path[d].text, '[^\x20\x09-\x0D]+')) END AS saved
+        FROM p GROUP BY path, d),
+    s AS (SELECT list_slice(path, 1, u) AS path, CAST(sum(saved) AS BIGINT) AS saved_tokens,
+        count(*) FILTER (NOT inner_node) AS n_leaves, count(*) FILTER (d = u + 1) AS n_children
+        FROM (SELECT *, unnest(range(d + 1)) AS u FROM n) GROUP BY ALL)
+    SELECT n.conv_id, n.d AS depth, m.conv_id AS parent_conv_id, n.n_convs, s.n_children, s.n_leaves,
+        s.saved_tokens, n.ends_sha256
+    FROM n JOIN s ON s.path = n.path LEFT JOIN n m ON n.d > 0 AND m.path = list_slice(n.path, 1, n.d - 1)
+    """,
+)
+def op13_conversation_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
+    """All nodes of the tree of conversations that share beginnings."""
+    turns = settle(trie.ordered_turns(table(spark, folder, "conversations")))
+    conversations = turns.filter("pos = 1").select("conv_id")
+    return trie.prefix_trie(rebuilt(turns, conversations), conversations)
