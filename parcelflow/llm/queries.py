@@ -11,6 +11,7 @@ from parcelflow.llm import (
     cells,
     chat,
     covertree,
+    divergence,
     langid,
     lines,
     mixing,
@@ -233,6 +234,42 @@ def op8_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
     return pieces.encode_documents(docs).drop("text")
 
 
+@query(
+    "op11_source_divergence",
+    """
+    WITH d AS (SELECT row_number() OVER () AS i, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+        regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+        'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS terms FROM documents),
+    t AS (SELECT i, lang, source, unnest(terms) AS term FROM d),
+    v AS (SELECT lang, term, count(*) AS y FROM t GROUP BY ALL HAVING count(DISTINCT i) >= 10),
+    l AS (SELECT lang, count(*) AS v, sum(y) AS n FROM v GROUP BY ALL),
+    q AS (SELECT lang, term, 1 + 1000000000::HUGEINT * (y + 2) // (n + 2 * v.count) AS q
+        FROM (SELECT v.lang, term, y, n, l.v AS count FROM v JOIN l USING (lang)) v),
+    g AS (SELECT DISTINCT lang, source FROM d),
+    c AS (SELECT lang, source, term, count(*) AS x FROM t GROUP BY ALL),
+    x AS (SELECT g.lang, g.source, v.term, coalesce(c.x, 0) AS x FROM g JOIN v USING (lang)
+        LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = v.term),
+    n AS (SELECT lang, source, sum(x) AS n FROM x GROUP BY ALL),
+    p AS (SELECT x.lang, x.source, term, x, 1 + 1000000000::HUGEINT * (x + 2) // (n.n + 2 * l.v) AS p
+        FROM x JOIN n USING (lang, source) JOIN l USING (lang)),
+    s AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS value
+        FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+    pairs AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(s.value, 0) AS BIGINT)
+        AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+        LEFT JOIN s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source),
+    best AS (SELECT p.lang, source, 'term' AS part, term AS item,
+        CAST((p - q) * (p - q) // (p + q) AS BIGINT) AS value
+        FROM p JOIN q USING (lang, term) WHERE x > 0 AND p > q),
+    r AS (SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)
+        AS INTEGER) AS rank FROM (SELECT * FROM pairs UNION ALL SELECT * FROM best))
+    SELECT * FROM r WHERE part = 'pair' OR rank <= 10
+    """,
+)
+def op11_source_divergence(spark: SparkSession, folder: str) -> DataFrame:
+    """Every source beside the others of its language, and the terms it uses more than the language."""
+    return divergence.audit(table(spark, folder, "documents").select("lang", "source", "text"))
+
+
 @query("op12_token_counts")
 def op12_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     """Bytes and tokens of every whole document."""
