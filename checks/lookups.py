@@ -10,6 +10,8 @@ from parcelflow.operators.quality import unresolved
 from parcelflow.operators.resolve import attach_coordinates, first_match_join
 from parcelflow.operators.spatial import active_regions, points_in_regions
 from parcelflow.plans.listings import anonymise
+from parcelflow.session import scratch_path
+from parcelflow.sources.dimensions import read_regions
 
 
 @check(
@@ -205,3 +207,57 @@ def point_in_polygon(spark, folder):
 def regions_with_points(spark, folder):
     regions = _regions(spark, folder)
     return active_regions(regions, points_in_regions(_points(spark, folder), regions)).select("name")
+
+
+# The same regions with a hole and a second part, and an enclave in each hole.
+HOLE = [(-0.61, 1.31), (0.83, 1.37), (0.71, 2.33), (-0.53, 2.41), (-0.61, 1.31)]
+PART = [(4.03, -1.1), (4.9, -0.97), (4.41, 0.83), (4.03, -1.1)]
+ENCLAVE = [(-0.21, 1.61), (0.41, 1.63), (0.37, 2.11), (-0.17, 2.03), (-0.21, 1.61)]
+_PART_EDGES = ", ".join(
+    f"({kind}, {ax}::DOUBLE, {ay}::DOUBLE, {bx}::DOUBLE, {by}::DOUBLE)"
+    for kind, ring in ((0, SHAPE), (0, HOLE), (0, PART), (1, ENCLAVE))
+    for (ax, ay), (bx, by) in zip(ring, ring[1:])
+)
+
+
+def _regions_from_file(spark, folder):
+    """Regions of several rings, written down and read back as a file of outlines."""
+    west = (F.col("n_nationkey") % 5) * 4.0 + 1.013
+    south = F.floor(F.col("n_nationkey") / 5) * 3.0 + 40.017
+    rings = [
+        F.array(*[F.struct((west + dx).alias("lon"), (south + dy).alias("lat")) for dx, dy in ring])
+        for ring in (SHAPE, HOLE, PART, ENCLAVE)
+    ]
+    nation, number = table(spark, folder, "nation"), F.col("n_nationkey").cast("bigint")
+    main = nation.select(
+        number.alias("region_id"), F.col("n_name").alias("name"), F.array(*rings[:3]).alias("rings")
+    )
+    enclaves = nation.select(
+        (number + 100).alias("region_id"), F.concat("n_name", F.lit(" enclave")).alias("name"), rings[3].alias("ring")
+    )
+    path = scratch_path(spark, "outlines")
+    main.unionByName(enclaves, allowMissingColumns=True).write.parquet(path)
+    return read_regions(spark, path)
+
+
+@check(
+    "point_in_regions_with_holes",
+    f"""
+    WITH pts AS (
+      SELECT c_custkey, CASE WHEN c_custkey % 19 <> 0 THEN (c_custkey * 7919 % 26000) / 1000.0::DOUBLE - 3.0::DOUBLE END AS lon,
+             (c_custkey * 104729 % 21000) / 1000.0::DOUBLE + 35.0::DOUBLE AS lat FROM customer),
+    e AS (
+      SELECT CAST(n_nationkey + 100 * kind AS BIGINT) AS region_id,
+             n_name || CASE WHEN kind = 1 THEN ' enclave' ELSE '' END AS name,
+             (n_nationkey % 5) * 4.0::DOUBLE + 1.013::DOUBLE + ax AS ax,
+             (n_nationkey // 5) * 3.0::DOUBLE + 40.017::DOUBLE + ay AS ay,
+             (n_nationkey % 5) * 4.0::DOUBLE + 1.013::DOUBLE + bx AS bx,
+             (n_nationkey // 5) * 3.0::DOUBLE + 40.017::DOUBLE + by_ AS by_
+      FROM nation, (VALUES {_PART_EDGES}) AS s(kind, ax, ay, bx, by_))
+    SELECT c_custkey, region_id, any_value(name) AS name FROM pts, e
+    WHERE (ay > lat) <> (by_ > lat) AND lon < (bx - ax) * (lat - ay) / (by_ - ay) + ax
+    GROUP BY c_custkey, region_id HAVING count(*) % 2 = 1""",
+)
+def point_in_regions_with_holes(spark, folder):
+    found = points_in_regions(_points(spark, folder), _regions_from_file(spark, folder))
+    return found.select("c_custkey", "region_id", "name")

@@ -45,16 +45,17 @@ DAILY_STATS = T.StructType(
     ]
 )
 
+RING = T.ArrayType(
+    T.StructType([T.StructField("lon", T.DoubleType()), T.StructField("lat", T.DoubleType())])
+)
+
+# A region has one outline or the outlines of all its parts and holes.
 REGIONS = T.StructType(
     [
         T.StructField("region_id", T.LongType()),
         T.StructField("name", T.StringType()),
-        T.StructField(
-            "ring",
-            T.ArrayType(
-                T.StructType([T.StructField("lon", T.DoubleType()), T.StructField("lat", T.DoubleType())])
-            ),
-        ),
+        T.StructField("ring", RING),
+        T.StructField("rings", T.ArrayType(RING)),
     ]
 )
 

@@ -61,5 +61,6 @@ def ordered_categories(spark: SparkSession, names: Sequence[str], column: str) -
 
 
 def read_regions(spark: SparkSession, path: str, kind: str = "parquet") -> DataFrame:
-    """Region outlines ``(region_id, name, ring)`` in longitude and latitude, Parquet or JSON."""
+    """Regions in longitude and latitude, Parquet or JSON: ``region_id``, ``name`` and ``ring`` (one outline)
+    or ``rings`` (of all parts and holes); the column that a file does not have is null."""
     return spark.read.schema(schemas.REGIONS).format(kind).load(path)

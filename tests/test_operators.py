@@ -1,6 +1,8 @@
 import datetime as dt
+import math
 import random
 import statistics
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -12,7 +14,7 @@ from parcelflow.operators.joins import apply_corrections, hot_keys, lookup_join
 from parcelflow.operators.quality import outlier_fences
 from parcelflow.operators.resolve import first_match_join
 from parcelflow.operators.selection import group_quantiles, order_statistics, summarise
-from parcelflow.operators.spatial import active_regions, points_in_regions
+from parcelflow.operators.spatial import CELL_EDGES, active_regions, points_in_regions, region_cells
 from parcelflow.functions.lookup import first_match
 
 
@@ -148,12 +150,95 @@ def test_points_in_a_concave_ring(spark):
     ]
     plan = found._jdf.queryExecution().toString()
     assert "CartesianProduct" not in plan and "NestedLoop" not in plan
-    by_shuffle = points_in_regions(df, shapes, degrees=0.5, max_rows=1, max_vertices=1)
+    by_shuffle = points_in_regions(df, shapes, degrees=0.5, max_rows=1, cell_edges=3)
     assert sorted(by_shuffle.collect()) == sorted(found.collect())
     far = regions(spark, RING, [(9, 9), (10, 9), (10, 10), (9, 9)])
     assert [r["name"] for r in active_regions(far, points_in_regions(df, far)).collect()] == ["r0"]
 
 
+def plain_inside(rings, x, y):
+    """Exact even-odd rule; None on the border."""
+    x, y, odd = Fraction(x), Fraction(y), False
+    for ring in rings:
+        for (ax, ay), (bx, by) in zip(ring, ring[1:]):
+            ax, ay, bx, by = map(Fraction, (ax, ay, bx, by))
+            inside_box = min(ax, bx) <= x <= max(ax, bx) and min(ay, by) <= y <= max(ay, by)
+            if inside_box and (bx - ax) * (y - ay) == (by - ay) * (x - ax):
+                return None
+            odd ^= (ay > y) != (by > y) and x < (bx - ax) * (y - ay) / (by - ay) + ax
+    return odd
+
+
+def star(rng, x, y, corners, size, step):
+    """A ring around (x, y), its corners on a lattice, some of them on lines of the grid."""
+    angles = sorted(rng.random() * 2 * math.pi for _ in range(corners))
+    ring = []
+    for a in angles:
+        r = size * rng.uniform(0.3, 1)
+        ring.append((round((x + r * math.cos(a)) / step) * step, round((y + r * math.sin(a)) / step) * step))
+    return [*ring, ring[0]]
+
+
+def test_regions_of_parts_and_holes_against_the_exact_rule(spark):
+    rng = random.Random(21)
+    square = [(0.0, 0.0), (8.0, 0.0), (8.0, 8.0), (0.0, 8.0), (0.0, 0.0)]
+    hole = [(2.0, 2.0), (6.0, 2.0), (6.0, 6.0), (2.0, 6.0), (2.0, 2.0)]
+    enclave = [(3.0, 3.0), (5.0, 3.0), (5.0, 5.0), (3.0, 5.0), (3.0, 3.0)]
+    comb = [(9.0, 0.0)]
+    for i in range(60):
+        comb += [(9 + i / 16, 7.0), (9 + i / 16 + 1 / 32, 1.0)]
+    comb += [(13.0, 0.0), (9.0, 0.0)]
+    shapes = [
+        [square, hole, enclave],
+        [hole],
+        [comb, star(rng, 18, 4, 7, 3, 0.25)],
+        [star(rng, 4, 12, 400, 3, 1 / 64), star(rng, 4, 12, 9, 0.5, 0.125)],
+        [star(rng, -3, 3, 12, 4, 0.5), [(0.0, 0.0), (1.0, 1.0), (0.0, 0.0)], [(None, 0.0)] * 5],
+        [],
+        [star(rng, 10, 10, 30, 9, 1.0)],
+        [[(1.0, 1.0), (1.0, 1.125), (1.125, 1.125), (1.125, 1.0), (1.0, 1.0)]],
+    ]
+    kind = "region_id bigint, name string, rings array<array<struct<lon:double,lat:double>>>"
+    regions = spark.createDataFrame([(i, f"r{i}", rings) for i, rings in enumerate(shapes)], kind)
+    points = [(rng.randrange(-64, 160) / 8, rng.randrange(-16, 160) / 8) for _ in range(700)]
+    points += [(rng.uniform(-8, 22), rng.uniform(-2, 20)) for _ in range(1500)]
+    points += [(4 + rng.uniform(-3, 3), 12 + rng.uniform(-3, 3)) for _ in range(800)]
+    points += [(1.0625, 1.0625), (1.0625, 1.125)]
+    points += [corner for rings in shapes for ring in rings[:2] for corner in ring[:40]]
+    df = spark.createDataFrame([(i, *p) for i, p in enumerate(points)], "i int, LON double, LAT double")
+    sound = [[r for r in rings if len(r) >= 4 and r[0][0] is not None] for rings in shapes]
+    expected = {
+        (i, k)
+        for i, (x, y) in enumerate(points)
+        if x is not None
+        for k, rings in enumerate(sound)
+        if plain_inside(rings, x, y)
+    }
+    assert len({k for _, k in expected}) == 7
+    for cell_edges in (4, 1000):
+        found = points_in_regions(df, regions, degrees=0.5, cell_edges=cell_edges).collect()
+        assert sorted((r["i"], r["region_id"]) for r in found) == sorted(expected)
+
+
+def test_a_region_of_many_corners_is_split_into_small_cells(spark):
+    n = 60_000
+    turns = F.col("id") / n * 2 * math.pi
+    radius = 0.1 + (F.col("id") % 2) * 1e-5
+    corner = F.struct((radius * F.cos(turns)).alias("lon"), (radius * F.sin(turns)).alias("lat"))
+    ring = spark.range(n).agg(F.sort_array(F.collect_list(F.struct("id", corner.alias("at"))))["at"].alias("ring"))
+    region = ring.select(
+        F.lit(1).cast("long").alias("region_id"),
+        F.lit("round").alias("name"),
+        F.concat("ring", F.slice("ring", 1, 1)).alias("ring"),
+    )
+    index = region_cells(region).cache()
+    assert index.agg(F.max(F.size("pieces"))).first()[0] <= CELL_EDGES
+    assert index.count() < n
+    df = spark.createDataFrame([(0.0, 0.0), (0.0999, 0.0), (0.0, 0.1001), (0.08, 0.07)], "LON double, LAT double")
+    assert sorted(points_in_regions(df, region).collect())[0][:2] == (0.0, 0.0)
+    assert points_in_regions(df, region).count() == 2
+
+
 def test_histogram_edges(spark):
     df = spark.createDataFrame([(0.0,), (1.0,), (5.0,), (10.0,), (None,)], "v double")
     bins = stats.histogram(df, "v", 10).orderBy("bin").collect()
