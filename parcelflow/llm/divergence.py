@@ -32,7 +32,7 @@ SCALE = 1_000_000_000
 MIN_DOCS = 10
 TOP = 10
 # Different terms that a task counts before it hands them on.
-HELD = 500_000
+HELD = 250_000
 # Sources of a term that meet in one task at once.
 TOGETHER = 64
 
@@ -70,25 +70,22 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             size += len(docs) - before
             if size >= HELD:
                 yield from _handed_on(held)
-                held, size = {}, 0
+                size = 0
     yield from _handed_on(held)
 
 
 def _handed_on(held: dict[tuple[str, str], tuple[Counter, Counter]]) -> Iterator[pa.RecordBatch]:
-    rows = [
-        (lang, source, term, times, docs[term])
-        for (lang, source), (n, docs) in held.items()
-        for term, times in n.items()
-    ]
-    if rows:
-        columns = zip(*rows, strict=True)
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array(c, pa.binary()).cast(f.type) if f.name == "term" else pa.array(c, f.type)
-                for c, f in zip(columns, _COUNTED, strict=True)
-            ],
-            schema=_COUNTED,
-        )
+    """A batch for each group; what has been handed on is forgotten."""
+    while held:
+        (lang, source), (n, docs) = held.popitem()
+        columns = [
+            pa.repeat(pa.scalar(lang, pa.string()), len(n)),
+            pa.repeat(pa.scalar(source, pa.string()), len(n)),
+            pa.array(n.keys(), pa.binary()).cast(pa.string()),
+            pa.array(n.values(), pa.int64()),
+            pa.array(map(docs.__getitem__, n), pa.int64()),
+        ]
+        yield pa.RecordBatch.from_arrays(columns, schema=_COUNTED)
 
 
 def kept_terms(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
