@@ -8,7 +8,7 @@ from checks.registry import check, rnd, table
 from parcelflow import schemas
 from parcelflow.functions import rules
 from parcelflow.plans.listings import Market, SOURCES, build_listings
-from parcelflow.plans.market import daily_market_stats, explode_days
+from parcelflow.plans.market import MEDIANS, daily_market_stats, daily_medians, explode_days
 from parcelflow.plans.prepare import Places
 from parcelflow.profiles import lomza
 from parcelflow.session import scratch_path
@@ -63,6 +63,66 @@ def daily_series_delta(spark, folder):
     return daily_market_stats(event_listings(spark, folder), strategy="changes")
 
 
+# Prices that lie closer together than the first cells of the medians are wide.
+CLOSE_SQL = f"""WITH {LISTINGS_SQL},
+    near AS (SELECT d0, d1, 1000 + PRICE / 1e9 AS PRICE, -3 - PRICE / 1e10 AS PRICE_M2,
+             CASE WHEN AREA_M2 > 40 THEN 7.25::DOUBLE ELSE 7.5 + PRICE / 1e12 END AS AREA_M2 FROM listings),
+    days AS (SELECT *, CAST(unnest(generate_series(d0, d1, INTERVAL 1 DAY)) AS DATE) AS day FROM near)
+    SELECT CAST(day AS VARCHAR) AS ACTIVE_DAY, {rnd('median(PRICE)', 10)} AS MEDIAN_PRICE,
+           {rnd('median(PRICE_M2)', 10)} AS MEDIAN_PRICE_M2, {rnd('median(AREA_M2)', 10)} AS MEDIAN_AREA_M2
+    FROM days GROUP BY day"""
+
+
+@check("daily_medians_close", CLOSE_SQL)
+def daily_medians_close(spark, folder):
+    near = event_listings(spark, folder).select(
+        "DATE_ADDED",
+        "LAST_UPDATED",
+        (F.lit(1000) + F.col("PRICE") / 1e9).alias("PRICE"),
+        (F.lit(-3) - F.col("PRICE") / 1e10).alias("PRICE_M2"),
+        F.when(F.col("AREA_M2") > 40, 7.25).otherwise(7.5 + F.col("PRICE") / 1e12).alias("AREA_M2"),
+    )
+    found = daily_medians(near, sorted_rows=256)
+    return found.select("ACTIVE_DAY", *[F.round(name, 10).alias(name) for name in MEDIANS])
+
+
+# Amounts from 2 ** -40 to 1e20 and NaN; in SQL as whole numbers of 2 ** -40.
+WIDE_SQL = f"""WITH {LISTINGS_SQL},
+    wide AS (SELECT ID, d0, d1, CASE WHEN ID % 4 = 0 AND d1 - d0 < 3 THEN 100000000000000000000::HUGEINT * 1099511627776
+             WHEN ID % 4 = 1 THEN 1::HUGEINT WHEN ID % 4 = 2 THEN NULL
+             ELSE CAST(floor(AREA_M2 * 1024) AS HUGEINT) * 1073741824 END AS units FROM listings),
+    days AS (SELECT *, CAST(unnest(generate_series(d0, d1, INTERVAL 1 DAY)) AS DATE) AS day FROM wide)
+    SELECT CAST(day AS VARCHAR) AS ACTIVE_DAY, count(*) AS TOTAL_ACTIVE_OFFERS,
+           printf('%.11e', CAST(coalesce(sum(units), 0) AS DOUBLE) / 1099511627776) AS TOTAL_AREA_ON_MARKET,
+           printf('%.11e', CAST(sum(units) AS DOUBLE) / 1099511627776 / count(units)) AS AVG_AREA_M2
+    FROM days WHERE day >= (SELECT min(d1) FROM listings) GROUP BY day"""
+
+
+def _wide_amounts(spark, folder, strategy):
+    kind = F.col("ID") % 4
+    brief = F.datediff("LAST_UPDATED", "DATE_ADDED") < 3
+    amount = (
+        F.when((kind == 0) & brief, 1e20)
+        .when(kind == 1, 2.0**-40)
+        .when(kind == 2, float("nan"))
+        .otherwise(F.floor(F.col("AREA_M2") * 1024) / 1024)
+    )
+    listings = event_listings(spark, folder).withColumn("AREA_M2", amount)
+    series = daily_market_stats(listings, digits={}, strategy=strategy)
+    shown = [F.format_string("%.11e", c).alias(c) for c in ("TOTAL_AREA_ON_MARKET", "AVG_AREA_M2")]
+    return series.select("ACTIVE_DAY", "TOTAL_ACTIVE_OFFERS", *shown)
+
+
+@check("daily_sums_wide_explode", WIDE_SQL)
+def daily_sums_wide_explode(spark, folder):
+    return _wide_amounts(spark, folder, "explode")
+
+
+@check("daily_sums_wide_changes", WIDE_SQL)
+def daily_sums_wide_changes(spark, folder):
+    return _wide_amounts(spark, folder, "changes")
+
+
 @check(
     "exploded_days",
     f"""WITH {LISTINGS_SQL}

@@ -1,11 +1,14 @@
 import datetime as dt
 import math
+import random
+import struct
+from fractions import Fraction
 
 import pytest
 from pyspark.errors import NumberFormatException, DateTimeException
 from pyspark.sql import functions as F
 
-from parcelflow.functions import rules
+from parcelflow.functions import exact, rules
 from parcelflow.functions.dates import iso_weekday, parse_date, weekday_english, weekday_label
 from parcelflow.functions.lookup import first_match, replace_exact, resolve_place, unify_variants
 from parcelflow.functions.numeric import bin_label, great_circle_km, not_nan, ratio
@@ -159,3 +162,34 @@ def test_dictionaries(column):
     assert column(["brak", "KOLNO", "??", None], "string", resolve_place(x(), F.when(x() == "KOLNO", x()), "BRAK", "ŁOMŻA")) == [
         None, "KOLNO", "ŁOMŻA", "ŁOMŻA",
     ]
+
+
+def test_sortable_keys_and_limbs(spark):
+    rng = random.Random(8)
+    values = [0.0, -0.0, 1.0, -1.0, 5e-324, -5e-324, 2.2250738585072014e-308, 2.225073858507201e-308]
+    values += [1.7976931348623157e308, float("inf"), -float("inf"), 1e20, 1e-12, 0.1, 2.0**53 + 2]
+    for _ in range(2000):
+        (value,) = struct.unpack("d", struct.pack("Q", rng.getrandbits(64)))
+        values += [value, 2.0 ** rng.randrange(-1074, 1024), math.nextafter(2.0 ** rng.randrange(-1000, 1000), 0)]
+    values = [v for v in values if v == v]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    parts = F.struct("bucket", "hi", "lo")
+
+    def taken_apart(df):
+        rows = exact.add_limbs(exact.add_sortable(df, "v", "k"), "v")
+        return rows.select("v", "k", exact.from_sortable(F.col("k")).alias("back"), parts.alias("l"))
+
+    rows = taken_apart(df).collect()
+    for r in rows:
+        bits = struct.unpack("q", struct.pack("d", abs(r["v"])))[0]
+        assert r["k"] == (-bits if r["v"] < 0 else bits) and r["back"] == r["v"]
+        if math.isinf(r["v"]):
+            assert r["l"]["bucket"] == exact.INFINITE
+            continue
+        whole = int(r["l"]["hi"]) * 2**exact.LIMB_BITS + int(r["l"]["lo"])
+        assert Fraction(r["v"]) == whole * Fraction(2) ** (exact.BUCKET_BITS * r["l"]["bucket"])
+        assert 0 <= r["l"]["lo"] < 2**exact.LIMB_BITS and abs(r["l"]["hi"]) < 10**14
+    back = taken_apart(df).select("v", exact.total(F.array("l")).alias("t")).collect()
+    assert all(r["v"] == r["t"] for r in back)
+    blank = taken_apart(spark.createDataFrame([(None,), (float("nan"),)], "v double"))
+    assert blank.filter("k is not null or back is not null or l.bucket is not null").isEmpty()

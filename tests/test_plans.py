@@ -1,5 +1,7 @@
 import datetime as dt
+import math
 import random
+from fractions import Fraction
 
 import pytest
 from pyspark.sql import functions as F
@@ -8,7 +10,14 @@ import __spark_entry__ as entry
 from checks.series import event_listings
 from parcelflow import schemas
 from parcelflow.plans.listings import build_listings, lomza_market
-from parcelflow.plans.market import DIGITS, daily_market_stats, daily_medians, daily_totals
+from parcelflow.plans.market import (
+    DIGITS,
+    MEDIANS,
+    daily_market_stats,
+    daily_medians,
+    daily_totals,
+    explode_days,
+)
 from parcelflow.plans.prepare import harmonise
 from parcelflow.session import scratch_path, shared_folder
 from parcelflow.sources.dimensions import dimension_frame, read_regions
@@ -111,8 +120,61 @@ def test_counts_add_up_to_days_on_market(spark, folder):
 
 def test_medians_with_coarse_and_fine_cells(spark):
     listings = random_listings(spark, seed=4)
-    coarse = daily_medians(listings, per_efold=1).orderBy("ACTIVE_DAY").collect()
-    assert coarse == daily_medians(listings, per_efold=1000).orderBy("ACTIVE_DAY").collect()
+    coarse = daily_medians(listings, cell_bits=5).orderBy("ACTIVE_DAY").collect()
+    assert coarse == daily_medians(listings, cell_bits=24).orderBy("ACTIVE_DAY").collect()
+    divided = daily_medians(listings, cell_bits=5, sorted_rows=3).orderBy("ACTIVE_DAY").collect()
+    assert coarse == divided
+
+
+def test_medians_of_one_full_cell(spark):
+    day = dt.date(2024, 1, 1)
+    value = F.lit(1000.0) + F.pmod(F.hash("id"), F.lit(997)) * 2.0**-40
+    listings = spark.range(6000).select(
+        F.col("id").alias("ID"),
+        F.date_add(F.lit(day), (F.col("id") % 5).cast("int")).alias("DATE_ADDED"),
+        F.date_add(F.lit(day), (5 + F.col("id") % 9).cast("int")).alias("LAST_UPDATED"),
+        *[value.alias(c) for c in ("PRICE", "PRICE_M2")],
+        F.lit(-7.5).alias("AREA_M2"),
+    )
+    days = explode_days(listings).groupBy("ACTIVE_DAY").agg(
+        *[F.median(source).alias(name) for name, source in MEDIANS.items()]
+    )
+    found = daily_medians(listings, sorted_rows=10)
+    assert sorted(found.collect()) == sorted(days.select(found.columns).collect())
+
+
+def test_sums_of_very_different_amounts(spark):
+    rng = random.Random(5)
+    day = dt.date(2024, 1, 1)
+    kinds = (1e20, 2.0**-40, 1e-12, 123.45, -7.0, 1e300, 5e-324, float("nan"), None)
+    rows = []
+    for i in range(400):
+        start = rng.randrange(30)
+        amounts = [rng.choice(kinds) for _ in range(3)]
+        rows.append((i, *(day + dt.timedelta(d) for d in (start, start + rng.randrange(6))), *amounts))
+    listings = spark.createDataFrame(
+        rows, "ID int, DATE_ADDED date, LAST_UPDATED date, PRICE double, PRICE_M2 double, AREA_M2 double"
+    )
+    exploded = daily_market_stats(listings, strategy="explode", digits={}).collect()
+    assert exploded == daily_market_stats(listings, strategy="changes", digits={}).collect()
+    first = min(r[2] for r in rows)
+    for row in exploded:
+        active = [r for r in rows if r[1] <= row["ACTIVE_DAY"] <= r[2]]
+        areas = [Fraction(r[5]) for r in active if r[5] is not None and r[5] == r[5]]
+        assert row["ACTIVE_DAY"] >= first and row["TOTAL_ACTIVE_OFFERS"] == len(active)
+        assert row["TOTAL_AREA_ON_MARKET"] == pytest.approx(float(sum(areas)), rel=1e-15, abs=0)
+
+
+def test_infinite_amounts(spark):
+    day, inf = dt.date(2024, 1, 1), float("inf")
+    rows = [(1, day, day, inf, inf, -inf), (2, day, day, 1.0, -inf, 1.0)]
+    df = spark.createDataFrame(
+        rows, "ID int, DATE_ADDED date, LAST_UPDATED date, PRICE double, PRICE_M2 double, AREA_M2 double"
+    )
+    for strategy in ("explode", "changes"):
+        row = daily_market_stats(df, strategy=strategy, digits={}).first()
+        assert row["AVG_PRICE"] == inf and row["TOTAL_AREA_ON_MARKET"] == -inf
+        assert math.isnan(row["AVG_PRICE_M2"])
 
 
 def test_snapshots(spark, tmp_path):
