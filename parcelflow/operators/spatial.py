@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from parcelflow.operators.joins import lookup_join
-from parcelflow.session import BROADCAST_ROWS, settle, stored
+from parcelflow.session import BROADCAST_BYTES, settle, stored
 
 CELL_DEGREES = 0.25
 # A cell with more pieces of border is split, at most so often.
@@ -261,7 +261,7 @@ def points_in_regions(
     lon: str = "LON",
     lat: str = "LAT",
     degrees: float = CELL_DEGREES,
-    max_rows: int = BROADCAST_ROWS,
+    max_bytes: int = BROADCAST_BYTES,
     cell_edges: int = CELL_EDGES,
 ) -> DataFrame:
     """Inner join of points with the regions they lie strictly within: one row per point and region.
@@ -269,8 +269,7 @@ def points_in_regions(
     ``regions`` has ``region_id``, ``name`` and ``ring``, one closed outline, or ``rings``, the outlines of all
     parts and holes. Points with a missing coordinate lie in no region. Points meet regions through the
     cells of `region_cells`; where a cell of the grid was split, its points look in all its levels,
-    one of which has an answer for each region. A crowded cell is joined by broadcast (`lookup_join`), so
-    it does not become one task.
+    one of which has an answer for each region. A crowded cell does not become one task (`lookup_join`).
     """
     names = regions.groupBy("region_id").agg(F.min("name").alias("name"))
     index = stored(region_cells(regions, degrees, cell_edges).join(names, "region_id"), "regions")
@@ -281,7 +280,7 @@ def points_in_regions(
     deep = index.filter("level > 0").groupBy(F.concat_ws(":", F.lit(0), *first).alias("_cell"))
     deep = settle(deep.agg(F.max("level").alias("_deepest")))
     if not deep.isEmpty():
-        located = lookup_join(located, deep, "_cell", "left", max_rows)
+        located = lookup_join(located, deep, "_cell", "left", max_bytes)
         level = F.explode(F.sequence(F.lit(0), F.coalesce("_deepest", F.lit(0))))
         located = located.withColumn("_level", level)
         located = located.withColumn("_cell", _key(F.col("_level"), x, y, degrees))
@@ -291,7 +290,7 @@ def points_in_regions(
         F.col("pieces").alias("_pieces"),
         F.struct("region_id", "name").alias("_region"),
     )
-    met = lookup_join(located.select("_cell", "_at", *df.columns), cells, "_cell", "inner", max_rows)
+    met = lookup_join(located.select("_cell", "_at", *df.columns), cells, "_cell", "inner", max_bytes)
     return met.filter(strictly_inside(F.col("_odd"), F.col("_pieces"), x, y)).select(
         *df.columns, "_region.region_id", "_region.name"
     )

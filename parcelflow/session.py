@@ -5,11 +5,20 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-# A side of a join is broadcast only after it has been counted to be no larger than this.
+# Narrow rows are broadcast only after they have been counted to be no more than this, other sides of a join
+# only after their bytes have been.
 BROADCAST_ROWS = 200_000
+BROADCAST_BYTES = 32 * 1024 * 1024
+
+# What a row and a value take up besides the bytes of texts.
+ROW_BYTES = 32
+VALUE_BYTES = 8
 
 # Inputs that Catalyst estimates below this size may use aggregates that hold a group in one task.
 SMALL_BYTES = 1024 * 1024
@@ -79,6 +88,38 @@ def at_most(df: DataFrame, rows: int) -> bool:
     return df.limit(rows + 1).count() <= rows
 
 
+def row_bytes(kind: T.DataType, value: Column) -> Column:
+    """About how many bytes a value takes up in memory."""
+    own = F.lit(VALUE_BYTES).cast("long")
+    if isinstance(kind, (T.StringType, T.BinaryType)):
+        return own + F.coalesce(F.octet_length(value), F.lit(0))
+    if isinstance(kind, T.StructType):
+        return reduce(Column.__add__, [row_bytes(f.dataType, value[f.name]) for f in kind], own)
+    if isinstance(kind, T.ArrayType):
+        sizes = F.transform(value, lambda x: row_bytes(kind.elementType, x))
+        return own + F.coalesce(F.aggregate(sizes, F.lit(0).cast("long"), Column.__add__), F.lit(0))
+    if isinstance(kind, T.MapType):
+        entries = T.ArrayType(kind.keyType), T.ArrayType(kind.valueType)
+        return row_bytes(entries[0], F.map_keys(value)) + row_bytes(entries[1], F.map_values(value))
+    return own
+
+
+def is_literal(df: DataFrame) -> bool:
+    """True if the rows of ``df`` are part of its plan, so that each task has them anyway."""
+    try:
+        plan = df._jdf.queryExecution().optimizedPlan()
+        return plan.getClass().getSimpleName() == "LocalRelation"
+    except AttributeError:
+        return False
+
+
+def fits(df: DataFrame, max_bytes: int = BROADCAST_BYTES) -> bool:
+    """True if the rows of ``df``, measured in one pass over it, take up no more than ``max_bytes``."""
+    whole = F.struct(*[F.col(f"`{c}`") for c in df.columns])
+    size = F.sum(row_bytes(df.schema, whole) + ROW_BYTES)
+    return (df.agg(size).first()[0] or 0) <= max_bytes
+
+
 def estimated_bytes(df: DataFrame) -> int | None:
     """Catalyst's size estimate of ``df``; None where the session does not expose one."""
     try:

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from parcelflow.operators import joins, stats
+from parcelflow.operators import stats
 from parcelflow.operators.dedup import dedup_latest
 from parcelflow.operators.joins import apply_corrections, hot_keys, lookup_join
 from parcelflow.operators.quality import outlier_fences
@@ -16,6 +16,7 @@ from parcelflow.operators.resolve import first_match_join
 from parcelflow.operators.selection import group_quantiles, order_statistics, summarise
 from parcelflow.operators.spatial import CELL_EDGES, active_regions, points_in_regions, region_cells
 from parcelflow.functions.lookup import first_match
+from parcelflow.session import row_bytes
 
 
 def skewed(spark, n=4000, seed=1):
@@ -85,23 +86,58 @@ def test_summaries_keep_null_keys_apart(spark):
 
 
 @pytest.mark.parametrize("how", ["left", "inner"])
-@pytest.mark.parametrize("max_rows", [100, 1])
-def test_lookup_join_is_the_plain_join(spark, how, max_rows):
-    df = skewed(spark)
-    side = spark.createDataFrame([("hot", 1), ("a", 2), ("b", 3), ("b", 4)], "k string, w int")
+@pytest.mark.parametrize("max_bytes", [10_000, 1])
+def test_lookup_join_is_the_plain_join(spark, how, max_bytes):
+    df = skewed(spark).withColumn("m", F.create_map("k", "v"))
+    side = spark.range(4).select(
+        F.element_at(F.array(*map(F.lit, ["hot", "a", "b", "b"])), F.col("id").cast("int") + 1).alias("k"),
+        F.col("id").alias("w"),
+    )
+    df = df.drop("m") if how == "inner" else df.withColumn("m", F.when(F.col("k").isNotNull(), F.lit("x")))
     wanted = df.join(side, "k", how)
-    got = lookup_join(df, side, "k", how, max_rows=max_rows, hot_share=0.2)
+    got = lookup_join(df, side, "k", how, max_bytes=max_bytes, parts=5)
     assert sorted(map(str, got.select(wanted.columns).collect())) == sorted(map(str, wanted.collect()))
+    by_struct = lookup_join(
+        df.withColumn("k", F.struct("k")), side.withColumn("k", F.struct("k")), "k", how, max_bytes, parts=5
+    ).withColumn("k", F.col("k.k"))
+    assert sorted(map(str, by_struct.select(wanted.columns).collect())) == sorted(map(str, wanted.collect()))
 
 
 def test_hot_keys(spark):
-    assert hot_keys(skewed(spark), "k", 0.3) == ["hot"]
-
-
-def test_split_join_broadcasts_hot_keys_only(spark):
-    side = spark.createDataFrame([("hot", 1), ("a", 2), ("b", 3)], "k string, w int")
-    plan = joins._split_join(skewed(spark), side, "k", "left", 2, 0.3)._jdf.queryExecution().toString()
-    assert "BroadcastHashJoin" in plan and "Cartesian" not in plan and "NestedLoop" not in plan
+    assert [key for key, _ in hot_keys(skewed(spark), "k", 3)] == ["hot"]
+    copies = dict(hot_keys(skewed(spark), "k", 30))
+    assert copies["hot"] == 11 and all(3 <= copies[k] <= 7 for k in "abc")
+    assert hot_keys(skewed(spark).limit(0), "k", 3) == []
+
+
+def test_a_salted_join_reads_the_left_side_twice_and_splits_hot_keys(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            read.add(len(batch))
+            yield batch
+
+    n = 4000
+    left = spark.range(n).select("id", F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id")).alias("k"))
+    left = left.mapInPandas(counted, "id long, k long")
+    right = spark.range(n).select(F.col("id").alias("k"), F.lit("w").alias("w"))
+    joined = lookup_join(left, right, "k", max_bytes=1, parts=8)
+    plan = joined._jdf.queryExecution().toString()
+    assert "Cartesian" not in plan and "NestedLoop" not in plan
+    parts = joined.withColumn("task", F.spark_partition_id()).filter("k = 0").groupBy("task").count().collect()
+    assert sum(p["count"] for p in parts) == len(range(0, n, 3)) and read.value == 2 * n
+
+
+def test_a_side_is_broadcast_by_its_bytes(spark):
+    wide = spark.range(200_000).select("id", F.repeat(F.lit("x"), 10_000).alias("text"))
+    plan = lookup_join(spark.range(10), wide, "id")._jdf.queryExecution().toString()
+    assert "SortMergeJoin" in plan or "ShuffledHashJoin" in plan
+    narrow = lookup_join(spark.range(10), wide.select("id"), "id")._jdf.queryExecution().toString()
+    assert "BroadcastHashJoin" in narrow
+    nested = spark.sql("SELECT array(struct('ab' AS x, 1 AS y), null) AS a, map('k', 'vv') AS m, 2.0D AS d")
+    size = nested.select(row_bytes(nested.schema, F.struct("*"))).first()[0]
+    assert 50 < size < 150
 
 
 def test_corrections_do_not_multiply_rows(spark):
@@ -150,7 +186,7 @@ def test_points_in_a_concave_ring(spark):
     ]
     plan = found._jdf.queryExecution().toString()
     assert "CartesianProduct" not in plan and "NestedLoop" not in plan
-    by_shuffle = points_in_regions(df, shapes, degrees=0.5, max_rows=1, cell_edges=3)
+    by_shuffle = points_in_regions(df, shapes, degrees=0.5, max_bytes=1, cell_edges=3)
     assert sorted(by_shuffle.collect()) == sorted(found.collect())
     far = regions(spark, RING, [(9, 9), (10, 9), (10, 10), (9, 9)])
     assert [r["name"] for r in active_regions(far, points_in_regions(df, far)).collect()] == ["r0"]
