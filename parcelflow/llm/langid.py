@@ -24,10 +24,8 @@ ORDER = 3
 SEED = 11
 UNKNOWN = "und"
 
-# What is learned from: so many documents of a language, as expected number of a seeded sample, and so
-# many languages, the most frequent ones.
+# What is learned from: so many documents of a language, as expected number of a seeded sample.
 TRAIN_DOCS = 1_000
-MAX_LANGUAGES = 256
 
 # Bound n-grams kept by a Python worker; beyond it the table is begun anew.
 TABLE_ROWS = 30_000
@@ -166,7 +164,8 @@ def fit(
     """Prototypes from a seeded sample of about ``train_docs`` rows of each language.
 
     Rows without id, text or language are not learned from; an empty table gives a model without
-    languages. Texts are bundled by the executors; only one vector per language comes to the driver.
+    languages. Texts are bundled by the executors; only one vector per language comes to the driver, and
+    every language has one.
     """
     known = docs.select(
         F.col(lang).alias("lang"),
@@ -176,8 +175,6 @@ def fit(
     rates = (
         known.groupBy("lang")
         .count()
-        .orderBy(F.desc("count"), "lang")
-        .limit(MAX_LANGUAGES)
         .select("lang", (F.lit(train_docs) / F.col("count") * float(1 << 63)).alias("below"))
     )
     chosen = lookup_join(known, settle(rates), "lang", "inner").filter(F.col("draw") < F.col("below"))
@@ -199,13 +196,15 @@ def fit(
         .mapInPandas(bundles, "lang string, place int, x long")
         .groupBy("lang", "place")
         .agg(F.sum("x").alias("x"))
-        .collect()
+        .groupBy("lang")
+        .agg(F.sort_array(F.collect_list(F.struct("place", "x")))["x"].alias("vector"))
+        .toPandas()
+        .sort_values("lang")
     )
-    languages = sorted({r["lang"] for r in summed})
+    languages = summed["lang"].tolist()
     prototypes = np.zeros((len(languages), dimensions))
-    rows = {name: i for i, name in enumerate(languages)}
-    for r in summed:
-        prototypes[rows[r["lang"]], r["place"]] = r["x"]
+    for i, vector in enumerate(summed["vector"]):
+        prototypes[i] = vector
     sizes = np.linalg.norm(prototypes, axis=1, keepdims=True)
     return Model(
         languages,

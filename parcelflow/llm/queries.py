@@ -105,18 +105,21 @@ def op6_url_filters(spark: SparkSession, folder: str) -> DataFrame:
         UNION ALL SELECT -7, 1, 'assistant', '\\### Assistant: </turn> ok'),
     e AS (SELECT *, replace(replace(replace(text, '\\', '\\\\'), '### ', '#\\## '), '</turn>', '<\\/turn>') AS x,
         replace(replace(replace(replace(role, '\\', '\\\\'), '### ', '#\\## '), '</turn>', '<\\/turn>'), ':', '\\:') AS y
-        FROM t)
+        FROM t),
+    s AS (SELECT *, row_number() OVER w AS n, coalesce(lag(role) OVER w, 'start') || '>' || role AS step
+        FROM e WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text))
     SELECT conv_id, count(*) AS n_turns,
-        sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+        sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY n)) AS turns_sha256,
         CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
-        sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), ''))
-            AS loss_sha256,
-        CAST(sum(length(x) + length(y) + 13) + count(*) - 1 AS BIGINT) AS formatted_chars
-    FROM e GROUP BY conv_id
+        sha256(coalesce(string_agg(text, '' ORDER BY n) FILTER (role = 'assistant'), '')) AS loss_sha256,
+        CAST(sum(length(x) + length(y) + 13) + count(*) - 1 AS BIGINT) AS formatted_chars,
+        CAST(coalesce(min(n) FILTER (step NOT IN ('start>system', 'start>user', 'system>user', 'user>assistant',
+            'assistant>user')), CASE WHEN arg_max(role, n) <> 'assistant' THEN 0 END) AS INTEGER) AS fault
+    FROM s GROUP BY conv_id
     """,
 )
 def op7_chat_formatting(spark: SparkSession, folder: str) -> DataFrame:
-    """Digests of what is read back from every formatted conversation."""
+    """Digests of what is read back from every formatted conversation, and its first wrong turn."""
     given = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
     tricky = spark.range(2).select(
         F.lit(TRICKY_ID).cast("long").alias("conv_id"),
@@ -130,6 +133,7 @@ def op7_chat_formatting(spark: SparkSession, folder: str) -> DataFrame:
         chat.read_back(F.col("formatted")).alias("turns"),
         F.array_join(chat.loss_texts(F.col("segments")), "").alias("loss"),
         F.length("formatted").cast("long").alias("formatted_chars"),
+        "fault",
     )
     lines = F.transform(
         "turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))
@@ -141,6 +145,7 @@ def op7_chat_formatting(spark: SparkSession, folder: str) -> DataFrame:
         F.length("loss").cast("long").alias("loss_chars"),
         F.sha2("loss", 256).alias("loss_sha256"),
         "formatted_chars",
+        "fault",
     )
 
 
