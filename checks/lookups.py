@@ -138,7 +138,7 @@ def _first_words(spark, folder, **options):
     )
     dictionary = words.select(F.col("name").alias("priority"), "name")
     documents = table(spark, folder, "documents").select("doc_id", "text")
-    return first_match_join(documents, "doc_id", "text", dictionary, "hit", **options).select("doc_id", "hit")
+    return first_match_join(documents, "text", dictionary, "hit", **options).select("doc_id", "hit")
 
 
 @check("first_match_dictionary", DICTIONARY_SQL)
@@ -151,6 +151,26 @@ def first_match_dictionary_join(spark, folder):
     return _first_words(spark, folder, inline=0)
 
 
+@check(
+    "first_match_dictionary_large",
+    r"""
+    WITH d AS (SELECT DISTINCT upper(w) AS name FROM (
+        SELECT unnest(regexp_extract_all(text, '[A-Za-z]{2,}')) AS w FROM documents)),
+    t AS (SELECT DISTINCT text, translate(upper(text), 'ĄĆĘŁŃÓŚŹŻ', 'ACELNOSZZ') AS body FROM conversations),
+    m AS (SELECT text, arg_min(name, (-length(name), name)) AS hit FROM t JOIN d ON contains(body, name) GROUP BY text)
+    SELECT c.conv_id, c.turn, m.hit FROM conversations c LEFT JOIN m ON m.text = c.text""",
+)
+def first_match_dictionary_large(spark, folder):
+    """The longest of all words of `documents`, short ones included, in each turn of a conversation."""
+    words = table(spark, folder, "documents").select(
+        F.explode(F.regexp_extract_all("text", F.lit("([A-Za-z]{2,})"), 1)).alias("w")
+    )
+    names = words.select(F.upper("w").alias("name")).distinct()
+    turns = table(spark, folder, "conversations").select("conv_id", "turn", "text")
+    dictionary = names.select(F.col("name").alias("priority"), "name")
+    return first_match_join(turns, "text", dictionary, "hit", "longest_match").drop("text")
+
+
 # Regions derived from `nation`: an arrow-shaped, concave ring around a centre of its own.
 SHAPE = [(-3.1, -2.3), (3.3, -2.7), (0.37, 0.21), (2.9, 3.1), (-2.7, 2.9), (-0.77, 0.13), (-3.1, -2.3)]
 

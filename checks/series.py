@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from checks.registry import check, rnd, table
@@ -12,6 +14,7 @@ from parcelflow.plans.market import MEDIANS, daily_market_stats, daily_medians,
 from parcelflow.plans.prepare import Places
 from parcelflow.profiles import lomza
 from parcelflow.session import scratch_path
+from parcelflow.sources.dimensions import gazetteer_frame
 from parcelflow.sources.snapshots import latest_snapshot, write_snapshot
 from parcelflow.sources.tables import ParquetTables, load_tables
 
@@ -295,14 +298,32 @@ CLEANED_SQL = f"""
     FROM placed"""
 
 
-@check("cleaned_listings", CLEANED_SQL)
-def cleaned_listings(spark, folder):
-    listings = build_listings(raw_sources(spark, folder), MARKET)
+def _shown_listings(spark, folder, market):
+    listings = build_listings(raw_sources(spark, folder), market)
     return listings.withColumns(
         {c: F.round(c, 6) for c in ("AREA_M2", "PRICE_M2", "PRICE", "MAIN_CITY_DIST")}
     )
 
 
+@check("cleaned_listings", CLEANED_SQL)
+def cleaned_listings(spark, folder):
+    return _shown_listings(spark, folder, MARKET)
+
+
+@check("cleaned_listings_table", CLEANED_SQL)
+def cleaned_listings_by_table(spark, folder):
+    """The gazetteer as a table, with a name for every order that no listing has."""
+    known = gazetteer_frame(spark, PLACES)
+    others = table(spark, folder, "orders").select(
+        F.lit(-1).alias("priority"),
+        F.concat(F.lit("Q"), F.upper(F.md5(F.col("o_orderkey").cast("string")))).alias("CITY"),
+        F.lit(0.0).alias("LAT"),
+        F.lit(0.0).alias("LON"),
+    )
+    places = replace(MARKET.places, gazetteer=known.unionByName(others))
+    return _shown_listings(spark, folder, replace(MARKET, places=places))
+
+
 @check(
     "latest_snapshot",
     """

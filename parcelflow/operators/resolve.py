@@ -5,10 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from parcelflow.functions.lookup import INLINE_NAMES, computed_once, first_match_in_text, piece_size, pieces
+from parcelflow.functions.lookup import INLINE_NAMES, first_match_in_text, pieces
 from parcelflow.functions.text import fold
 from parcelflow.operators.joins import lookup_join
-from parcelflow.session import at_most
+from parcelflow.session import at_most, settle, stored
+
+# Lengths of the pieces by which names are found; a shorter name is a piece of its own length.
+PIECE_SIZES = (8, 4)
 
 
 def attach_coordinates(df: DataFrame, gazetteer: DataFrame, city: str = "CITY") -> DataFrame:
@@ -19,47 +22,86 @@ def attach_coordinates(df: DataFrame, gazetteer: DataFrame, city: str = "CITY")
 
 def first_match_join(
     df: DataFrame,
-    key: str,
     text: str,
     dictionary: DataFrame,
     result: str,
+    mode: str = "first_match",
+    hyphen_as_space: bool = False,
     inline: int = INLINE_NAMES,
 ) -> DataFrame:
     """`functions.lookup.first_match` for dictionaries in a table, however large.
 
-    ``dictionary`` holds ``(priority, name)``; ``key`` names each row of ``df``. Up to ``inline``
-    names are written into the plan, which needs no shuffle. Beyond, texts are cut into their distinct
-    pieces of a few letters and equi-joined with the first letters of each name; only the few names
-    that share a piece are then looked for in the text, and the one of lowest priority is kept.
-    Pieces travel without their text. Null names are skipped, equal priorities go by name, and rows with
-    a null key are searched like others. Shorter names meet pieces of their own length.
+    ``dictionary`` holds ``(priority, name)``. Up to ``inline`` names are written into the plan, which needs
+    no shuffle. Beyond, each name is filed under its rarest piece: names of one length class are cut into
+    pieces of one size, and the pieces are counted over all texts. Texts are cut likewise and meet the
+    names filed under their pieces; a name is looked for in the text at once, and of those that are in it
+    only the least (``first_match``: priority, then name; ``longest_match``: longest first) is kept while
+    rows are gathered. Equal texts are searched once. Null names and texts match nothing.
     """
-    if at_most(dictionary, inline):
+    if mode not in ("first_match", "longest_match"):
+        raise ValueError(mode)
+    if mode == "first_match" and not hyphen_as_space and at_most(dictionary, inline):
         known = dictionary.filter("name IS NOT NULL").orderBy("priority", "name")
         ordered = [row["name"] for row in known.collect()]
         return df.withColumn(result, first_match_in_text(F.col(text), ordered))
-    names = dictionary.select("priority", "name", fold(F.col("name")).alias("probe")).filter(
-        F.length("probe") > 0
-    )
-    shortest = names.agg(F.min(F.length("probe"))).first()[0]
-    if shortest is None:
-        return df.withColumn(result, F.lit(None).cast("string"))
-    names = names.withColumn("piece", F.substring("probe", 1, piece_size(shortest)))
-    sizes = [row[0] for row in names.select(F.length("piece")).distinct().collect()]
     searched = fold(F.col(text))
-    cut = F.array_distinct(F.concat(*[pieces(searched, size) for size in sizes]))
-    cut = df.select(key, F.explode(cut).alias("piece"))
-    candidates = (
-        lookup_join(cut, names, "piece", "inner")
-        .groupBy(F.col(key).alias("_key"))
-        .agg(F.collect_set(F.struct("priority", "name", "probe")).alias("_names"))
-    )
+    keyed = df.withColumn("_text", F.unhex(F.substring(F.sha2(searched, 256), 1, 32)))
+    texts = keyed.select("_text", searched.alias("body")).filter("_text IS NOT NULL").distinct()
+    texts = stored(texts, "texts")
+    found = _least_names(texts, _filed(dictionary, texts, mode, hyphen_as_space))
+    found = settle(found.withColumnRenamed("name", "_found"))
+    named = lookup_join(keyed, found, "_text")
+    return named.withColumn(result, F.col("_found")).select(*dict.fromkeys([*df.columns, result]))
+
+
+def _size(probe: Column) -> Column:
+    """Size of the pieces of a name's length class."""
+    size = F.length(probe)
+    for known in sorted(PIECE_SIZES):
+        size = F.when(F.length(probe) >= known, known).otherwise(size)
+    return size
 
-    def best(body: Column) -> Column:
-        return F.array_min(F.filter("_names", lambda name: F.contains(body, name["probe"])))["name"]
 
-    return (
-        df.join(candidates, F.col(key).eqNullSafe(F.col("_key")), "left")
-        .withColumn(result, computed_once(searched, best))
-        .select(*df.columns, result)
+def _text_pieces(texts: DataFrame, sizes: list[int]) -> DataFrame:
+    """The different pieces of each text; long texts stay out of the rows."""
+    cut = F.array_distinct(F.concat(*[pieces(F.col("body"), size) for size in sizes]))
+    return texts.select("_text", F.explode(cut).alias("piece"))
+
+
+def _filed(dictionary: DataFrame, texts: DataFrame, mode: str, hyphen_as_space: bool) -> DataFrame:
+    """``piece``, ``probe``, ``rank`` and ``name`` of every name that has a piece in the texts, under the rarest
+    of its pieces there; names with a piece that no text has are in none."""
+    probe = fold(F.col("name"))
+    probe = F.replace(probe, F.lit("-"), F.lit(" ")) if hyphen_as_space else probe
+    length = F.length("best.name") if mode == "longest_match" else F.lit(0)
+    names = dictionary.select("priority", "name", probe.alias("probe")).filter(F.length("probe") > 0)
+    names = names.groupBy("probe").agg(F.min(F.struct("priority", "name")).alias("best"))
+    names = settle(
+        names.select(
+            "probe", F.struct((-length).alias("shorter"), "best.priority", "best.name").alias("rank")
+        )
+    )
+    sizes = sorted(r[0] for r in names.select(_size(F.col("probe"))).distinct().collect())
+    if not sizes:
+        return names.select(F.col("probe").alias("piece"), "probe", "rank")
+    parts = F.concat(
+        *[F.when(_size(F.col("probe")) == n, pieces(F.col("probe"), n)).otherwise(F.array()) for n in sizes]
     )
+    cut = names.select("probe", "rank", F.explode(F.array_distinct(parts)).alias("piece"))
+    known = settle(cut.select("piece").distinct())
+    counts = lookup_join(_text_pieces(texts, sizes), known, "piece", "inner").groupBy("piece").count()
+    counted = cut.join(settle(counts), "piece", "left")
+    # A missing piece counts as none, and is the rarest.
+    rarest = F.min(F.struct(F.coalesce("count", F.lit(0)).alias("count"), "piece"))
+    chosen = counted.groupBy("probe", "rank").agg(rarest.alias("rarest")).filter("rarest.count > 0")
+    return settle(chosen.select("rarest.piece", "probe", "rank"))
+
+
+def _least_names(texts: DataFrame, filed: DataFrame) -> DataFrame:
+    """``_text`` and the least ``name`` in it, for texts with any."""
+    sizes = sorted(r[0] for r in filed.select(F.length("piece")).distinct().collect())
+    if not sizes:
+        return texts.select("_text", F.lit(None).cast("string").alias("name")).limit(0)
+    met = lookup_join(_text_pieces(texts, sizes), filed, "piece", "inner").drop("piece")
+    hits = met.join(texts, "_text").filter(F.contains("body", "probe"))
+    return hits.groupBy("_text").agg(F.min("rank").alias("least")).select("_text", "least.name")

@@ -14,7 +14,7 @@ from parcelflow.functions import rules
 from parcelflow.functions.lookup import replace_exact
 from parcelflow.plans.prepare import Places, Quantity, SourceSpec, harmonise, prepare
 from parcelflow.profiles import lomza
-from parcelflow.sources.dimensions import gazetteer_frame, parse_gazetteer
+from parcelflow.sources.dimensions import parse_gazetteer
 
 
 @dataclass(frozen=True)
@@ -118,7 +118,7 @@ def anonymise(df: DataFrame, names: Mapping[str, str], other: str = "Other") ->
 def build_listings(raw: Mapping[str, DataFrame], market: Market) -> DataFrame:
     """Cleaned listings from raw tables, in the order and the shape of `schemas.LISTINGS`."""
     spark = next(iter(raw.values())).sparkSession
-    gazetteer = gazetteer_frame(spark, market.places.gazetteer)
+    gazetteer = market.places.frame(spark)
     prepared = {
         name: prepare(df, market.sources[name], market.places, gazetteer) for name, df in raw.items()
     }

@@ -5,18 +5,19 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parcelflow import schemas
 from parcelflow.functions.dates import parse_date
-from parcelflow.functions.lookup import first_match, replace_exact, resolve_place
+from parcelflow.functions.lookup import INLINE_NAMES, first_match, replace_exact, resolve_place
 from parcelflow.functions.rules import fill_missing, unit_price
 from parcelflow.functions.text import parse_quantity, slug_to_name, strip_whitespace
 from parcelflow.operators.dedup import dedup_latest
 from parcelflow.operators.quality import correct_unit_errors
-from parcelflow.operators.resolve import attach_coordinates
-from parcelflow.session import stored
+from parcelflow.operators.resolve import attach_coordinates, first_match_join
+from parcelflow.session import settle, stored
+from parcelflow.sources.dimensions import gazetteer_frame
 
 
 @dataclass(frozen=True)
@@ -51,9 +52,10 @@ class SourceSpec:
 
 @dataclass(frozen=True)
 class Places:
-    """Gazetteer and dictionaries for resolving locations."""
+    """Gazetteer and dictionaries for resolving locations. The gazetteer is a list, which goes into the plan
+    while it is short, or a table (``priority``, ``CITY``, ``LAT``, ``LON``) of any size, which is joined."""
 
-    gazetteer: Sequence[tuple[int, str, float, float]]
+    gazetteer: Sequence[tuple[int, str, float, float]] | DataFrame
     corrections: Mapping[str, str] = field(default_factory=dict)
     no_place: str = "BRAK"
     default_place: str = "ŁOMŻA"
@@ -63,17 +65,29 @@ class Places:
     def names(self) -> list[str]:
         return [name for _, name, _, _ in self.gazetteer]
 
+    @property
+    def inline(self) -> bool:
+        """Whether names are searched for by an expression that lists them."""
+        return not isinstance(self.gazetteer, DataFrame) and len(self.gazetteer) <= INLINE_NAMES
+
+    def frame(self, spark: SparkSession) -> DataFrame:
+        """The gazetteer as a table with one row per name, that of the lowest priority."""
+        if not isinstance(self.gazetteer, DataFrame):
+            return gazetteer_frame(spark, self.gazetteer)
+        first = self.gazetteer.groupBy("CITY").agg(F.min(F.struct("priority", "LAT", "LON")).alias("first"))
+        return settle(first.select("first.priority", "CITY", "first.LAT", "first.LON"))
+
 
 def prepare(df: DataFrame, spec: SourceSpec, places: Places, gazetteer: DataFrame) -> DataFrame:
     """Filter, rename, parse, repair and locate the listings of one source."""
     df = df.withColumnsRenamed(dict(spec.rename))
     for condition in spec.keep:
         df = df.filter(condition)
+    df = df.withColumns({c: parse_date(F.col(c)) for c in spec.dates})
     if spec.dedup:
         df = dedup_latest(df, ["ID"], ["LAST_UPDATED", "DATE_ADDED"])
         # The fences below read one column several times; the rows should be grouped only once.
         df = stored(df, "unique") if spec.unit_errors else df
-    df = df.withColumns({c: parse_date(F.col(c)) for c in spec.dates})
     if spec.added_from_updated:
         df = fill_missing(df, "DATE_ADDED", "LAST_UPDATED")
     df = df.withColumns(
@@ -86,28 +100,38 @@ def prepare(df: DataFrame, spec: SourceSpec, places: Places, gazetteer: DataFram
         df = correct_unit_errors(df, "AREA_M2", spec.unit_errors)
     if spec.derive_unit_price:
         df = unit_price(df)
-    return attach_coordinates(locate(df, spec, places), gazetteer)
+    return attach_coordinates(locate(df, spec, places, gazetteer), gazetteer)
 
 
-def locate(df: DataFrame, spec: SourceSpec, places: Places) -> DataFrame:
+def locate(df: DataFrame, spec: SourceSpec, places: Places, gazetteer: DataFrame) -> DataFrame:
     """Set ``CITY`` in the way of the source."""
     if spec.place == "exact":
         return df.withColumn("CITY", F.upper("CITY"))
     if spec.place == "slug":
         searched = slug_to_name(F.col("ID"), spec.noise)
-        return df.withColumn("CITY", _recognise(searched, places, hyphen_as_space=True))
+        return _recognise(df, searched, places, gazetteer, hyphen_as_space=True)
     if spec.place == "text":
         given = replace_exact(F.upper(strip_whitespace(F.col("CITY"))), places.corrections)
-        known = df.withColumn("CITY", given)
-        resolved = _recognise(F.col("CITY"), places)
-        return known.withColumn(
-            "CITY", resolve_place(F.col("CITY"), resolved, places.no_place, places.default_place)
-        )
+        known = _recognise(df.withColumn("_given", given), F.col("_given"), places, gazetteer)
+        city = resolve_place(F.col("_given"), F.col("CITY"), places.no_place, places.default_place)
+        return known.withColumn("CITY", city).drop("_given")
     raise ValueError(spec.place)
 
 
-def _recognise(text: Column, places: Places, hyphen_as_space: bool = False) -> Column:
-    return first_match(text, places.names, places.mode, hyphen_as_space=hyphen_as_space)
+def _recognise(
+    df: DataFrame, text: Column, places: Places, gazetteer: DataFrame, hyphen_as_space: bool = False
+) -> DataFrame:
+    """``CITY`` as the name that occurs in ``text``."""
+    if places.inline:
+        return df.withColumn(
+            "CITY", first_match(text, places.names, places.mode, hyphen_as_space=hyphen_as_space)
+        )
+    names = gazetteer.select("priority", F.col("CITY").alias("name"))
+    rows = df.withColumn("_searched", text)
+    found = first_match_join(
+        rows, "_searched", names, "CITY", places.mode, hyphen_as_space=hyphen_as_space, inline=0
+    )
+    return found.drop("_searched")
 
 
 def harmonise(df: DataFrame, source: str, aliases: Mapping[str, str] = {"VALUE": "PRICE"}) -> DataFrame:

@@ -5,7 +5,9 @@ import statistics
 from fractions import Fraction
 
 import numpy as np
+import pandas as pd
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from parcelflow.operators import stats
@@ -16,6 +18,7 @@ from parcelflow.operators.resolve import first_match_join
 from parcelflow.operators.selection import group_quantiles, order_statistics, summarise
 from parcelflow.operators.spatial import CELL_EDGES, active_regions, points_in_regions, region_cells
 from parcelflow.functions.lookup import first_match
+from parcelflow.functions.text import fold_literal
 from parcelflow.session import row_bytes
 
 
@@ -153,6 +156,25 @@ def test_dedup_prefers_the_latest(spark):
     assert sorted(map(tuple, dedup_latest(df, ["ID"], ["d"]).collect())) == [("a", "2024-02-01", 0), ("b", None, 4)]
 
 
+def test_dedup_without_sorted_aggregates(spark):
+    day = dt.date(2024, 1, 1)
+    rows = []
+    rng = random.Random(41)
+    for _ in range(600):
+        dates = [None if rng.random() < 0.2 else day + dt.timedelta(rng.randrange(3)) for _ in range(2)]
+        rows.append((rng.choice(["a", "b", None]), rng.choice([1, None]), *dates, rng.choice(["x", None, "y"]), rng.random()))
+    df = spark.createDataFrame(rows, "k string, l int, d date, e date, t string, v double")
+    for recency in (["d", "e"], ["d"], ["v"], ["t", "d"]):
+        rest = [c for c in df.columns if c not in ("k", "l", *recency)]
+        order = [F.desc(c) for c in (*recency, *rest)]
+        place = F.row_number().over(Window.partitionBy("k", "l").orderBy(*order))
+        wanted = df.withColumn("p", place).filter("p = 1").drop("p")
+        found = dedup_latest(df, ["k", "l"], recency)
+        assert sorted(map(str, found.collect())) == sorted(map(str, wanted.collect()))
+        if recency != ["t", "d"]:
+            assert "SortAggregate" not in found._jdf.queryExecution().toString()
+
+
 def test_dictionary_join_equals_the_expression(spark):
     names = ["STARE KRAJEWO", "KRAJEWO", "WYK", "ŁO", "Ł", "ZAMBRÓW", "GÓRKI-SYPNIEWO"]
     texts = ["w Krajewie stare krajewo", "WYKROT", "Lomza", "al", "górki-sypniewo", "", "nic", None, "xzambrowy"]
@@ -160,10 +182,34 @@ def test_dictionary_join_equals_the_expression(spark):
     dictionary = spark.createDataFrame(list(enumerate(names)), "priority int, name string")
     wanted = df.withColumn("hit", first_match(F.col("t"), names))
     for inline in (0, 100):
-        got = first_match_join(df, "id", "t", dictionary, "hit", inline=inline)
+        got = first_match_join(df, "t", dictionary, "hit", inline=inline)
         assert sorted(map(str, got.collect())) == sorted(map(str, wanted.collect()))
 
 
+def test_a_dictionary_of_100000_names_with_short_ones(spark):
+    rng = random.Random(31)
+    letters = "ABCDEFGHIJ-K"
+    names = {"".join(rng.choices(letters, k=rng.choice([2, 3, 4, 5, 7, 8, 9, 14]))) for _ in range(130_000)}
+    names = sorted(names | {"ŻÓŁW", "AB CD"})
+    rng.shuffle(names)
+    assert len(names) > 90_000
+    texts = ["".join(rng.choices(letters + "xyz ", k=rng.choice([0, 1, 2, 9, 40, 200]))) for _ in range(60)]
+    texts += [*texts[:5], "zolw", None, f"zz{max(names, key=len)}zz"]
+    dictionary = spark.createDataFrame(pd.DataFrame({"priority": range(len(names)), "name": names}))
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, t string")
+    for mode in ("first_match", "longest_match"):
+        for spaces in (False, True):
+            got = first_match_join(df, "t", dictionary, "hit", mode, spaces, inline=0)
+            plan = got._jdf.queryExecution().toString()
+            assert "Cartesian" not in plan and "NestedLoop" not in plan
+            probes = [(fold_literal(n).replace("-", " ") if spaces else fold_literal(n), n) for n in names]
+            for row in got.collect():
+                body = fold_literal(row["t"]) if row["t"] is not None else ""
+                hits = [n for probe, n in probes if probe in body]
+                wanted = hits and (hits[0] if mode == "first_match" else max(hits, key=len))
+                assert row["hit"] == (wanted or None)
+
+
 RING = [(0, 0), (4, 0), (4, 4), (2, 1), (0, 4), (0, 0)]
 
 
