@@ -34,7 +34,7 @@ def _newest(df: DataFrame, recency: Sequence[str]) -> Column:
     if len(recency) == 1 and kinds[recency[0]] in PLAIN:
         return F.col(recency[0])
     if len(recency) == 2 and all(kinds[c] == "date" for c in recency):
-        # No date is as early as the smallest number, which stands for a missing one.
-        first, second = (F.coalesce(F.unix_date(c).cast("long"), F.lit(-(1 << 31))) for c in recency)
+        # No date is as early as the number that stands for a missing one.
+        first, second = (F.coalesce(F.unix_date(c).cast("long"), F.lit(-(1 << 30))) for c in recency)
         return first * (1 << 32) + second
     return F.struct(*recency)
