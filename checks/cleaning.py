@@ -19,6 +19,7 @@ from parcelflow.functions.text import (
 from parcelflow.operators.quality import (
     correct_unit_errors,
     null_profile,
+    table_profile,
     outlier_fences,
     fences_column,
     is_outlier,
@@ -386,6 +387,25 @@ def nulls(spark, folder):
     )
 
 
+@check(
+    "table_profile",
+    """
+    SELECT rows, CAST(7 AS BIGINT) AS columns, p.position, p.name AS "column", p.nulls FROM (SELECT count(*) AS rows,
+        unnest([{'position': 0, 'name': 'event_id', 'nulls': count(*) - count(event_id)},
+                {'position': 1, 'name': 'ts', 'nulls': count(*) - count(ts)},
+                {'position': 2, 'name': 'user_id', 'nulls': count(*) - count(user_id)},
+                {'position': 3, 'name': 'event_type', 'nulls': count(*) - count(event_type)},
+                {'position': 4, 'name': 'value', 'nulls': count(*) - count(value)},
+                {'position': 5, 'name': 'props', 'nulls': count(*) - count(props)},
+                {'position': 6, 'name': 'error', 'nulls': count(*) - count(*) FILTER (event_type = 'error')}]) AS p FROM events)""",
+)
+def whole_profile(spark, folder):
+    events = table(spark, folder, "events")
+    events = events.withColumn("error", F.when(F.col("event_type") == "error", True))
+    found = table_profile(events).select("rows", "columns", F.inline("profile"))
+    return found.select("rows", "columns", "position", "column", "nulls")
+
+
 @check(
     "regex_filters",
     r"""

@@ -7,14 +7,15 @@ from pyspark.sql import functions as F
 
 from checks.aggregates import LABEL_SQL, LISTED_SQL, listed
 from checks.registry import check, rnd, rounded, table
-from parcelflow.learning.encode import impute_median, indicators, standardise
-from parcelflow.learning.forest import (
-    Features,
-    feature_stages,
-    label_stages,
-    numeric_as_double,
-    regressor,
+from parcelflow.learning.encode import (
+    category_index,
+    impute_median,
+    indicators,
+    sparse_indicators,
+    standardise,
 )
+from parcelflow.learning.folds import learn_folds, shown
+from parcelflow.learning.forest import Features, numeric_as_double
 from parcelflow.learning.metrics import (
     classification_report,
     confusion_matrix,
@@ -25,7 +26,7 @@ from parcelflow.learning.metrics import (
 )
 from parcelflow.learning.search import grid_search
 from parcelflow.learning.split import contiguous_folds, hashed_folds, random_split, shuffled, stratified_split
-from parcelflow.plans.valuation import classify, labelled_listings, price_errors
+from parcelflow.plans.valuation import classify, labelled_listings, price_errors, price_model
 from parcelflow.learning.trend import fit_robust_line
 from parcelflow.operators.pricing import RATIO_LABELS, price_attractiveness
 from parcelflow.functions.numeric import great_circle_km
@@ -68,7 +69,16 @@ def stratified_folds(spark, folder):
     return contiguous_folds(customers, F.col("c_custkey"), 5, by="c_mktsegment")
 
 
-@check("random_split")
+# The order in which rows are split, of a key `k`.
+SHUFFLED_SQL = "CAST('0x' || substr(md5('42:' || CAST(k AS VARCHAR)), 1, 15) AS BIGINT)"
+
+
+@check(
+    "random_split",
+    f"""
+    SELECT o_orderkey, CASE WHEN h % 1000000 >= 200000 THEN 'train' ELSE 'test' END AS split, CAST(h % 5 AS INTEGER) AS fold
+    FROM (SELECT o_orderkey, {SHUFFLED_SQL.replace('k AS', 'o_orderkey AS')} AS h FROM orders)""",
+)
 def plain_split(spark, folder):
     orders = table(spark, folder, "orders").select("o_orderkey")
     return hashed_folds(random_split(orders, "o_orderkey"), "o_orderkey")
@@ -92,6 +102,34 @@ def one_hot(spark, folder):
     return indicators(orders, {"p": None, "s": ["P", "O", "F"]})
 
 
+@check(
+    "one_hot_sparse",
+    """
+    WITH t AS (SELECT o_orderkey, CASE WHEN o_custkey % 7 = 0 THEN NULL ELSE CAST(o_custkey AS VARCHAR) END AS c,
+                      o_orderpriority AS p FROM orders),
+    learned AS (SELECT * FROM t WHERE o_orderkey % 3 <> 0),
+    c AS (SELECT c AS value, row_number() OVER (ORDER BY c) - 2 AS i FROM (SELECT DISTINCT c FROM learned WHERE c IS NOT NULL)),
+    p AS (SELECT p AS value, row_number() OVER (ORDER BY p) - 2 AS i FROM (SELECT DISTINCT p FROM learned)),
+    n AS (SELECT count(*) - 1 AS n FROM c)
+    SELECT o_orderkey, n + (SELECT count(*) - 1 FROM p) AS size, i AS index FROM t JOIN c ON c.value = t.c, n WHERE i >= 0
+    UNION ALL SELECT o_orderkey, n + (SELECT count(*) - 1 FROM p), n + i FROM t JOIN p ON p.value = t.p, n WHERE i >= 0""",
+)
+def one_hot_sparse(spark, folder):
+    """A category for most customers; those of some orders are not learned."""
+    orders = table(spark, folder, "orders").select(
+        "o_orderkey",
+        F.when(F.col("o_custkey") % 7 != 0, F.col("o_custkey").cast("string")).alias("c"),
+        F.col("o_orderpriority").alias("p"),
+    )
+    learned = orders.filter(F.col("o_orderkey") % 3 != 0)
+    made = sparse_indicators(orders, ["c", "p"], {c: category_index(learned, c) for c in ("c", "p")})
+    return made.select(
+        "o_orderkey",
+        F.col("features.size").cast("long").alias("size"),
+        F.explode("features.indices").alias("index"),
+    )
+
+
 @check(
     "impute_scale",
     f"""
@@ -224,17 +262,23 @@ def _trend_sql(rounds: int) -> str:
         )
     return (
         "WITH " + ", ".join(steps)
-        + f" SELECT {rnd('icept', 5)} AS intercept, {rnd('slope', 7)} AS slope, {rnd('scale', 5)} AS scale FROM l{rounds}, m{rounds}"
+        + f" SELECT {rnd('icept', 5)} AS intercept, {rnd('slope', 7)} AS slope, {rnd('scale', 5)} AS scale, true AS converged FROM l{rounds}, m{rounds}"
     )
 
 
-@check("robust_trend", _trend_sql(6))
+# More rounds than the line needs to stand still.
+@check("robust_trend", _trend_sql(30))
 def robust_trend(spark, folder):
     events = table(spark, folder, "events").select(
         F.col("user_id").alias("x"), (F.col("value") + 0.3 * F.col("user_id")).alias("y")
     )
-    line = fit_robust_line(events, "x", "y", max_rounds=6, tolerance=0.0)
-    values = {"intercept": round(line.intercept, 5), "slope": round(line.slope, 7), "scale": round(line.scale, 5)}
+    line = fit_robust_line(events, "x", "y")
+    values = {
+        "intercept": round(line.intercept, 5),
+        "slope": round(line.slope, 7),
+        "scale": round(line.scale, 5),
+        "converged": line.converged,
+    }
     return spark.createDataFrame(pa.Table.from_pylist([values]))
 
 
@@ -274,13 +318,7 @@ def rf_classify(spark, folder):
 
 @check("rf_regress")
 def rf_regress(spark, folder):
-    rows = _labelled_rows(spark, folder).filter(F.col("PRICE_M2") < 1000)
-    marked = settle(random_split(rows, "ID"))
-    train, test = (marked.filter(F.col("split") == side) for side in ("train", "test"))
-    predicted = regressor(train, "PRICE_M2", FEATURES, trees=10, depth=6).fit(train).transform(test)
-    everything = regression_metrics(predicted, "PRICE_M2", "PREDICTED").withColumn("kept", F.lit("all"))
-    kept = trimmed_metrics(predicted, "PRICE_M2", "PREDICTED").withColumn("kept", F.lit("trimmed"))
-    return everything.unionByName(kept)
+    return price_model(_labelled_rows(spark, folder), FEATURES, trees=10, depth=6).metrics
 
 
 @check("out_of_fold")
@@ -292,11 +330,11 @@ def held_out(spark, folder):
 @check("grid_search")
 def search(spark, folder):
     rows = contiguous_folds(_labelled_rows(spark, folder), shuffled("ID"), 2, by="PRICE_ATTRACTIVENESS")
-    rows = settle(rows)
-    to_index, _ = label_stages(RATIO_LABELS, "PRICE_ATTRACTIVENESS")
     found = grid_search(
-        rows,
-        [*feature_stages(rows, FEATURES), to_index],
+        settle(rows),
+        "PRICE_ATTRACTIVENESS",
+        RATIO_LABELS,
+        FEATURES,
         "fold",
         folds=2,
         trees=[5],
@@ -311,3 +349,125 @@ def search(spark, folder):
         for c in found.candidates
     ]
     return spark.createDataFrame(pa.Table.from_pylist(shown))
+
+
+# Orders whose day of the month decides label and price, so that it is known what a model must say; at
+# the library's own numbers of trees, depths and folds.
+KNOWN_FEATURES = Features(numeric=("AREA_M2", "DAYS_ON_MARKET"), categorical={"SOURCE": None})
+KNOWN_SQL = f"""
+    known AS (SELECT *, CASE WHEN d <= 10 THEN 'Underpriced' WHEN d <= 20 THEN 'Market Price' ELSE 'Overpriced' END AS label,
+                     CASE WHEN d <= 10 THEN 128.0::DOUBLE WHEN d <= 20 THEN 512.0::DOUBLE ELSE 2048.0::DOUBLE END AS price
+              FROM (SELECT o_orderkey AS k, o_orderstatus AS source, day(o_orderdate) AS d FROM orders)),
+    hashed AS (SELECT *, {SHUFFLED_SQL} AS h FROM known),
+    placed AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY h) AS i, count(*) OVER (PARTITION BY label) AS n,
+                      row_number() OVER (ORDER BY h) - 1 AS j FROM hashed)"""
+# All predictions are right, so a report holds the numbers of test rows only.
+REPORT_SQL = f"""
+    tested AS (SELECT label, count(*) AS n FROM placed WHERE i > floor(round(n * 0.8, 6)) GROUP BY label),
+    report AS (SELECT label, n FROM tested
+        UNION ALL SELECT a, sum(n) FROM tested, (SELECT unnest(['accuracy', 'macro avg', 'weighted avg']) AS a) GROUP BY a)"""
+
+
+def _known_rows(spark, folder):
+    day = F.dayofmonth("o_orderdate")
+    return table(spark, folder, "orders").select(
+        F.col("o_orderkey").alias("ID"),
+        F.when(day <= 10, "Underpriced").when(day <= 20, "Market Price").otherwise("Overpriced").alias("PRICE_ATTRACTIVENESS"),
+        F.when(day <= 10, 128.0).when(day <= 20, 512.0).otherwise(2048.0).alias("PRICE_M2"),
+        F.when(F.col("o_orderkey") % 17 != 0, F.col("o_totalprice")).alias("AREA_M2"),
+        day.alias("DAYS_ON_MARKET"),
+        F.col("o_orderstatus").alias("SOURCE"),
+    )
+
+
+@check(
+    "rf_classify_known",
+    f"""WITH {KNOWN_SQL}, {REPORT_SQL}
+    SELECT label, 1.0::DOUBLE AS precision, 1.0::DOUBLE AS recall, 1.0::DOUBLE AS f1, CAST(n AS BIGINT) AS support FROM report""",
+)
+def rf_classify_known(spark, folder):
+    return classify(_known_rows(spark, folder), KNOWN_FEATURES).report
+
+
+@check(
+    "price_model_known",
+    f"""WITH {KNOWN_SQL}, t AS (SELECT count(*) AS n FROM hashed WHERE h % 1000000 < 200000)
+    SELECT n, 0.0::DOUBLE AS mae, 1.0::DOUBLE AS r2, unnest(['all', 'trimmed']) AS kept FROM t""",
+)
+def price_model_known(spark, folder):
+    return price_model(_known_rows(spark, folder), KNOWN_FEATURES, limit=4000.0).metrics
+
+
+@check(
+    "out_of_fold_known",
+    f"""WITH {KNOWN_SQL}
+    SELECT label AS PRICE_ATTRACTIVENESS, 0.0::DOUBLE AS "MPE_pct", 0.0::DOUBLE AS "Median_Error_pct", count(*) AS "Offers_num"
+    FROM known WHERE price < 1000 GROUP BY label
+    UNION ALL SELECT 'Overpriced', NULL, NULL, 0""",
+)
+def out_of_fold_known(spark, folder):
+    errors = price_errors(_known_rows(spark, folder), KNOWN_FEATURES)
+    return error_summary(errors, "PRICE_ATTRACTIVENESS")
+
+
+@check(
+    "grid_search_known",
+    f"""WITH {KNOWN_SQL}, {REPORT_SQL}
+    SELECT 'candidate' AS part, 'forest ' || leaf AS name, 1.0::DOUBLE AS score, CAST(NULL AS BIGINT) AS support
+    FROM (SELECT unnest([1, 2]) AS leaf) UNION ALL SELECT 'test', label, 1.0, CAST(n AS BIGINT) FROM report""",
+)
+def grid_search_known(spark, folder):
+    """Folds within the training part, the best forest's report on the test part."""
+    rows = numeric_as_double(_known_rows(spark, folder), KNOWN_FEATURES)
+    marked = settle(stratified_split(rows, "PRICE_ATTRACTIVENESS", shuffled("ID")))
+    train, test = (marked.filter(F.col("split") == side) for side in ("train", "test"))
+    train = settle(contiguous_folds(train, shuffled("ID"), 5, by="PRICE_ATTRACTIVENESS"))
+    found = grid_search(
+        train,
+        "PRICE_ATTRACTIVENESS",
+        RATIO_LABELS,
+        KNOWN_FEATURES,
+        "fold",
+        test=test,
+        trees=[100],
+        depths=[30],
+        leaf_rows=[1, 2],
+        penalties=[],
+    )
+    candidates = [
+        {
+            "part": "candidate",
+            "name": f"{c.family} {c.parameters['minInstancesPerNode']}",
+            "score": c.accuracy,
+            "support": None,
+        }
+        for c in found.candidates
+    ]
+    kind = "part string, name string, score double, support bigint"
+    report = found.report.select(
+        F.lit("test").alias("part"), F.col("label").alias("name"), F.col("f1").alias("score"), "support"
+    )
+    return spark.createDataFrame(candidates, kind).unionByName(report)
+
+
+@check(
+    "fold_statistics",
+    f"""
+    WITH t AS (SELECT c_nationkey % 4 AS fold, CASE WHEN c_nationkey < 6 THEN NULL ELSE c_acctbal END AS a,
+                      CAST(c_custkey % 97 AS DOUBLE) AS b FROM customer),
+    l AS (SELECT w AS "without", unnest(['a', 'b']) AS feature, unnest([a, b]) AS x
+          FROM t, (SELECT unnest([-1, 0, 1, 2, 3]) AS w) WHERE w <> fold),
+    m AS (SELECT "without", feature, median(x) AS med FROM l GROUP BY ALL),
+    i AS (SELECT l."without", l.feature, med, coalesce(x, med) AS x FROM l JOIN m ON m."without" = l."without" AND m.feature = l.feature)
+    SELECT "without", feature, count(*) AS rows, {rnd('any_value(med)', 6)} AS median, {rnd('avg(x)', 6)} AS mean,
+           {rnd('stddev_pop(x)', 6)} AS deviation FROM i GROUP BY ALL""",
+)
+def fold_statistics(spark, folder):
+    customers = table(spark, folder, "customer").select(
+        (F.col("c_nationkey") % 4).alias("fold"),
+        F.when(F.col("c_nationkey") >= 6, F.col("c_acctbal")).alias("a"),
+        (F.col("c_custkey") % 97).cast("double").alias("b"),
+    )
+    learned = learn_folds(customers, ["a", "b"], {}, "fold", 4)
+    found = shown(spark, learned, ["a", "b"]).withColumn("without", F.col("without").cast("int"))
+    return rounded(found, 6, "median", "mean", "deviation")

@@ -20,11 +20,14 @@ SMALL_ROWS = 500_000
 
 @dataclass(frozen=True)
 class Line:
+    """``converged`` tells whether the last round moved the line by no more than the tolerance."""
+
     intercept: float
     slope: float
     scale: float
     rounds: int
     rows: int
+    converged: bool
 
 
 def _weighted_line(points: DataFrame, weight) -> tuple[float, float, int]:
@@ -65,22 +68,21 @@ def fit_robust_line(
     )
     intercept, slope, rows = _weighted_line(points, F.lit(1.0))
     strategy = "builtin" if rows <= small_rows else "cells"
-    scale, done = 0.0, 0
+    scale, done, converged = 0.0, 0, False
     for done in range(1, max_rounds + 1):
         size = F.abs(F.col("y") - F.lit(intercept) - F.lit(slope) * F.col("x"))
         sizes = points.select(size.alias("r"))
         scale = group_quantiles(sizes, [], ["r"], {"m": 0.5}, strategy=strategy).first()[0] / NORMAL_MAD
         if scale == 0.0:
+            # More than half of the points lie on the line.
+            converged = True
             break
         limit = F.lit(t * scale)
         weight = F.when(size <= limit, F.lit(1.0)).otherwise(limit / size)
         before = (intercept, slope)
         intercept, slope, _ = _weighted_line(points, weight)
         moved = max(abs(intercept - before[0]), abs(slope - before[1]))
-        if moved <= tolerance * max(1.0, abs(before[0]), abs(before[1])):
+        converged = moved <= tolerance * max(1.0, abs(before[0]), abs(before[1]))
+        if converged:
             break
-    return Line(intercept, slope, scale, done, rows)
-
-
-def predict_line(df: DataFrame, line: Line, x: str, name: str) -> DataFrame:
-    return df.withColumn(name, F.lit(line.intercept) + F.lit(line.slope) * F.col(x))
+    return Line(intercept, slope, scale, done, rows, converged)

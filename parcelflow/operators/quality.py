@@ -31,6 +31,18 @@ def null_profile(df: DataFrame) -> DataFrame:
     )
 
 
+def table_profile(df: DataFrame) -> DataFrame:
+    """One row for the whole table: ``rows``, ``columns`` and the ``profile`` of every column as an array of
+    structs (see `null_profile`), from one pass."""
+    profile = null_profile(df)
+    whole = profile.agg(
+        F.max(F.col("nulls") + F.col("non_nulls")).alias("rows"),
+        F.count(F.lit(1)).alias("columns"),
+        F.sort_array(F.collect_list(F.struct(*profile.columns))).alias("profile"),
+    )
+    return whole.select(F.coalesce("rows", F.lit(0)).cast("long").alias("rows"), "columns", "profile")
+
+
 def outlier_fences(
     df: DataFrame,
     column: str,

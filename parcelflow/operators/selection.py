@@ -21,7 +21,6 @@ from parcelflow.session import BROADCAST_ROWS, is_small, settle
 CELLS_PER_EFOLD = 128
 PARTS = 1024
 CELL_ROWS = 2_000_000
-MAX_DIVISIONS = 8
 
 Rank = Callable[[Column], Column]
 
@@ -98,15 +97,18 @@ def order_statistics(
     )
     cells = settle(_holding(counted, wanted).select("g", "total", "cell", "lo", "hi", "n", "wanted"))
     wide = F.col("hi").cast("double") > F.col("lo").cast("double")
-    for _ in range(MAX_DIVISIONS):
+    before = None
+    while True:
         size = cells.agg(
             F.count(F.lit(1)).alias("cells"),
             F.max(F.when(wide, F.col("n"))).alias("fullest"),
             F.count_if(F.col("lo") < F.col("hi")).alias("open"),
         ).first()
         few = size["cells"] <= BROADCAST_ROWS
-        if size["fullest"] is None or size["fullest"] <= cell_rows:
+        # Ends of a cell fall into different parts, so cells get smaller, unless their range is infinite.
+        if size["fullest"] is None or size["fullest"] <= cell_rows or size["fullest"] == before:
             break
+        before = size["fullest"]
         cells = settle(_divide(rows, cells, few))
     single = _found(cells.filter(F.col("lo") == F.col("hi")), F.col("lo"))
     if not size["open"]:

@@ -12,7 +12,7 @@ from parcelflow.operators.resolve import first_match_join
 from parcelflow.operators.selection import group_quantiles
 from parcelflow.operators.stats import boxplot_stats, column_summary, group_stats, histogram, kernel_density
 from parcelflow.plans.market import daily_market_stats
-from parcelflow.sources.snapshots import latest_snapshot, snapshot_days, write_snapshot
+from parcelflow.sources.snapshots import all_snapshots, latest_snapshot, snapshot_days, write_snapshot
 
 NAN = float("nan")
 
@@ -92,12 +92,24 @@ def test_large_dictionaries_do_not_stop(spark):
     assert tuple(found) == ("place02400", "place02400", "PLACE02400")
 
 
-def test_unfinished_snapshot_is_not_read(spark, tmp_path):
-    root = str(tmp_path / "days")
+def test_a_snapshot_appears_at_once(spark, tmp_path):
+    root, day = str(tmp_path / "days"), "2024-01-02"
+    with pytest.raises(FileNotFoundError):
+        latest_snapshot(spark, root)
     write_snapshot(spark.range(3), root, "2024-01-01")
-    folder = write_snapshot(spark.range(5), root, "2024-01-02")
-    spark._jvm.org.apache.hadoop.fs.FileSystem.getLocal(spark._jsc.hadoopConfiguration()).delete(
-        spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/_SUCCESS"), False
-    )
-    assert snapshot_days(spark, root) == ["2024-01-01"]
-    assert latest_snapshot(spark, root).count() == 3
+    write_snapshot(spark.range(5), root, day)
+    reader = latest_snapshot(spark, root)
+    broken = spark.range(7).select(F.when(F.col("id") < 6, F.col("id")).otherwise(F.raise_error(F.lit("broken"))).alias("id"))
+    with pytest.raises(Exception, match="broken"):
+        write_snapshot(broken, root, day)
+    with pytest.raises(Exception, match="broken"):
+        write_snapshot(broken, root, "2024-01-03")
+    assert snapshot_days(spark, root) == ["2024-01-01", day]
+    assert latest_snapshot(spark, root).count() == 5
+    write_snapshot(spark.range(7), root, day)
+    assert reader.count() == 5 and latest_snapshot(spark, root).count() == 7
+    for n in (8, 9):
+        write_snapshot(spark.range(n), root, day)
+    assert len(list((tmp_path / "days" / "_days" / day).glob("0*"))) == 2
+    assert latest_snapshot(spark, root).count() == 9 and all_snapshots(spark, root).count() == 12
+

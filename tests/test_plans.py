@@ -21,7 +21,7 @@ from parcelflow.plans.market import (
 from parcelflow.plans.prepare import harmonise
 from parcelflow.session import scratch_path, shared_folder
 from parcelflow.sources.dimensions import dimension_frame, read_regions
-from parcelflow.sources.snapshots import latest_snapshot, snapshot_days, write_snapshot
+from parcelflow.sources.snapshots import all_snapshots, latest_snapshot, snapshot_days, write_snapshot
 from parcelflow.sources.tables import JdbcTables, ParquetTables, load_table
 
 
@@ -187,7 +187,7 @@ def test_snapshots(spark, tmp_path):
     write_snapshot(spark.createDataFrame([(4,)], "v int"), root, "2024-01-10")
     assert snapshot_days(spark, root) == ["2024-01-09", "2024-01-10"]
     assert [tuple(r) for r in latest_snapshot(spark, root).collect()] == [(4, dt.date(2024, 1, 10))]
-    assert spark.read.parquet(root).count() == 2
+    assert all_snapshots(spark, root).count() == 2
 
 
 def test_sources(spark, folder):
