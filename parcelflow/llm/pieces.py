@@ -21,18 +21,18 @@ from itertools import count, islice
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 ALPHA = 1.0
 SEED = 41
 SPACE = "▁"
-# Stands for a space mark that is in the text itself; no model has it as a piece.
-LITERAL = "﷐"
+# Stands for a space mark that is in the text itself. Half of a surrogate pair is in no UTF-8 text.
+LITERAL = "\ud800"
 # Texts taken together: until their different words, and all their words, have so many characters.
-DISTINCT = 1_000_000
-SLICE = 8_000_000
+DISTINCT = 250_000
+SLICE = 2_000_000
 # Words sampled at once.
 DRAWS = 250_000
 
@@ -151,14 +151,17 @@ class Lattice:
         codes = _codes("".join([words[i] for i in by_length.tolist()]))
         # How many words have at least so many characters, and the number of the first node of a place.
         reach = np.searchsorted(-lengths, -np.arange(int(lengths[0]) + 1), side="right")
-        begin = np.concatenate(([0], np.cumsum(reach)))
-        rank = np.empty(len(words), np.int64)
+        # Nodes and places fit into 32 bits, as a slice is small or a single text.
+        begin = np.concatenate(([0], np.cumsum(reach))).astype(np.int32)
+        lengths = lengths.astype(np.int32)
+        rank = np.empty(len(words), np.int32)
         rank[by_length] = np.arange(len(words))
         self.words = len(words)
         self.end = begin[lengths[rank]] + rank
 
-        spot = np.arange(len(codes)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-        word = np.repeat(np.arange(len(words)), lengths)
+        ends_of_words = np.cumsum(lengths, dtype=np.int32)
+        spot = np.arange(len(codes), dtype=np.int32) - np.repeat(ends_of_words - lengths, lengths)
+        word = np.repeat(np.arange(len(words), dtype=np.int32), lengths)
         left = np.repeat(lengths, lengths) - spot
         starts, ends, pieces, weights = [], [], [], []
         covered = np.zeros(len(codes), bool)
@@ -193,6 +196,8 @@ class Lattice:
         order = np.argsort(end, kind="stable")
         end, weight = end[order], np.concatenate(weights)[order]
         self.start, self.piece = np.concatenate(starts)[order], np.concatenate(pieces)[order]
+        # Filtering needs its own room.
+        del starts, ends, pieces, weights, order, spot, word, left, covered
         # Every node but the beginnings has an edge, as each character has one of its own.
         into = np.bincount(end - len(words), minlength=begin[-1] - len(words))
         firsts = np.concatenate(([0], np.cumsum(into)))
@@ -285,28 +290,35 @@ def _spelled(ids: np.ndarray, counts: np.ndarray, vocab: Vocabulary):
 def encode(texts: list[str], keys: np.ndarray, vocab: Vocabulary) -> list[np.ndarray]:
     """Sampled piece ids of each text; ``keys`` are 64-bit seeds. Equal texts with equal keys get equal
     ids, whatever other texts are beside them."""
-    found: list[np.ndarray] = []
+    return [ids for part in encode_slices(texts, keys, vocab) for ids in part]
+
+
+def encode_slices(
+    texts: list[str], keys: np.ndarray, vocab: Vocabulary
+) -> Iterator[list[np.ndarray]]:
+    """The ids of all texts in order, a slice of texts at a time."""
     at: defaultdict[str, int] = defaultdict(count().__next__)
-    rows, size, distinct, known = [], 0, 0, 0
+    rows, size, distinct, known, done = [], 0, 0, 0, 0
     for text in texts:
         words = cut_words(marked(text)) if text else []
-        rows.append(np.fromiter(map(at.__getitem__, words), np.int64, len(words)))
+        rows.append(np.fromiter(map(at.__getitem__, words), np.int32, len(words)))
         size += len(text)
         if len(at) > known:
             # New words stand at the end.
             distinct += sum(map(len, islice(reversed(at), len(at) - known)))
             known = len(at)
         if size > SLICE or distinct > DISTINCT:
-            found += _encoded(list(at), rows, keys[len(found) : len(found) + len(rows)], vocab)
+            yield _encoded(list(at), rows, keys[done : done + len(rows)], vocab)
+            done += len(rows)
             at = defaultdict(count().__next__)
             rows, size, distinct, known = [], 0, 0, 0
-    return found + _encoded(list(at), rows, keys[len(found) :], vocab)
+    yield _encoded(list(at), rows, keys[done:], vocab)
 
 
 def _encoded(words: list[str], rows: list[np.ndarray], keys: np.ndarray, vocab: Vocabulary) -> list[np.ndarray]:
     """Sampled piece ids of texts that are given as places in ``words``."""
     if not words:
-        return [np.empty(0, np.int64) for _ in rows]
+        return [np.empty(0, np.int32) for _ in rows]
     with np.errstate(over="ignore"):
         lattice = Lattice(words, vocab)
         sizes = np.array([len(r) for r in rows])
@@ -317,7 +329,7 @@ def _encoded(words: list[str], rows: list[np.ndarray], keys: np.ndarray, vocab:
         for i in range(0, len(chosen), DRAWS):
             part = lattice.sample(chosen[i : i + DRAWS], draws[i : i + DRAWS])
             part = _spelled(*part, vocab)
-            ids.append(part[0])
+            ids.append(part[0].astype(np.int32))
             counts.append(part[1])
     lengths = np.bincount(doc, weights=np.concatenate(counts), minlength=len(rows)).astype(np.int64)
     return np.split(np.concatenate(ids), np.cumsum(lengths)[:-1])
@@ -341,13 +353,15 @@ def encode_column(
     def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         vocab = vocabulary(model, alpha)
         for texts, keys in batches:
-            found: list = []
-            same: list[bool] = []
             given, seeds = texts.tolist(), keys.to_numpy(dtype=np.int64).view(np.uint64)
-            for t, ids in zip(given, encode([t or "" for t in given], seeds, vocab), strict=True):
-                found.append(None if t is None else ids.astype(np.int32))
-                same.append(decode(ids, vocab) == (t or ""))
-            yield pd.DataFrame({"ids": found, "lossless": same})
+            done = 0
+            # A slice is given back before the next one is encoded.
+            for part in encode_slices([t or "" for t in given], seeds, vocab):
+                mine = given[done : done + len(part)]
+                done += len(part)
+                same = [decode(ids, vocab) == (t or "") for t, ids in zip(mine, part, strict=True)]
+                found = [None if t is None else ids for t, ids in zip(mine, part, strict=True)]
+                yield pd.DataFrame({"ids": found, "lossless": same})
 
     return run(text, F.xxhash64(F.lit(seed), key))
 
@@ -364,12 +378,21 @@ def decode_column(ids: Column, model: str = MODEL) -> Column:
     return run(ids)
 
 
-def encode_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
+def encode_documents(
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", copies: bool = False, **options
+) -> DataFrame:
     """``docs`` with ``ids``, ``n_ids`` (0 for null) and ``lossless``; columns of these names are
-    replaced, all others and all rows stay. The id seeds the sample; rows with a null id share a seed."""
+    replaced, all others and all rows stay. The id seeds the sample; rows with a null id share a seed.
+    With ``copies``, rows of equal id and text are numbered and each gets a sample of its own."""
     kept = [c for c in docs.columns if c not in ("ids", "n_ids", "lossless")]
     key = F.xxhash64(F.col(doc_id).cast("string"))
-    rows = docs.withColumn("_coded", encode_column(F.col(text), key, **options))
+    rows = docs
+    if copies:
+        equal = Window.partitionBy(doc_id, F.xxhash64(text)).orderBy(F.lit(0))
+        rows = docs.withColumn("_pieces_copy", F.row_number().over(equal))
+        # The first copy has the sample that it has without.
+        key = F.when(F.col("_pieces_copy") > 1, F.xxhash64(key, "_pieces_copy")).otherwise(key)
+    rows = rows.withColumn("_coded", encode_column(F.col(text), key, **options))
     return rows.select(
         *kept,
         F.col("_coded.ids").alias("ids"),
