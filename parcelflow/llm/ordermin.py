@@ -8,6 +8,7 @@ Documents that share a sketch are candidates; word edit distance in a band decid
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,8 +37,10 @@ CENTER_BLOCK = 32
 BLOCK = 1_024
 SEED = 29
 # Classes in which words are counted. Two texts cannot share more words than their counts share, so pairs
-# that share too few are no candidates; counting by class never loses a link.
+# that share too few are no candidates; counting by class never loses a link. The counts of a text are
+# kept in the shortest numbers that hold them all.
 CLASSES = 256
+BAG_TYPES = {CLASSES * np.dtype(t).itemsize: t for t in (np.uint8, np.uint16, np.uint32)}
 # Numbers in a table of hashes.
 TABLE = 1_000_000
 
@@ -82,11 +85,10 @@ class Sketcher:
         self.factors = rng.integers(0, 1 << 63, sketches, dtype=np.uint64) | np.uint64(1)
         self.offsets = rng.integers(0, 1 << 63, sketches, dtype=np.uint64)
 
-    def runs_of(self, words: list[str]) -> np.ndarray:
+    def runs_of(self, hashes: np.ndarray) -> np.ndarray:
         """Hashes of runs of words with their occurrence; a shorter text is one run."""
-        hashes = _word_hashes(words)
-        k = min(self.words, len(words))
-        runs = np.zeros(len(words) - k + 1, np.uint64)
+        k = min(self.words, len(hashes))
+        runs = np.zeros(len(hashes) - k + 1, np.uint64)
         for i in range(k):
             runs = _mixed(runs * np.uint64(31) + hashes[i : i + len(runs)])
         order = np.argsort(runs, kind="stable")
@@ -99,7 +101,11 @@ class Sketcher:
 
     def sketch(self, words: list[str]) -> np.ndarray:
         """A hash per sketch: of the smallest runs in text order."""
-        runs = self.runs_of(words)
+        return self.sketch_of(_word_hashes(words))
+
+    def sketch_of(self, hashes: np.ndarray) -> np.ndarray:
+        """``sketch`` of a text given as the hashes of its words."""
+        runs = self.runs_of(hashes)
         take = min(self.runs, len(runs))
         found = np.arange(len(self.factors), dtype=np.uint64)
         # So many orders at once that a very long text does not fill the memory.
@@ -114,91 +120,144 @@ class Sketcher:
         return found.view(np.int64)
 
 
+def packed(counts: np.ndarray) -> bytes:
+    """Counts by class, in the shortest numbers."""
+    most = int(counts.max())
+    kind = next(t for t in BAG_TYPES.values() if most <= np.iinfo(t).max)
+    return counts.astype(kind).tobytes()
+
+
+def unpacked(bag: bytes) -> np.ndarray:
+    return np.frombuffer(bag, BAG_TYPES[len(bag)]).astype(np.int64)
+
+
 def _sketched(docs: DataFrame, sketcher: Sketcher) -> DataFrame:
-    """``key``, number of words and sketches of every text with a word."""
+    """``key``, number of words, sketches and ``bag`` (words of each class) of every text with a word."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         with np.errstate(over="ignore"):
             for batch in batches:
-                keys, sizes, sketches = [], [], []
+                rows = []
                 for key, text in zip(batch["key"], batch["text"], strict=True):
                     words = words_of(text)
                     if words:
-                        keys.append(key)
-                        sizes.append(len(words))
-                        sketches.append(sketcher.sketch(words))
-                yield pd.DataFrame({"key": keys, "n_words": sizes, "sketch": sketches})
+                        hashes = _word_hashes(words)
+                        classes = (hashes % np.uint64(CLASSES)).astype(np.int64)
+                        bag = packed(np.bincount(classes, minlength=CLASSES))
+                        rows.append((key, len(words), sketcher.sketch_of(hashes), bag))
+                yield pd.DataFrame(rows, columns=["key", "n_words", "sketch", "bag"])
 
-    return docs.filter("key IS NOT NULL").mapInPandas(run, "key binary, n_words int, sketch array<long>")
+    kind = "key binary, n_words int, sketch array<long>, bag binary"
+    return docs.filter("key IS NOT NULL").mapInPandas(run, kind)
 
 
-def _bags(texts: DataFrame) -> DataFrame:
-    """``key`` and ``bag``: how many words of each class a text has, as 32-bit numbers."""
+def similarity_limit(n: int, m: int, similarity: float) -> int:
+    """Most edits that two texts of so many words may have: similarity is 1 - edits / longer text."""
+    return int((1 - similarity) * max(n, m) + 1e-9)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        with np.errstate(over="ignore"):
-            for batch in batches:
-                bags = []
-                for text in batch["text"]:
-                    hashes = _word_hashes(words_of(text)) % np.uint64(CLASSES)
-                    counts = np.bincount(hashes.astype(np.int64), minlength=CLASSES)
-                    bags.append(counts.astype(np.uint32).tobytes())
-                yield pd.DataFrame({"key": batch["key"], "bag": bags})
 
-    return texts.mapInPandas(run, "key binary, bag binary")
+def _near(n: Column, m: Column, similarity: float) -> Column:
+    """Whether texts of so many words can be similar enough."""
+    return F.abs(n - m) <= (1 - similarity) * F.greatest(n, m) + 1e-9
 
 
-def similarity_limit(n: int, m: int, similarity: float) -> int:
-    """Most edits that two texts of so many words may have: similarity is 1 - edits / longer text."""
-    return int((1 - similarity) * max(n, m) + 1e-9)
+def _possible(pairs: DataFrame, singles: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (``center``, ``key``) whose numbers of words by class do not rule them out."""
+    own = singles.select("key", "n_words", "bag")
+    centers = settle(pairs.select("center").distinct())
+    centers = centers.join(own.withColumnsRenamed({"key": "center", "n_words": "m", "bag": "other"}), "center")
+    both = lookup_join(pairs, settle(centers), "center", "inner").join(own, "key")
+    columns = pairs.columns
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            longer = np.maximum(batch["n_words"], batch["m"]).to_numpy()
+            shared = [
+                int(np.minimum(unpacked(x), unpacked(y)).sum())
+                for x, y in zip(batch["bag"], batch["other"], strict=True)
+            ]
+            kept = longer - np.array(shared, np.int64) <= (1 - similarity) * longer + 1e-9
+            yield batch.loc[kept, columns]
+
+    return both.mapInPandas(run, pairs.schema)
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
     """The pairs (``center``, ``key``) whose texts align, as ``a`` and ``b``.
 
-    The members of a center are dealt to tasks of about ``CENTER_BLOCK``; its text goes along once for
-    each task.
+    The members of a center are dealt to parts of about ``CENTER_BLOCK``, and its text goes along once for
+    each part, ahead of theirs; a task aligns one part after the other.
     """
     counts = pairs.groupBy("center").agg(F.ceil(F.count("*") / CENTER_BLOCK).cast("int").alias("parts"))
-    dealt = pairs.join(settle(counts), "center")
+    dealt = lookup_join(pairs, settle(counts), "center", "inner")
     dealt = settle(dealt.withColumn("part", F.pmod(F.xxhash64("key"), F.col("parts")).cast("int")).drop("parts"))
     centers = dealt.select("center", "part").distinct().withColumn("key", F.col("center"))
-    wanted = dealt.select("center", "part", "key", F.lit(False).alias("first")).unionByName(
-        centers.withColumn("first", F.lit(True))
+    wanted = dealt.select("center", "part", "key", F.lit(1).alias("place")).unionByName(
+        centers.withColumn("place", F.lit(0))
+    )
+    sent = wanted.join(texts, "key").repartition("center", "part")
+    sent = sent.sortWithinPartitions("center", "part", "place")
+
+    def align(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        center, first = [], None
+        for batch in batches:
+            found = []
+            for own, key, place, text in zip(
+                batch["center"], batch["key"], batch["place"], batch["text"], strict=True
+            ):
+                words = words_of(text)
+                if place == 0:
+                    center, first = words, own
+                elif own == first and _align(center, words, similarity):
+                    found.append((own, key))
+            yield pd.DataFrame(found, columns=["a", "b"])
+
+    return sent.select("center", "key", "place", "text").mapInPandas(align, "a binary, b binary")
+
+
+def _align(a: list[str], b: list[str], similarity: float) -> bool:
+    most = similarity_limit(len(a), len(b), similarity)
+    # Words that one has and the other lacks cost an edit each.
+    counts = Counter(a)
+    counts.subtract(b)
+    more, less = (sum(n for n in counts.values() if n * sign > 0) * sign for sign in (1, -1))
+    return max(more, less) <= most and edit_distance(a, b, most) <= most
+
+
+def _one_center_each(
+    labelled: DataFrame, singles: DataFrame, tried: DataFrame | None, turn: int, similarity: float
+) -> DataFrame:
+    """For each document the center of another class that it shares most sketches with, of those that it
+    was not compared with before and that numbers of words do not rule out, if any. The center of a
+    sketch is one of its documents, another one in each turn."""
+    drawn = F.min(F.struct(F.xxhash64(F.lit(turn), "key").alias("h"), "key", "label", "n_words"))
+    centers = settle(labelled.groupBy("band").agg(drawn.alias("c")))
+    centers = centers.select(
+        "band", F.col("c.key").alias("center"), F.col("c.label").alias("other"), F.col("c.n_words").alias("m")
     )
-    sent = wanted.join(texts, "key")
+    met = labelled.join(centers, "band").filter("label <> other")
+    met = met.filter(_near(F.col("n_words"), F.col("m"), similarity))
+    met = settle(_untried(met.groupBy("key", "center").count(), tried))
+    best = _possible(met, singles, similarity).groupBy("key").agg(F.max(F.struct("count", "center")).alias("best"))
+    return best.select("key", F.col("best.center").alias("center"))
 
-    def align(group: pd.DataFrame) -> pd.DataFrame:
-        own = group[group["first"]]
-        if not len(own):
-            return pd.DataFrame({"a": [], "b": []})
-        center = words_of(own["text"].iloc[0])
-        found = []
-        for key, text in zip(group["key"], group["text"], strict=True):
-            words = words_of(text)
-            most = similarity_limit(len(center), len(words), similarity)
-            if key != own["key"].iloc[0] and edit_distance(center, words, most) <= most:
-                found.append((own["key"].iloc[0], key))
-        return pd.DataFrame(found, columns=["a", "b"])
 
-    return sent.groupBy("center", "part").applyInPandas(align, "a binary, b binary")
+def _ordered(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.least("center", "key").alias("low"), F.greatest("center", "key").alias("high"))
 
 
-def _one_center_each(labelled: DataFrame, turn: int) -> DataFrame:
-    """For each document the center of another class that it shares most sketches with, if any. The
-    center of a sketch is one of its documents, another one in each turn."""
-    drawn = F.min(F.struct(F.xxhash64(F.lit(turn), "key").alias("h"), "key", "label"))
-    centers = settle(labelled.groupBy("band").agg(drawn.alias("c")))
-    centers = centers.select("band", F.col("c.key").alias("center"), F.col("c.label").alias("other"))
-    met = labelled.join(centers, "band").filter("label <> other").groupBy("key", "center").count()
-    best = met.groupBy("key").agg(F.max(F.struct("count", "center")).alias("best"))
-    return best.select("key", F.col("best.center").alias("center"))
+def _untried(pairs: DataFrame, tried: DataFrame | None) -> DataFrame:
+    """The pairs that are not in ``tried`` either way round."""
+    if tried is None:
+        return pairs
+    sides = pairs.withColumns({"low": F.least("center", "key"), "high": F.greatest("center", "key")})
+    return sides.join(tried, ["low", "high"], "left_anti").select(pairs.columns)
 
 
 def _alike(similarity: float):
     def compare(group: pd.DataFrame) -> pd.DataFrame:
         """Pairs of different labels that share a sketch and, by their counts, enough words."""
-        bags = np.stack([np.frombuffer(b, np.uint32) for b in group["bag"]]).astype(np.int64)
+        bags = np.stack([unpacked(b) for b in group["bag"]])
         label, part = pd.factorize(group["label"])[0], group["part"].to_numpy()
         size, keys = group["n_words"].to_numpy(), group["key"].to_numpy()
         across = group["part_a"].iloc[0] != group["part_b"].iloc[0]
@@ -241,8 +300,9 @@ def near_duplicates(
     rows.
 
     In a few rounds every candidate is compared with one center in another class, the one it shares
-    most sketches with, which settles large groups in as many comparisons as members. Sketches whose
-    documents are then still in different classes are compared in blocks, all pairs across classes.
+    most sketches with of those that lengths and numbers of words leave possible, which settles large
+    groups in as many comparisons as members. Sketches whose documents are then still in different
+    classes are compared in blocks, all pairs across classes. No pair is aligned twice.
     """
     keyed = docs.select(
         F.col(doc_id).alias(doc_id),
@@ -251,9 +311,10 @@ def near_duplicates(
     )
     sketcher = Sketcher(words, sketches, runs, seed)
     drawn = _sketched(keyed.select("key", "text"), sketcher)
-    singles = stored(drawn.groupBy("key").agg(F.first("n_words").alias("n_words"), F.first("sketch").alias("sketch")), "sketches")
+    first = [F.first(c).alias(c) for c in ("n_words", "sketch", "bag")]
+    singles = stored(drawn.groupBy("key").agg(*first), "sketches")
     band = F.posexplode("sketch").alias("i", "h")
-    bands = singles.select("key", band).select("key", F.xxhash64("i", "h").alias("band"))
+    bands = singles.select("key", "n_words", band).select("key", "n_words", F.xxhash64("i", "h").alias("band"))
     shared_bands = bands.groupBy("band").agg(F.min("key").alias("low"), F.max("key").alias("high"))
     shared_bands = settle(shared_bands.filter("low <> high").select("band"))
     members = settle(lookup_join(bands, shared_bands, "band", "inner"))
@@ -265,26 +326,29 @@ def near_duplicates(
     texts = lookup_join(keyed, settle(wanted), "key", "inner").filter(F.col(doc_id).eqNullSafe(F.col("least")))
     texts = stored(texts.groupBy("key").agg(F.first("text").alias("text")), "texts")
 
-    links = None
+    links, tried = None, None
     labelled = members.withColumn("label", F.col("key"))
     for turn in range(ROUNDS):
-        pairs = settle(_one_center_each(labelled, turn))
+        pairs = settle(_one_center_each(labelled, singles, tried, turn, similarity))
         if pairs.isEmpty():
             break
         found = settle(_verified(pairs, texts, similarity))
         links = found if links is None else settle(links.unionByName(found))
+        seen = _ordered(pairs) if tried is None else tried.unionByName(_ordered(pairs))
+        tried = settle(seen.distinct())
         roots = components(links)
         labelled = members.join(roots.withColumnRenamed("node", "key"), "key", "left")
-        labelled = settle(labelled.select("band", "key", F.coalesce("root", "key").alias("label")))
-    mixed = labelled.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high"))
-    mixed = settle(mixed.filter("low <> high").select("band"))
-    open_rows = settle(labelled.join(mixed, "band").join(singles.select("key", "n_words"), "key"))
-    bags = settle(_bags(texts.join(settle(open_rows.select("key").distinct()), "key", "semi")))
-    tasks = blocked(open_rows, ["band"], "key", BLOCK).join(bags, "key")
+        labelled = labelled.withColumn("label", F.coalesce("root", "key")).drop("root")
+        # Sketches of a single class have nothing left to compare.
+        mixed = labelled.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high"))
+        mixed = settle(mixed.filter("low <> high").select("band"))
+        labelled = settle(lookup_join(labelled, mixed, "band", "inner"))
+    bags = singles.select("key", "bag").join(settle(labelled.select("key").distinct()), "key", "left_semi")
+    tasks = blocked(labelled, ["band"], "key", BLOCK).join(bags, "key")
     pairs = tasks.groupBy("band", "part_a", "part_b").applyInPandas(
         _alike(similarity), "center binary, key binary"
     )
-    more = _verified(settle(pairs.distinct()), texts, similarity)
+    more = _verified(settle(_untried(pairs.distinct(), tried)), texts, similarity)
     roots = components(more if links is None else settle(links.unionByName(more)))
 
     named = ids.join(roots.withColumnRenamed("node", "key"), "key", "left")

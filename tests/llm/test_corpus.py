@@ -438,7 +438,7 @@ def test_one_shared_sketch_is_enough(monkeypatch, spark):
     single = [r["class_id"] for r in ordermin.near_duplicates(frame, sketches=1, runs=1, seed=5).collect()]
     assert single == [10, 10, 10]
     compare = ordermin._alike(0.8)
-    bag = np.bincount([1, 2, 3, 4, 5], minlength=ordermin.CLASSES).astype(np.uint32).tobytes()
+    bag = ordermin.packed(np.bincount([1, 2, 3, 4, 5], minlength=ordermin.CLASSES))
     group = pd.DataFrame({"key": [b"a", b"b"], "label": [b"a", b"b"], "bag": [bag, bag], "n_words": 5, "part": 0})
     group["part_a"] = group["part_b"] = 0
     group["sketch"] = [np.array([1, 2, 3]), np.array([1, 7, 8])]
