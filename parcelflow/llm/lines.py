@@ -1,16 +1,24 @@
-"""Line deduplication by an edit join over rare grams.
-
-Lines are compared by their runs of ``q`` characters (grams), ordered by how rare they are. A line gives as
-signatures its rarest grams, so many that no set of permitted edits touches all of them: grams that do
-not overlap, one more than edits. Of two lines within the limit, the one whose signatures end earlier in
-the order has one that stands unchanged in the other, where it is a signature too; no pair is lost.
-Lengths and counts of characters rule pairs out without loss, and banded bit-parallel edit distance
-decides. Lines connected in this way form a class, of which the first line in the corpus is kept.
+"""Line deduplication by a segment-partition edit join.
+
+Of two lines within the permitted edits, cut the shorter one into one more segment than edits: at least one
+segment stands unchanged in the longer one, shifted by no more than the edits. So lines are indexed by their
+segments, by length class, and every line probes the index with its substrings of the sizes that the
+segments of lines of its own and a little smaller length have. Lengths and counts of characters rule pairs
+out without loss, and banded bit-parallel edit distance decides. Lines connected in this way form a class,
+of which the first line in the corpus is kept.
+
+Most substrings are in no index. A table of bits, of fixed size, that the index sets tells tasks which
+probes to leave out before anything is shuffled, and a second one, set by the probes that are left, which
+segments. Hashes that set the same bits only let through more; what the join finds is the same. Substrings
+that are a segment of their own line do not probe: another line with the same segment at the same place has
+set its bits as well, so bits set twice tell about these.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -23,31 +31,29 @@ from parcelflow.operators.joins import lookup_join
 from parcelflow.llm.tables import settle
 from parcelflow.session import stored
 
-THRESHOLD = 2
-# Shorter lines, where two edits change the meaning, are joined only if they are equal.
-MIN_CHARS = 40
-# Edits that grow with the line: a twentieth of its characters, one from 15 characters on.
-NEAR = {"threshold": 1, "min_chars": 15, "share": 0.05}
-# Longest gram; a multiple of it is the distance at which grams are tried.
-GRAM = 7
-PERIOD = 12
-# Lines and characters of each whose grams are counted to order them, and counters. Another order finds
-# the same pairs.
-SAMPLE = 8_192
-SAMPLE_CHARS = 1_000
-COUNTERS = 1 << 20
+# Edits that grow with the line: a twentieth of the longer one's characters, one from 15 characters on. Shorter
+# lines, where an edit changes the meaning, are joined only if they are equal.
+THRESHOLD = 1
+MIN_CHARS = 15
+SHARE = 0.05
+# Bits of a table as a power of two, and bits of one of the pieces in which it is put together.
+TABLE_BITS = 29
+PIECE_BITS = 23
+# Bits set in one piece by a task; more tasks share the work on a larger corpus.
+PIECE_ENTRIES = 16_000_000
 # Turns in which every line is compared with one line of each signature.
 ROUNDS = 2
 # Lines that one task compares with each other.
 BLOCK = 512
 # Rows given to one call of the comparison, and characters hashed at once.
 CALL = 16_384
-SLICE = 1_000_000
+SLICE = 200_000
 # White space at the ends of lines.
 BLANK = " \t\r\f\v"
 # An odd base for polynomial hashes in 64 bits and a second odd number for mixing.
 BASE = np.uint64(0x9E3779B97F4A7C15)
 STEP = np.uint64(0xBF58476D1CE4E5B9)
+SECOND = np.uint64(0x94D049BB133111EB)
 # Characters are counted in so many classes; an edit changes two counts at most by one each.
 CLASSES = 16
 
@@ -63,52 +69,185 @@ def _most(length, threshold: int, share: float):
     return edits(longest, threshold, share)
 
 
-def gram_size(threshold: int, min_chars: int, share: float) -> int:
-    """Length of grams of which every line has more than edits without overlap."""
-    lengths = np.arange(min_chars, min_chars + 10_000)
-    return max(1, min(GRAM, int((lengths // (_most(lengths, threshold, share) + 1)).min())))
-
-
-def _grams(lines: list[str], q: int) -> np.ndarray:
-    """Hashes of the runs of ``q`` characters of the joined lines."""
-    codes = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-    x = np.zeros(max(0, len(codes) - q + 1), np.uint64)
-    for i in range(q):
-        x = x * BASE + codes[i : i + len(x)] + np.uint64(1)
-    x = (x ^ (x >> np.uint64(31))) * STEP
-    return x ^ (x >> np.uint64(29))
-
-
-def _seen(lines: list[str], q: int) -> np.ndarray:
-    """How often grams of each hash occur in a sample, as a table for :func:`signatures`."""
-    places = [(_grams([x], q) % np.uint64(COUNTERS)).astype(np.int64) for x in lines]
-    counts = np.zeros(COUNTERS, np.int64) if not places else np.bincount(np.concatenate(places), minlength=COUNTERS)
-    return np.minimum(counts, (1 << 20) - 1).astype(np.uint32)
-
-
-def signatures(lines: list[str], seen: np.ndarray, q: int, threshold: int, share: float) -> list[np.ndarray]:
-    """For each line the hashes of its rarest grams, of which at least one outlasts the edits.
-
-    Where one gram is taken in each of ``_most + 1`` stretches that do not overlap, all grams as rare as
-    the last of these are enough; a line with too few stretches gives all its grams.
-    """
-    hashes = _grams(lines, q)
-    order = seen[(hashes % np.uint64(COUNTERS)).astype(np.int64)].astype(np.uint64)
-    order = order << np.uint64(40) | hashes >> np.uint64(24)
-    lengths = np.fromiter(map(len, lines), np.int64, len(lines))
-    wanted = _most(lengths, threshold, share).tolist()
-    found, begin, free = [], 0, PERIOD - q + 1
-    for length, most in zip(lengths.tolist(), wanted, strict=True):
-        end = begin + length - q + 1
-        own, rank = hashes[begin:end], order[begin:end]
-        stretches = len(rank) // PERIOD
-        # The last stretch may be cut short by the end of the line.
-        if stretches > most:
-            least = rank[: stretches * PERIOD].reshape(-1, PERIOD)[:, :free].min(axis=1)
-            own = own[rank <= np.partition(least, most)[most]]
-        found.append(np.unique(own).view(np.int64))
-        begin += length
-    return found
+@dataclass(frozen=True)
+class Rule:
+    """How lines are cut. ``threshold`` edits are permitted, or ``share`` of the longer line if more."""
+
+    threshold: int
+    share: float
+
+    def count(self, length: np.ndarray) -> np.ndarray:
+        """Segments of lines of these lengths: one more than edits to any line that is not shorter."""
+        return _most(length, self.threshold, self.share) + 1
+
+    def length_class(self, length: np.ndarray) -> np.ndarray:
+        """Lines within the edits are in the same class or in neighbouring ones."""
+        length = np.asarray(length, np.float64)
+        if not self.share:
+            return (length // (self.threshold + 1)).astype(np.int64)
+        # By ratio where the share decides, by difference where the threshold does.
+        turn = (self.threshold + 1) / self.share
+        by_ratio = np.log(np.maximum(length, 1) / turn) / -np.log1p(-self.share)
+        by_step = (length - turn) / (self.threshold + 1)
+        return np.floor(np.where(length < turn, by_step, by_ratio)).astype(np.int64)
+
+    def probed(self, length: int) -> list[tuple[int, int]]:
+        """Sizes and length classes of the segments that a line of this length may have in common with
+        one that is not longer."""
+        least = max(1, length - int(edits(length, self.threshold, self.share)))
+        lengths = np.arange(least, length + 1)
+        classes, (base, rest) = self.length_class(lengths), np.divmod(lengths, self.count(lengths))
+        found = set(zip(base.tolist(), classes.tolist(), strict=True))
+        longer = rest > 0
+        found |= set(zip((base[longer] + 1).tolist(), classes[longer].tolist(), strict=True))
+        return sorted(x for x in found if x[0] > 0)
+
+
+@lru_cache(maxsize=4)
+def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of ``BASE`` and of its inverse in 64 bits."""
+    inverse = np.uint64(pow(int(BASE), -1, 1 << 64))
+    return tuple(np.cumprod(np.concatenate(([1], np.full(size, x))).astype(np.uint64)) for x in (BASE, inverse))
+
+
+class Hashed:
+    """Hashes of substrings of some lines, which are put in order of their length."""
+
+    def __init__(self, lines: list[str], rule: Rule):
+        lengths = np.fromiter(map(len, lines), np.int64, len(lines))
+        self.order = np.argsort(lengths, kind="stable")
+        self.lengths = lengths[self.order]
+        text = "".join([lines[i] for i in self.order.tolist()])
+        codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+        power, self.inverse = _powers(max(SLICE * 2, len(codes)))
+        self.sums = np.concatenate(([np.uint64(0)], np.cumsum((codes + np.uint64(1)) * power[: len(codes)])))
+        self.ends = np.cumsum(self.lengths)
+        self.begins = self.ends - self.lengths
+        self.rule = rule
+
+    def _mixed(self, x: np.ndarray, size, kind) -> np.ndarray:
+        salt = np.asarray(size).astype(np.uint64) * SECOND + np.asarray(kind).astype(np.uint64) * STEP
+        x = x + salt
+        x = (x ^ (x >> np.uint64(31))) * STEP
+        return x ^ (x >> np.uint64(29))
+
+    def segments(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Number of the line, place, size and hash of every segment; segments of a line follow each other,
+        the shorter ones first."""
+        count = self.rule.count(self.lengths)
+        base, rest = np.divmod(self.lengths, count)
+        line = np.repeat(np.arange(len(count)), count)
+        i = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+        extra = np.maximum(0, i - (count - rest)[line])
+        place = self.begins[line] + i * base[line] + extra
+        size = base[line] + (i >= (count - rest)[line])
+        raw = (self.sums[place + size] - self.sums[place]) * self.inverse[place]
+        kind = self.rule.length_class(self.lengths)[line]
+        return line, place, size, self._mixed(raw, size, kind)
+
+    def probes(self, known: Bits) -> tuple[np.ndarray, np.ndarray]:
+        """Number of the line and hash of the substrings that ``known`` may have, but for own segments."""
+        wanted: dict[tuple[int, int], list[int]] = {}
+        different = np.unique(self.lengths).tolist()
+        for n in different:
+            for x in self.rule.probed(n):
+                wanted.setdefault(x, []).append(n)
+        line, place, size, _ = self.segments()
+        kinds = self.rule.length_class(self.lengths)
+        own = np.unique(place * (1 << 20) + np.minimum(size, (1 << 20) - 1))
+        lines, hashes = [np.empty(0, np.int64)], [np.empty(0, np.uint64)]
+        for (size, kind), lengths in wanted.items():
+            # Lines are in order of length, so those that probe with a size and class stand together.
+            first, last = np.searchsorted(self.lengths, [lengths[0], lengths[-1] + 1])
+            begin, end = int(self.begins[first]), int(self.ends[last - 1]) - size + 1
+            if end <= begin:
+                continue
+            raw = self.sums[begin + size : end + size] - self.sums[begin:end]
+            raw *= self.inverse[begin:end]
+            found = self._mixed(raw, size, kind)
+            at = known.holds(found)
+            place = at + begin
+            row = np.searchsorted(self.ends, place, side="right")
+            ok = place + size <= self.ends[row]
+            mine = kinds[row] == kind
+            ok &= ~mine | ~_among(place * (1 << 20) + min(size, (1 << 20) - 1), own)
+            lines.append(row[ok])
+            hashes.append(found[at[ok]])
+        return np.concatenate(lines), np.concatenate(hashes)
+
+
+def _among(x: np.ndarray, ordered: np.ndarray) -> np.ndarray:
+    at = np.minimum(np.searchsorted(ordered, x), len(ordered) - 1)
+    return ordered[at] == x
+
+
+def _places(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The two bits of a hash."""
+    shift = np.uint64(64 - TABLE_BITS)
+    return hashes >> shift, (hashes * SECOND) >> shift
+
+
+@dataclass(frozen=True)
+class Bits:
+    """A table of bits."""
+
+    table: np.ndarray
+
+    def holds(self, hashes: np.ndarray) -> np.ndarray:
+        """Places of the hashes of which both bits are set."""
+        at = np.arange(len(hashes))
+        for i in range(2):
+            bit = _places(hashes[at])[i] if i else hashes >> np.uint64(64 - TABLE_BITS)
+            byte = self.table[(bit >> np.uint64(3)).astype(np.int64)]
+            at = at[(byte >> (bit & np.uint64(7)).astype(np.uint8)) & np.uint8(1) == 1]
+        return at
+
+
+def _bit_pieces(hashes: np.ndarray) -> pd.DataFrame:
+    """The bits of hashes by piece of the table, each as 32-bit numbers within it."""
+    bits = np.sort(np.concatenate(_places(hashes)))
+    piece = (bits >> np.uint64(PIECE_BITS)).astype(np.int64)
+    number, first = np.unique(piece, return_index=True)
+    inside = (bits & np.uint64((1 << PIECE_BITS) - 1)).astype(np.uint32)
+    return pd.DataFrame({"piece": number, "bits": [x.tobytes() for x in np.split(inside, first[1:])] if len(bits) else []})
+
+
+def _tables(pieces: DataFrame, entries: int) -> tuple[Bits, Bits]:
+    """Tables of the bits that are set, and of those set more than once. Their size is fixed."""
+    kind = "piece long, once binary, twice binary"
+    size = 1 << PIECE_BITS
+
+    def set_bits(group: pd.DataFrame) -> pd.DataFrame:
+        counts = np.zeros(size, np.uint8)
+        for part in group["bits"]:
+            # Bits of a row are in order, so equal ones follow each other.
+            bits, times = np.unique(np.frombuffer(part, np.uint32), return_counts=True)
+            counts[bits] = np.minimum(counts[bits] + np.minimum(times, 2), 2)
+        return _packed_rows(group["piece"].iloc[0], counts >= 1, counts >= 2)
+
+    def merge(group: pd.DataFrame) -> pd.DataFrame:
+        once, twice = (np.zeros(size // 8, np.uint8) for _ in range(2))
+        for a, b in zip(group["once"], group["twice"], strict=True):
+            a, b = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
+            twice |= b | (once & a)
+            once |= a
+        return pd.DataFrame({"piece": [group["piece"].iloc[0]], "once": [once.tobytes()], "twice": [twice.tobytes()]})
+
+    shares = 1 + 2 * entries // (PIECE_ENTRIES << (TABLE_BITS - PIECE_BITS))
+    share = F.pmod(F.xxhash64("bits"), F.lit(shares)).alias("share")
+    made = pieces.select("*", share).groupBy("piece", "share").applyInPandas(set_bits, kind)
+    if shares > 1:
+        made = made.groupBy("piece").applyInPandas(merge, kind)
+    once, twice = (np.zeros(1 << (TABLE_BITS - 3), np.uint8) for _ in range(2))
+    for row in settle(made).toLocalIterator():
+        part = slice(row["piece"] * (size // 8), (row["piece"] + 1) * (size // 8))
+        once[part], twice[part] = (np.frombuffer(row[c], np.uint8) for c in ("once", "twice"))
+    return Bits(once), Bits(twice)
+
+
+def _packed_rows(piece: int, once: np.ndarray, twice: np.ndarray) -> pd.DataFrame:
+    once, twice = (np.packbits(x, bitorder="little").tobytes() for x in (once, twice))
+    return pd.DataFrame({"piece": [piece], "once": [once], "twice": [twice]})
 
 
 def _counts(lines: list[str]) -> np.ndarray:
@@ -119,31 +258,85 @@ def _counts(lines: list[str]) -> np.ndarray:
     return flat.reshape(len(lines), CLASSES).astype(np.uint8)
 
 
-def _signed(seen: np.ndarray, q: int, threshold: int, least: int, share: float):
+def _sliced(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows of about ``SLICE`` characters, which bounds the memory whatever the lengths of lines are."""
+    for batch in batches:
+        ends = batch["line"].map(len).cumsum()
+        for _, part in batch.groupby(ends // SLICE):
+            yield part
+
+
+def _segment_bits(rule: Rule):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        with np.errstate(over="ignore"):
+            for batch in batches:
+                found = [Hashed(x["line"].tolist(), rule).segments()[3] for x in _sliced(iter([batch]))]
+                if found:
+                    yield _bit_pieces(np.concatenate(found))
+
+    return run
+
+
+def _hash_bits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    with np.errstate(over="ignore"):
         for batch in batches:
-            lengths = batch["line"].map(len)
-            keep = batch[lengths >= least]
-            # Slices by size bound the memory whatever the lengths of lines are.
-            slices = lengths[lengths >= least].cumsum() // SLICE
-            for _, part in keep.groupby(slices):
-                lines = part["line"].tolist()
-                with np.errstate(over="ignore"):
-                    found = signatures(lines, seen, q, threshold, share)
-                sizes = [len(x) for x in found]
-                bags = [x.tobytes() for x in _counts(lines)]
-                yield pd.DataFrame(
-                    {
-                        "line_id": np.repeat(part["line_id"].to_numpy(), sizes),
-                        "signature": np.concatenate(found),
-                        "n": np.repeat(part["line"].map(len).to_numpy(), sizes),
-                        "bag": np.repeat(np.array(bags, object), sizes),
-                    }
-                )
+            yield _bit_pieces(batch["signature"].to_numpy(np.int64).view(np.uint64))
+
+
+def _rows(part: pd.DataFrame, hashed: Hashed, line: np.ndarray, hashes: np.ndarray) -> pd.DataFrame:
+    """Signatures of lines with what rules pairs out."""
+    row = hashed.order[line]
+    some, at = np.unique(row, return_inverse=True)
+    lines = part["line"].tolist()
+    bags = np.array([x.tobytes() for x in _counts([lines[i] for i in some.tolist()])], object)
+    found = pd.DataFrame(
+        {
+            "line_id": part["line_id"].to_numpy()[row],
+            "signature": hashes.view(np.int64),
+            "n": hashed.lengths[line],
+            "bag": bags[at] if len(at) else bags,
+        }
+    )
+    return found.drop_duplicates(["line_id", "signature"])
+
+
+def _probing(rule: Rule, known):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        with np.errstate(over="ignore"):
+            for part in _sliced(batches):
+                hashed = Hashed(part["line"].tolist(), rule)
+                yield _rows(part, hashed, *hashed.probes(known.value))
+
+    return run
+
+
+def _indexing(rule: Rule, twice, probed):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        with np.errstate(over="ignore"):
+            for part in _sliced(batches):
+                hashed = Hashed(part["line"].tolist(), rule)
+                line, _, _, hashes = hashed.segments()
+                at = np.union1d(twice.value.holds(hashes), probed.value.holds(hashes))
+                yield _rows(part, hashed, line[at], hashes[at])
 
     return run
 
 
+def signatures(long_lines: DataFrame, rule: Rule) -> DataFrame:
+    """``line_id``, ``signature``, ``n`` and ``bag`` of the segments and probes that may meet others."""
+    kind = "line_id long, signature long, n int, bag binary"
+    spark = long_lines.sparkSession
+    chars = long_lines.agg(F.sum(F.length("line"))).first()[0] or 0
+    once, twice = _tables(long_lines.mapInPandas(_segment_bits(rule), "piece long, bits binary"), chars // 8)
+    known, again = spark.sparkContext.broadcast(once), spark.sparkContext.broadcast(twice)
+    probes = stored(long_lines.mapInPandas(_probing(rule, known), kind), "probes")
+    known.unpersist()
+    wanted = probes.select("signature").mapInPandas(_hash_bits, "piece long, bits binary")
+    asked = spark.sparkContext.broadcast(_tables(wanted, probes.count())[0])
+    index = stored(long_lines.mapInPandas(_indexing(rule, again, asked), kind), "index")
+    return probes.unionByName(index)
+
+
 def _possible(n_a, n_b, bag_a, bag_b, threshold: int, share: float) -> np.ndarray:
     """False for pairs that lengths or counts of characters show to be too different."""
     most = edits(np.maximum(n_a, n_b), threshold, share)
@@ -208,7 +401,7 @@ def _within(pairs: DataFrame, texts: DataFrame, threshold: int, share: float) ->
             yield x.loc[np.array(ok, bool), ["a", "b"]]
 
     wanted = pairs.select(F.col("a").alias("line_id")).union(pairs.select("b")).distinct()
-    own = settle(lookup_join(texts, settle(wanted), "line_id", "inner").groupBy("line_id").agg(F.min("line").alias("line")))
+    own = settle(lookup_join(texts, settle(wanted), "line_id", "inner"))
     both = lookup_join(pairs, own.withColumnsRenamed({"line_id": "a", "line": "text_a"}), "a", "inner")
     both = lookup_join(both, own.withColumnsRenamed({"line_id": "b", "line": "text_b"}), "b", "inner")
     return settle(both.select("a", "b", "text_a", "text_b").mapInPandas(run, "a long, b long"))
@@ -231,7 +424,7 @@ def document_key(docs: DataFrame, doc_id: str, text: str) -> Column:
 
 
 def line_links(
-    lines: DataFrame, threshold: int = THRESHOLD, min_chars: int = MIN_CHARS, share: float = 0.0
+    lines: DataFrame, threshold: int = THRESHOLD, min_chars: int = MIN_CHARS, share: float = SHARE
 ) -> DataFrame:
     """``node`` and ``root`` of the different lines that are connected by few edits: ``threshold``, or
     ``share`` of the longer line if that is more.
@@ -241,15 +434,9 @@ def line_links(
     classes is compared in blocks.
     """
     least = max(min_chars, threshold + 1)
-    q = gram_size(threshold, least, share)
-    long_lines = lines.filter(F.length("line") >= least).select("line_id", "line")
-    some = long_lines.select("line_id", F.substring("line", 1, SAMPLE_CHARS).alias("line"))
-    sample = [r["line"] for r in some.orderBy("line_id").limit(SAMPLE).collect()]
-    with np.errstate(over="ignore"):
-        seen = _seen(sample, q)
-    probes = long_lines.mapInPandas(
-        _signed(seen, q, threshold, least, share), "line_id long, signature long, n int, bag binary"
-    )
+    different = lines.filter(F.length("line") >= least).select("line_id", "line").distinct()
+    long_lines = stored(different, "lines")
+    probes = signatures(long_lines, Rule(threshold, share))
     met = probes.groupBy("signature").agg(F.min("line_id").alias("low"), F.max("line_id").alias("high"))
     met = settle(met.filter("low <> high").select("signature"))
     members = settle(lookup_join(probes, met, "signature", "inner").distinct())
@@ -292,7 +479,7 @@ def line_classes(
     text: str = "text",
     threshold: int = THRESHOLD,
     min_chars: int = MIN_CHARS,
-    share: float = 0.0,
+    share: float = SHARE,
 ) -> DataFrame:
     """A row per line: ``doc_id``, ``doc``, ``line_no`` from 0, the first line of its class by document
     id, number and text (``class_doc_id``, ``class_line_no``), ``class_lines`` and ``kept``.
@@ -300,7 +487,8 @@ def line_classes(
     White space at the ends of lines does not count; lines of nothing else, and null and empty texts,
     have no row. Rows with a null id come before others. Rows that repeat a document (same id and text)
     are treated alike: their lines stay or go together. Lines shorter than ``min_chars`` are joined
-    only if equal, others up to ``threshold`` edits, or ``share`` of the longer line if that is more. Hashes of 64 bits stand for lines until texts are compared.
+    only if equal, others up to ``threshold`` edits, or ``share`` of the longer line if that is more. Hashes of
+    64 bits stand for lines until texts are compared.
     """
     lines = _occurrences(docs, doc_id, text)
     roots = line_links(lines, threshold, min_chars, share)
@@ -329,7 +517,7 @@ def drop_repeated_lines(
     text: str = "text",
     threshold: int = THRESHOLD,
     min_chars: int = MIN_CHARS,
-    share: float = 0.0,
+    share: float = SHARE,
 ) -> DataFrame:
     """``docs`` with only the first line of each class left in the texts; all rows and columns stay, a
     text without a line left is empty, null stays null."""

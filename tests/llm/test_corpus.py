@@ -158,7 +158,7 @@ def test_lines_against_all_pairs(spark, docs):
     some = spark.createDataFrame(rows, "doc_id long, text string")
     seen = [(d, n, x.strip()) for d, t in rows for n, x in enumerate(t.split("\n")) if x.strip()]
     distinct = list(dict.fromkeys(x for _, _, x in seen))
-    long_ones = [i for i, x in enumerate(distinct) if len(x) >= lines.MIN_CHARS]
+    long_ones = [i for i, x in enumerate(distinct) if len(x) >= 40]
     links = [
         (a, b)
         for k, a in enumerate(long_ones)
@@ -170,7 +170,7 @@ def test_lines_against_all_pairs(spark, docs):
     at = {x: i for i, x in enumerate(distinct)}
     for d, n, x in sorted(seen):
         first.setdefault(root[at[x]], (d, n))
-    found = lines.line_classes(some).collect()
+    found = lines.line_classes(some, threshold=2, min_chars=40, share=0.0).collect()
     assert len(found) == len(seen)
     want = {(d, n): first[root[at[x]]] for d, n, x in seen}
     assert {(r["doc_id"], r["line_no"]): (r["class_doc_id"], r["class_line_no"]) for r in found} == want
@@ -200,7 +200,7 @@ def test_near_lines_by_length_against_all_pairs(spark, docs):
     assert beyond >= 50
     root = grouped(len(distinct), links)
     frame = spark.createDataFrame(enumerate(distinct), "doc_id long, text string")
-    found = {r["doc_id"]: r["class_doc_id"] for r in lines.line_classes(frame, **lines.NEAR).collect()}
+    found = {r["doc_id"]: r["class_doc_id"] for r in lines.line_classes(frame).collect()}
     assert found == dict(enumerate(root))
 
 
