@@ -56,6 +56,9 @@ STEP = np.uint64(0xBF58476D1CE4E5B9)
 SECOND = np.uint64(0x94D049BB133111EB)
 # Characters are counted in so many classes; an edit changes two counts at most by one each.
 CLASSES = 16
+# Classes of runs of two characters, and pairs of lines of which these are counted at once.
+PAIR_CLASSES = 256
+PAIRS = 1_000
 
 
 def edits(length, threshold: int, share: float):
@@ -107,7 +110,8 @@ class Rule:
 def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of ``BASE`` and of its inverse in 64 bits."""
     inverse = np.uint64(pow(int(BASE), -1, 1 << 64))
-    return tuple(np.cumprod(np.concatenate(([1], np.full(size, x))).astype(np.uint64)) for x in (BASE, inverse))
+    one = np.ones(1, np.uint64)
+    return tuple(np.cumprod(np.concatenate((one, np.full(size, x, np.uint64)))) for x in (BASE, inverse))
 
 
 class Hashed:
@@ -258,6 +262,17 @@ def _counts(lines: list[str]) -> np.ndarray:
     return flat.reshape(len(lines), CLASSES).astype(np.uint8)
 
 
+def _pair_counts(lines: list[str]) -> np.ndarray:
+    """How many runs of two characters of each class a line has."""
+    codes = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+    lengths = np.array([len(x) for x in lines])
+    row = np.repeat(np.arange(len(lines)), lengths)
+    inside = row[1:] == row[:-1]
+    kind = (codes[:-1] * 31 + codes[1:])[inside] % PAIR_CLASSES
+    flat = np.bincount(row[1:][inside] * PAIR_CLASSES + kind, minlength=len(lines) * PAIR_CLASSES)
+    return flat.reshape(len(lines), PAIR_CLASSES)
+
+
 def _sliced(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Rows of about ``SLICE`` characters, which bounds the memory whatever the lengths of lines are."""
     for batch in batches:
@@ -393,12 +408,19 @@ def _within(pairs: DataFrame, texts: DataFrame, threshold: int, share: float) ->
     """The pairs whose texts are within the limit."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for x in batches:
-            ok = []
-            for a, b in zip(x["text_a"], x["text_b"], strict=True):
-                most = int(edits(max(len(a), len(b)), threshold, share))
-                ok.append(edit_distance(a, b, most) <= most)
-            yield x.loc[np.array(ok, bool), ["a", "b"]]
+        for batch in batches:
+            for i in range(0, len(batch), PAIRS):
+                x = batch.iloc[i : i + PAIRS]
+                n = np.maximum(x["text_a"].map(len), x["text_b"].map(len)).to_numpy()
+                most = edits(n, threshold, share)
+                # An edit takes away two runs of two characters at most, and brings two.
+                change = np.abs(_pair_counts(x["text_a"].tolist()) - _pair_counts(x["text_b"].tolist()))
+                x, most = x[change.sum(axis=1) <= 4 * most], most[change.sum(axis=1) <= 4 * most]
+                ok = [
+                    edit_distance(a, b, t) <= t
+                    for a, b, t in zip(x["text_a"], x["text_b"], most.tolist(), strict=True)
+                ]
+                yield x.loc[np.array(ok, bool), ["a", "b"]]
 
     wanted = pairs.select(F.col("a").alias("line_id")).union(pairs.select("b")).distinct()
     own = settle(lookup_join(texts, settle(wanted), "line_id", "inner"))

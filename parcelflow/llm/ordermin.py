@@ -225,11 +225,11 @@ def _align(a: list[str], b: list[str], similarity: float) -> bool:
 
 
 def _one_center_each(
-    labelled: DataFrame, singles: DataFrame, tried: DataFrame | None, turn: int, similarity: float
+    labelled: DataFrame, tried: DataFrame | None, turn: int, similarity: float
 ) -> DataFrame:
-    """For each document the center of another class that it shares most sketches with, of those that it
-    was not compared with before and that numbers of words do not rule out, if any. The center of a
-    sketch is one of its documents, another one in each turn."""
+    """For each document the center of another class that it shares most sketches with, of those of a
+    possible length that it has not met before, if any. The center of a sketch is one of its documents,
+    another one in each turn."""
     drawn = F.min(F.struct(F.xxhash64(F.lit(turn), "key").alias("h"), "key", "label", "n_words"))
     centers = settle(labelled.groupBy("band").agg(drawn.alias("c")))
     centers = centers.select(
@@ -237,8 +237,8 @@ def _one_center_each(
     )
     met = labelled.join(centers, "band").filter("label <> other")
     met = met.filter(_near(F.col("n_words"), F.col("m"), similarity))
-    met = settle(_untried(met.groupBy("key", "center").count(), tried))
-    best = _possible(met, singles, similarity).groupBy("key").agg(F.max(F.struct("count", "center")).alias("best"))
+    met = _untried(met.groupBy("key", "center").count(), tried)
+    best = met.groupBy("key").agg(F.max(F.struct("count", "center")).alias("best"))
     return best.select("key", F.col("best.center").alias("center"))
 
 
@@ -300,9 +300,10 @@ def near_duplicates(
     rows.
 
     In a few rounds every candidate is compared with one center in another class, the one it shares
-    most sketches with of those that lengths and numbers of words leave possible, which settles large
-    groups in as many comparisons as members. Sketches whose documents are then still in different
-    classes are compared in blocks, all pairs across classes. No pair is aligned twice.
+    most sketches with of those of a possible length, which settles large groups in as many comparisons
+    as members. Sketches whose documents are then still in different classes are compared in blocks, all
+    pairs across classes. Numbers of words rule pairs out before texts are sent, and no pair is aligned
+    twice.
     """
     keyed = docs.select(
         F.col(doc_id).alias(doc_id),
@@ -329,10 +330,10 @@ def near_duplicates(
     links, tried = None, None
     labelled = members.withColumn("label", F.col("key"))
     for turn in range(ROUNDS):
-        pairs = settle(_one_center_each(labelled, singles, tried, turn, similarity))
+        pairs = settle(_one_center_each(labelled, tried, turn, similarity))
         if pairs.isEmpty():
             break
-        found = settle(_verified(pairs, texts, similarity))
+        found = settle(_verified(settle(_possible(pairs, singles, similarity)), texts, similarity))
         links = found if links is None else settle(links.unionByName(found))
         seen = _ordered(pairs) if tried is None else tried.unionByName(_ordered(pairs))
         tried = settle(seen.distinct())
