@@ -36,9 +36,11 @@ from parcelflow.session import stored
 THRESHOLD = 1
 MIN_CHARS = 15
 SHARE = 0.05
-# Bits of a table as a power of two, and bits of one of the pieces in which it is put together.
-TABLE_BITS = 29
-PIECE_BITS = 23
+# Bits of a table as a power of two, bits that a hash sets, and bits of one of the pieces in which a table is
+# put together.
+TABLE_BITS = 28
+HASH_BITS = 4
+PIECE_BITS = 22
 # Bits set in one piece by a task; more tasks share the work on a larger corpus.
 PIECE_ENTRIES = 16_000_000
 # Turns in which every line is compared with one line of each signature.
@@ -185,10 +187,9 @@ def _among(x: np.ndarray, ordered: np.ndarray) -> np.ndarray:
     return ordered[at] == x
 
 
-def _places(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The two bits of a hash."""
-    shift = np.uint64(64 - TABLE_BITS)
-    return hashes >> shift, (hashes * SECOND) >> shift
+def _place(hashes: np.ndarray, i: int) -> np.ndarray:
+    """The i-th bit of a hash."""
+    return (hashes * (SECOND + np.uint64(2 * i)) if i else hashes) >> np.uint64(64 - TABLE_BITS)
 
 
 @dataclass(frozen=True)
@@ -198,22 +199,23 @@ class Bits:
     table: np.ndarray
 
     def holds(self, hashes: np.ndarray) -> np.ndarray:
-        """Places of the hashes of which both bits are set."""
+        """Places of the hashes of which all bits are set."""
         at = np.arange(len(hashes))
-        for i in range(2):
-            bit = _places(hashes[at])[i] if i else hashes >> np.uint64(64 - TABLE_BITS)
+        for i in range(HASH_BITS):
+            bit = _place(hashes[at] if i else hashes, i)
             byte = self.table[(bit >> np.uint64(3)).astype(np.int64)]
             at = at[(byte >> (bit & np.uint64(7)).astype(np.uint8)) & np.uint8(1) == 1]
         return at
 
 
 def _bit_pieces(hashes: np.ndarray) -> pd.DataFrame:
-    """The bits of hashes by piece of the table, each as 32-bit numbers within it."""
-    bits = np.sort(np.concatenate(_places(hashes)))
+    """The bits of hashes by piece of the table, each as ascending 32-bit numbers within it."""
+    bits = np.sort(np.concatenate([_place(hashes, i) for i in range(HASH_BITS)]))
     piece = (bits >> np.uint64(PIECE_BITS)).astype(np.int64)
     number, first = np.unique(piece, return_index=True)
     inside = (bits & np.uint64((1 << PIECE_BITS) - 1)).astype(np.uint32)
-    return pd.DataFrame({"piece": number, "bits": [x.tobytes() for x in np.split(inside, first[1:])] if len(bits) else []})
+    found = [x.tobytes() for x in np.split(inside, first[1:])] if len(bits) else []
+    return pd.DataFrame({"piece": number, "bits": found})
 
 
 def _tables(pieces: DataFrame, entries: int) -> tuple[Bits, Bits]:
@@ -237,7 +239,7 @@ def _tables(pieces: DataFrame, entries: int) -> tuple[Bits, Bits]:
             once |= a
         return pd.DataFrame({"piece": [group["piece"].iloc[0]], "once": [once.tobytes()], "twice": [twice.tobytes()]})
 
-    shares = 1 + 2 * entries // (PIECE_ENTRIES << (TABLE_BITS - PIECE_BITS))
+    shares = 1 + HASH_BITS * entries // (PIECE_ENTRIES << (TABLE_BITS - PIECE_BITS))
     share = F.pmod(F.xxhash64("bits"), F.lit(shares)).alias("share")
     made = pieces.select("*", share).groupBy("piece", "share").applyInPandas(set_bits, kind)
     if shares > 1:
@@ -337,19 +339,30 @@ def _indexing(rule: Rule, twice, probed):
     return run
 
 
+def _kept(known):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        with np.errstate(over="ignore"):
+            for batch in batches:
+                yield batch.iloc[known.value.holds(batch["signature"].to_numpy(np.int64).view(np.uint64))]
+
+    return run
+
+
 def signatures(long_lines: DataFrame, rule: Rule) -> DataFrame:
     """``line_id``, ``signature``, ``n`` and ``bag`` of the segments and probes that may meet others."""
     kind = "line_id long, signature long, n int, bag binary"
-    spark = long_lines.sparkSession
+    bits = "piece long, bits binary"
+    share = long_lines.sparkSession.sparkContext.broadcast
     chars = long_lines.agg(F.sum(F.length("line"))).first()[0] or 0
-    once, twice = _tables(long_lines.mapInPandas(_segment_bits(rule), "piece long, bits binary"), chars // 8)
-    known, again = spark.sparkContext.broadcast(once), spark.sparkContext.broadcast(twice)
+    known, again = map(share, _tables(long_lines.mapInPandas(_segment_bits(rule), bits), chars // 8))
     probes = stored(long_lines.mapInPandas(_probing(rule, known), kind), "probes")
     known.unpersist()
-    wanted = probes.select("signature").mapInPandas(_hash_bits, "piece long, bits binary")
-    asked = spark.sparkContext.broadcast(_tables(wanted, probes.count())[0])
+    wanted = probes.select("signature").mapInPandas(_hash_bits, bits)
+    asked = share(_tables(wanted, probes.count())[0])
     index = stored(long_lines.mapInPandas(_indexing(rule, again, asked), kind), "index")
-    return probes.unionByName(index)
+    # What is left of the index is little, so its table tells well which probes were in vain.
+    left = share(_tables(index.select("signature").mapInPandas(_hash_bits, bits), index.count())[0])
+    return stored(probes.mapInPandas(_kept(left), kind).unionByName(index), "signatures")
 
 
 def _possible(n_a, n_b, bag_a, bag_b, threshold: int, share: float) -> np.ndarray:
