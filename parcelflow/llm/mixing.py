@@ -4,8 +4,8 @@ Every source has a weight and may be repeated at most ``max_epochs`` times. The
 source ``s`` the target ``min(max_epochs * size_s, l * weight_s)``; it is raised, with full sources
 clamped, until the targets add up to the wanted size. A source whose target is ``k + f`` times its size
 takes every document ``k`` times and, once more, the documents with the smallest seeded hashes until
-the words are reached; the rows at the limit are taken in part, so a target is met to about one word
-per row there, or with ``whole_docs`` whole or not at all, whichever is nearer to the target. Only DataFrame operations are used.
+the words are reached; the one at the limit is taken whole or not at all, whichever is nearer to the target.
+Only DataFrame operations are used.
 """
 
 from __future__ import annotations
@@ -21,7 +21,6 @@ from parcelflow.llm.tables import settle
 from parcelflow.session import stored
 
 WORD = r"[^\x20\x09-\x0D]+"
-GAP = r"[\x20\x09-\x0D]"
 WEIGHTS = (5, 2, 1)
 MAX_EPOCHS = 3
 SEED = 20_240_229
@@ -46,11 +45,8 @@ def source_key(source: Column) -> Column:
     return F.when(source.isNull(), F.lit("1")).otherwise(F.concat(F.lit("0"), source.cast("string")))
 
 
-def _prepared(
-    docs: DataFrame, doc_id: str, text: str, source: str, seed: int, whole_docs: bool
-) -> dict[str, Column]:
-    of_text = [F.col(text)] if whole_docs else []
-    hashed = F.xxhash64(F.lit(seed), F.col(doc_id).cast("string"), *of_text)
+def _prepared(doc_id: str, text: str, source: str, seed: int) -> dict[str, Column]:
+    hashed = F.xxhash64(F.lit(seed), F.col(doc_id).cast("string"), F.col(text))
     return {
         KEY: source_key(F.col(source)),
         SIZE: word_count(F.col(text)),
@@ -166,29 +162,25 @@ def mix(
     doc_id: str = "doc_id",
     text: str = "text",
     source: str = "source",
-    whole_docs: bool = False,
 ) -> DataFrame:
-    """All rows of ``docs`` with ``size``, ``source_size``, ``target``, ``copies`` (whole repetitions),
-    ``partial_words`` (words of a further, partial one) and ``taken`` words.
+    """All rows of ``docs`` with ``size``, ``source_size``, ``target``, ``copies`` (how often the mix takes the
+    document) and ``taken`` words.
 
     ``weights`` go to the sources in code point order, the null source last, and repeat. ``share`` is
     the wanted size as a part of all words. Null and empty texts have size 0 and are taken as often as
-    their source as a whole. Rows with equal or null ids share a hash and are treated alike. An empty
-    table gives no rows.
+    their source as a whole. An empty table gives no rows.
 
-    With ``whole_docs`` no text is cut (``partial_words`` is 0): hashes are those of id and text, and of
-    the rows at the limit so many are taken once more as come nearest to the target, which is met to
-    within one document. Only rows of one id and text share a hash; those at the limit are numbered.
+    No text is cut: of the rows at the limit so many are taken once more as come nearest to the target,
+    which is met to within one document. Only rows of one id and text share a hash; those at the limit
+    are numbered.
     Columns of these names in ``docs`` are replaced, all others are kept.
     """
-    made = _prepared(docs, doc_id, text, source, seed, whole_docs)
+    made = _prepared(doc_id, text, source, seed)
     sized = stored(docs.select(*[c.alias(n) for n, c in made.items()]), "mix")
     plan = plan_sources(sized, weights, max_epochs, share)
-    results = ("size", "source_size", "target", "copies", "partial_words", "taken")
+    results = ("size", "source_size", "target", "copies", "taken")
     kept = [c for c in docs.columns if c not in results]
     rows = lookup_join(docs.select(*kept, *[c.alias(n) for n, c in made.items()]), plan, KEY)
-    if not whole_docs:
-        return rows.select(*kept, *_taken()).drop(KEY, HASH, SIZE)
     at_cut = F.coalesce(F.col(HASH) == F.col("cut"), F.lit(False))
     # Rows there are as long as each other; the columns only make the choice repeatable.
     order = [F.xxhash64(*kept), *[F.col(c).cast("string") for c in (doc_id, text)]]
@@ -196,37 +188,17 @@ def mix(
     chosen = number <= F.round(F.col("part") / F.col(SIZE))
     some = rows.filter(at_cut).withColumn("_more", chosen.cast("long"))
     others = rows.filter(~at_cut).withColumn("_more", F.coalesce((F.col(HASH) < F.col("cut")).cast("long"), F.lit(0)))
-    return others.unionByName(some).select(*kept, *_taken(F.col("_more"))).drop(KEY, HASH, SIZE)
-
-
-def _taken(more: Column | None = None) -> list[Column]:
-    """The results; ``more`` says which rows are taken once more, in whole."""
-    if more is None:
-        once_more = F.coalesce((F.col(HASH) < F.col("cut")).cast("long"), F.lit(0))
-        share = F.floor(F.col(SIZE) * (F.col("part") / F.col("mass"))).cast("long")
-        partial = F.when(F.col(HASH) == F.col("cut"), F.least(share, F.col(SIZE))).otherwise(0)
-    else:
-        once_more, partial = more, F.lit(0).cast("long")
-    copies = F.col("whole") + once_more
-    return [
+    copies = F.col("whole") + F.col("_more")
+    return others.unionByName(some).select(
+        *kept,
         F.col(SIZE).alias("size"),
-        F.col("source_size"),
-        F.col("target"),
+        "source_size",
+        "target",
         copies.alias("copies"),
-        partial.alias("partial_words"),
-        (copies * F.col(SIZE) + partial).alias("taken"),
-    ]
-
-
-def repeated(mixed: DataFrame, text: str = "text") -> DataFrame:
-    """The mix itself: each row as often as ``copies`` says, and its first ``partial_words`` words, with
-    the white space between them, as one more row. Rows taken no time are left out."""
-    columns = [c for c in mixed.columns]
-    whole = mixed.filter("copies > 0").withColumn("_n", F.explode(F.expr("sequence(1L, copies)")))
-    pattern = F.concat(
-        F.lit(f"^(?:{GAP}*+{WORD}+){{"), F.col("partial_words").cast("string"), F.lit("}+")
+        (copies * F.col(SIZE)).alias("taken"),
     )
-    part = mixed.filter("partial_words > 0").withColumn(
-        text, F.call_function("regexp_extract", F.col(text), pattern, F.lit(0))
-    )
-    return whole.select(columns).unionByName(part.select(columns))
+
+
+def repeated(mixed: DataFrame) -> DataFrame:
+    """The mix itself: each row as often as ``copies`` says. Rows taken no time are left out."""
+    return mixed.filter("copies > 0").withColumn("_n", F.explode(F.expr("sequence(1L, copies)"))).drop("_n")

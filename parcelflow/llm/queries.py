@@ -66,9 +66,7 @@ def held_out(doc_id: Column) -> Column:
 def op4_source_mixing(spark: SparkSession, folder: str) -> DataFrame:
     """Words taken of every document when all sources are mixed to weights 5, 2, 1."""
     docs = table(spark, folder, "documents").select("doc_id", "text", "source")
-    return mixing.mix(docs, whole_docs=True).select(
-        "doc_id", "size", "source_size", "target", "taken", "copies", "partial_words"
-    )
+    return mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 
 @query(
