@@ -129,7 +129,7 @@ class Search:
         if not len(self.ids) or not len(ids):
             return
         queries, data = Tree(self.vectors.astype(float)), Tree(vectors.astype(float))
-        largest = self.largest * np.abs(data.points).max() * max(vectors.shape[1], 1)
+        largest = self.largest * np.abs(data.points).max(initial=0) * max(vectors.shape[1], 1)
         # Sums within doubles are exact there, others are computed in 64 bits.
         left, right = (queries.points, data.points) if largest < EXACT else (self.vectors, vectors)
         stack = [(0, 0)]
