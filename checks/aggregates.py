@@ -146,6 +146,27 @@ def boxplot_stats(spark, folder):
     return rounded(boxes, 6, "q1", "median", "q3")
 
 
+@check(
+    "boxplot_stats_default",
+    f"""
+    WITH v AS (SELECT l_returnflag, l_quantity * l_quantity * l_quantity * l_quantity * l_quantity AS x FROM lineitem),
+    q AS (SELECT l_returnflag, quantile_cont(x, 0.25) AS q1, median(x) AS m, quantile_cont(x, 0.75) AS q3 FROM v GROUP BY 1),
+    j AS (SELECT l_returnflag, q1, m, q3, x, x BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1) AS inside
+          FROM v JOIN q USING (l_returnflag))
+    SELECT l_returnflag, count(*) AS n, {rnd('max(q1)', 6)} AS q1, {rnd('max(m)', 6)} AS median, {rnd('max(q3)', 6)} AS q3,
+           min(x) FILTER (inside) AS whisker_low, max(x) FILTER (inside) AS whisker_high,
+           count(*) FILTER (NOT inside) AS fliers
+    FROM j GROUP BY 1""",
+)
+def boxplot_stats_default(spark, folder):
+    """A long tail and the default whiskers."""
+    quantity = F.col("l_quantity")
+    lines = table(spark, folder, "lineitem").select(
+        "l_returnflag", (quantity * quantity * quantity * quantity * quantity).alias("x")
+    )
+    return rounded(stats.boxplot_stats(lines, "l_returnflag", "x"), 6, "q1", "median", "q3")
+
+
 @check(
     "histogram",
     f"""
