@@ -16,6 +16,7 @@ set its bits as well, so bits set twice tell about these.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -198,6 +199,10 @@ class Bits:
 
     table: np.ndarray
 
+    def __reduce__(self):
+        # Few bits are set, and every executor keeps a copy of what is broadcast.
+        return _unpacked_bits, (zlib.compress(self.table.tobytes(), 1),)
+
     def holds(self, hashes: np.ndarray) -> np.ndarray:
         """Places of the hashes of which all bits are set."""
         at = np.arange(len(hashes))
@@ -208,6 +213,10 @@ class Bits:
         return at
 
 
+def _unpacked_bits(packed: bytes) -> Bits:
+    return Bits(np.frombuffer(zlib.decompress(packed), np.uint8))
+
+
 def _bit_pieces(hashes: np.ndarray) -> pd.DataFrame:
     """The bits of hashes by piece of the table, each as ascending 32-bit numbers within it."""
     bits = np.sort(np.concatenate([_place(hashes, i) for i in range(HASH_BITS)]))
@@ -356,13 +365,17 @@ def signatures(long_lines: DataFrame, rule: Rule) -> DataFrame:
     chars = long_lines.agg(F.sum(F.length("line"))).first()[0] or 0
     known, again = map(share, _tables(long_lines.mapInPandas(_segment_bits(rule), bits), chars // 8))
     probes = stored(long_lines.mapInPandas(_probing(rule, known), kind), "probes")
-    known.unpersist()
+    known.destroy()
     wanted = probes.select("signature").mapInPandas(_hash_bits, bits)
     asked = share(_tables(wanted, probes.count())[0])
     index = stored(long_lines.mapInPandas(_indexing(rule, again, asked), kind), "index")
+    again.destroy()
+    asked.destroy()
     # What is left of the index is little, so its table tells well which probes were in vain.
     left = share(_tables(index.select("signature").mapInPandas(_hash_bits, bits), index.count())[0])
-    return stored(probes.mapInPandas(_kept(left), kind).unionByName(index), "signatures")
+    found = stored(probes.mapInPandas(_kept(left), kind).unionByName(index), "signatures")
+    left.destroy()
+    return found
 
 
 def _possible(n_a, n_b, bag_a, bag_b, threshold: int, share: float) -> np.ndarray:
