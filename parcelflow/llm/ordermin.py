@@ -30,11 +30,17 @@ WORDS = 2
 SIMILARITY = 0.8
 SKETCHES = 48
 RUNS = 2
-# Turns in which every document is compared with one center.
-ROUNDS = 4
+# Turns in which every document is compared with one center: they go on while a turn finds links for this part
+# of its pairs and more pairs of different classes share a sketch than so many for each row, as all of
+# these are compared then.
+ROUNDS = 16
+YIELD = 0.02
+LEFT = 4
 # Documents compared with one center in a task, and candidates compared with each other.
 CENTER_BLOCK = 32
 BLOCK = 1_024
+# Rows given to one call of the comparison.
+CALL = 16_384
 SEED = 29
 # Classes in which words are counted. Two texts cannot share more words than their counts share, so pairs
 # that share too few are no candidates; counting by class never loses a link. The counts of a text are
@@ -255,26 +261,34 @@ def _untried(pairs: DataFrame, tried: DataFrame | None) -> DataFrame:
 
 
 def _alike(similarity: float):
-    def compare(group: pd.DataFrame) -> pd.DataFrame:
+    def compare(tasks: pd.DataFrame) -> pd.DataFrame:
         """Pairs of different labels that share a sketch and, by their counts, enough words."""
-        bags = np.stack([unpacked(b) for b in group["bag"]])
-        label, part = pd.factorize(group["label"])[0], group["part"].to_numpy()
-        size, keys = group["n_words"].to_numpy(), group["key"].to_numpy()
-        across = group["part_a"].iloc[0] != group["part_b"].iloc[0]
-        found = []
-        for i in range(len(group) - 1):
-            longer = np.maximum(size[i + 1 :], size[i])
-            ok = (label[i + 1 :] != label[i]) & (
-                np.abs(size[i + 1 :] - size[i]) <= (1 - similarity) * longer + 1e-9
-            )
-            if across:
-                ok &= part[i + 1 :] != part[i]
-            at = np.nonzero(ok)[0] + i + 1
-            longer = np.maximum(size[at], size[i])
-            missing = longer - np.minimum(bags[at], bags[i]).sum(axis=1)
-            at = at[missing <= (1 - similarity) * longer + 1e-9]
-            found += [(min(keys[i], keys[j]), max(keys[i], keys[j])) for j in at.tolist()]
-        return pd.DataFrame(found, columns=["center", "key"])
+        order = ["band", "part_a", "part_b"]
+        tasks = tasks.sort_values([*order, "n_words"], ignore_index=True)
+        group = tasks.groupby(order, sort=False).ngroup().to_numpy()
+        across = (tasks["part_a"] != tasks["part_b"]).to_numpy()
+        part, size = tasks["part"].to_numpy(), tasks["n_words"].to_numpy()
+        label, keys = pd.factorize(tasks["label"])[0], tasks["key"].to_numpy()
+        first, found = pd.factorize(tasks["key"])[0], []
+        # A document stands in many sketches, its counts once.
+        bags = np.stack([unpacked(b) for b in tasks["bag"][~tasks["key"].duplicated()]])
+        at, ahead = np.arange(len(tasks)), 0
+        while len(at):
+            # Documents of a group are in order of length: one that is too long for another ends its turn.
+            ahead += 1
+            at = at[at + ahead < len(tasks)]
+            to = at + ahead
+            at = at[(group[to] == group[at]) & (size[to] - size[at] <= (1 - similarity) * size[to] + 1e-9)]
+            to = at + ahead
+            ok = (label[to] != label[at]) & (~across[at] | (part[to] != part[at]))
+            a, b = at[ok], to[ok]
+            for i in range(0, len(a), CALL):
+                x, y = a[i : i + CALL], b[i : i + CALL]
+                missing = size[y] - np.minimum(bags[first[x]], bags[first[y]]).sum(axis=1)
+                near = missing <= (1 - similarity) * size[y] + 1e-9
+                found += zip(keys[x[near]], keys[y[near]], strict=True)
+        pairs = {(min(p), max(p)) for p in found}
+        return pd.DataFrame(sorted(pairs), columns=["center", "key"])
 
     return compare
 
@@ -316,8 +330,8 @@ def near_duplicates(
     singles = stored(drawn.groupBy("key").agg(*first), "sketches")
     band = F.posexplode("sketch").alias("i", "h")
     bands = singles.select("key", "n_words", band).select("key", "n_words", F.xxhash64("i", "h").alias("band"))
-    shared_bands = bands.groupBy("band").agg(F.min("key").alias("low"), F.max("key").alias("high"))
-    shared_bands = settle(shared_bands.filter("low <> high").select("band"))
+    # A text is in a band once, as its sketches are numbered.
+    shared_bands = settle(bands.groupBy("band").count().filter("count > 1").select("band"))
     members = settle(lookup_join(bands, shared_bands, "band", "inner"))
 
     # One text for each candidate: that of its smallest id.
@@ -341,14 +355,25 @@ def near_duplicates(
         labelled = members.join(roots.withColumnRenamed("node", "key"), "key", "left")
         labelled = labelled.withColumn("label", F.coalesce("root", "key")).drop("root")
         # Sketches of a single class have nothing left to compare.
-        mixed = labelled.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high"))
-        mixed = settle(mixed.filter("low <> high").select("band"))
-        labelled = settle(lookup_join(labelled, mixed, "band", "inner"))
+        of_class = labelled.groupBy("band", "label").agg(F.count(F.lit(1)).cast("double").alias("n"))
+        rows = F.sum("n")
+        mixed = of_class.groupBy("band").agg(
+            F.count(F.lit(1)).alias("classes"),
+            rows.alias("rows"),
+            (rows * rows - F.sum(F.col("n") * F.col("n"))).alias("open"),
+        )
+        mixed = settle(mixed.filter("classes > 1"))
+        labelled = settle(lookup_join(labelled, mixed.select("band"), "band", "inner"))
+        left = mixed.agg(F.sum("rows").alias("rows"), F.sum("open").alias("open")).first()
+        few = found.count() < YIELD * pairs.count()
+        if few or (left["open"] or 0) <= 2 * LEFT * (left["rows"] or 0):
+            break
     bags = singles.select("key", "bag").join(settle(labelled.select("key").distinct()), "key", "left_semi")
-    tasks = blocked(labelled, ["band"], "key", BLOCK).join(bags, "key")
-    pairs = tasks.groupBy("band", "part_a", "part_b").applyInPandas(
-        _alike(similarity), "center binary, key binary"
-    )
+    tasks = settle(blocked(labelled, ["band"], "key", BLOCK).join(bags, "key"))
+    # Small groups share a call; a call has about ``CALL`` rows.
+    calls = max(1, -(-tasks.count() // CALL))
+    call = F.pmod(F.xxhash64("band", "part_a", "part_b"), F.lit(calls)).alias("call")
+    pairs = tasks.select("*", call).groupBy("call").applyInPandas(_alike(similarity), "center binary, key binary")
     more = _verified(settle(_untried(pairs.distinct(), tried)), texts, similarity)
     roots = components(more if links is None else settle(links.unionByName(more)))
 

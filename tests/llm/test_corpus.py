@@ -440,7 +440,7 @@ def test_one_shared_sketch_is_enough(monkeypatch, spark):
     compare = ordermin._alike(0.8)
     bag = ordermin.packed(np.bincount([1, 2, 3, 4, 5], minlength=ordermin.CLASSES))
     group = pd.DataFrame({"key": [b"a", b"b"], "label": [b"a", b"b"], "bag": [bag, bag], "n_words": 5, "part": 0})
-    group["part_a"] = group["part_b"] = 0
+    group["part_a"] = group["part_b"] = group["band"] = 0
     group["sketch"] = [np.array([1, 2, 3]), np.array([1, 7, 8])]
     assert compare(group).to_numpy().tolist() == [[b"a", b"b"]]
 
