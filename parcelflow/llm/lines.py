@@ -19,7 +19,7 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pandas as pd
@@ -44,6 +44,8 @@ HASH_BITS = 4
 PIECE_BITS = 22
 # Bits set in one piece by a task; more tasks share the work on a larger corpus.
 PIECE_ENTRIES = 16_000_000
+# Segments that share a table; more are looked for in turns, by the length of lines.
+SEGMENTS = 16_000_000
 # Turns in which every line is compared with one line of each signature.
 ROUNDS = 2
 # Lines that one task compares with each other.
@@ -97,6 +99,16 @@ class Rule:
         by_step = (length - turn) / (self.threshold + 1)
         return np.floor(np.where(length < turn, by_step, by_ratio)).astype(np.int64)
 
+    def step(self, kind: np.ndarray) -> np.ndarray:
+        """Width of the stretches of a line in which its segments are filed: twice the most edits of the
+        lines of a length class, so that a segment lies in one of two stretches of any line it is in."""
+        if not self.share:
+            return np.full(np.shape(kind), 2 * (self.threshold + 1))
+        turn = (self.threshold + 1) / self.share
+        kind = np.asarray(kind, np.float64) + 1
+        longest = np.where(kind <= 0, turn + kind * (self.threshold + 1), turn * (1 - self.share) ** -kind)
+        return 2 * self.count(np.ceil(longest).astype(np.int64) + 1)
+
     def probed(self, length: int) -> list[tuple[int, int]]:
         """Sizes and length classes of the segments that a line of this length may have in common with
         one that is not longer."""
@@ -130,11 +142,12 @@ class Hashed:
         self.sums = np.concatenate(([np.uint64(0)], np.cumsum((codes + np.uint64(1)) * power[: len(codes)])))
         self.ends = np.cumsum(self.lengths)
         self.begins = self.ends - self.lengths
+        self.inside = np.arange(len(codes)) - np.repeat(self.begins, self.lengths)
         self.rule = rule
 
-    def _mixed(self, x: np.ndarray, size, kind) -> np.ndarray:
+    def _mixed(self, x: np.ndarray, size, kind, stretch) -> np.ndarray:
         salt = np.asarray(size).astype(np.uint64) * SECOND + np.asarray(kind).astype(np.uint64) * STEP
-        x = x + salt
+        x = x + (salt + stretch.astype(np.uint64) * BASE)
         x = (x ^ (x >> np.uint64(31))) * STEP
         return x ^ (x >> np.uint64(29))
 
@@ -150,15 +163,18 @@ class Hashed:
         size = base[line] + (i >= (count - rest)[line])
         raw = (self.sums[place + size] - self.sums[place]) * self.inverse[place]
         kind = self.rule.length_class(self.lengths)[line]
-        return line, place, size, self._mixed(raw, size, kind)
+        stretch = (place - self.begins[line]) // self.rule.step(kind)
+        return line, place, size, self._mixed(raw, size, kind, stretch)
 
-    def probes(self, known: Bits) -> tuple[np.ndarray, np.ndarray]:
-        """Number of the line and hash of the substrings that ``known`` may have, but for own segments."""
+    def probes(self, known: Bits, first_kind: int, last_kind: int) -> tuple[np.ndarray, np.ndarray]:
+        """Number of the line and hash of the substrings that ``known`` may have, as segments of these length
+        classes, but for own segments."""
         wanted: dict[tuple[int, int], list[int]] = {}
         different = np.unique(self.lengths).tolist()
         for n in different:
             for x in self.rule.probed(n):
-                wanted.setdefault(x, []).append(n)
+                if first_kind <= x[1] <= last_kind:
+                    wanted.setdefault(x, []).append(n)
         line, place, size, _ = self.segments()
         kinds = self.rule.length_class(self.lengths)
         own = np.unique(place * (1 << 20) + np.minimum(size, (1 << 20) - 1))
@@ -171,15 +187,20 @@ class Hashed:
                 continue
             raw = self.sums[begin + size : end + size] - self.sums[begin:end]
             raw *= self.inverse[begin:end]
-            found = self._mixed(raw, size, kind)
-            at = known.holds(found)
-            place = at + begin
-            row = np.searchsorted(self.ends, place, side="right")
-            ok = place + size <= self.ends[row]
-            mine = kinds[row] == kind
-            ok &= ~mine | ~_among(place * (1 << 20) + min(size, (1 << 20) - 1), own)
-            lines.append(row[ok])
-            hashes.append(found[at[ok]])
+            # The stretches, numbered in the line, that begin before or after the place less or plus the edits.
+            width = int(self.rule.step(np.array(kind)))
+            inside = self.inside[begin:end]
+            low = (inside + (width - width // 2)) // width - 1
+            for stretch in (low, low + 1):
+                found = self._mixed(raw, size, kind, stretch)
+                at = known.holds(found)
+                place = at + begin
+                row = np.searchsorted(self.ends, place, side="right")
+                ok = (place + size <= self.ends[row]) & (stretch[at] >= 0)
+                mine = (kinds[row] == kind) & (stretch[at] == inside[at] // width)
+                ok &= ~mine | ~_among(place * (1 << 20) + min(size, (1 << 20) - 1), own)
+                lines.append(row[ok])
+                hashes.append(found[at[ok]])
         return np.concatenate(lines), np.concatenate(hashes)
 
 
@@ -326,12 +347,12 @@ def _rows(part: pd.DataFrame, hashed: Hashed, line: np.ndarray, hashes: np.ndarr
     return found.drop_duplicates(["line_id", "signature"])
 
 
-def _probing(rule: Rule, known):
+def _probing(rule: Rule, known, kinds: tuple[int, int]):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         with np.errstate(over="ignore"):
             for part in _sliced(batches):
                 hashed = Hashed(part["line"].tolist(), rule)
-                yield _rows(part, hashed, *hashed.probes(known.value))
+                yield _rows(part, hashed, *hashed.probes(known.value, *kinds))
 
     return run
 
@@ -357,18 +378,56 @@ def _kept(known):
     return run
 
 
+@dataclass(frozen=True)
+class Lengths:
+    """Consecutive length classes whose segments a table can hold, with the least and the largest length of
+    lines in them, and the largest of lines that probe them."""
+
+    kinds: tuple[int, int]
+    least: int
+    largest: int
+    probing: int
+
+
+def length_groups(long_lines: DataFrame, rule: Rule) -> list[Lengths]:
+    """Length classes in groups of about ``SEGMENTS``; a class is not divided."""
+    counts = long_lines.groupBy(F.length("line").alias("n")).count().orderBy("n").collect()
+    lengths = np.array([r["n"] for r in counts], np.int64)
+    kinds = rule.length_class(lengths)
+    segments = np.array([r["count"] for r in counts], np.int64) * rule.count(lengths)
+    found, first = [], 0
+    while first < len(lengths):
+        last, held = first, 0
+        while last < len(lengths) and (not held or held < SEGMENTS or kinds[last] == kinds[last - 1]):
+            held += int(segments[last])
+            last += 1
+        probing = lengths[kinds <= kinds[last - 1] + 1][-1]
+        ends = (int(kinds[first]), int(kinds[last - 1]))
+        found.append(Lengths(ends, int(lengths[first]), int(lengths[last - 1]), int(probing)))
+        first = last
+    return found
+
+
 def signatures(long_lines: DataFrame, rule: Rule) -> DataFrame:
     """``line_id``, ``signature``, ``n`` and ``bag`` of the segments and probes that may meet others."""
     kind = "line_id long, signature long, n int, bag binary"
+    parts = [_signatures(long_lines, rule, group, kind) for group in length_groups(long_lines, rule)]
+    empty = long_lines.sparkSession.createDataFrame([], kind)
+    return reduce(DataFrame.unionByName, parts, empty)
+
+
+def _signatures(long_lines: DataFrame, rule: Rule, group: Lengths, kind: str) -> DataFrame:
     bits = "piece long, bits binary"
     share = long_lines.sparkSession.sparkContext.broadcast
-    chars = long_lines.agg(F.sum(F.length("line"))).first()[0] or 0
-    known, again = map(share, _tables(long_lines.mapInPandas(_segment_bits(rule), bits), chars // 8))
-    probes = stored(long_lines.mapInPandas(_probing(rule, known), kind), "probes")
+    length = F.length("line")
+    indexed = long_lines.filter(length.between(group.least, group.largest))
+    asking = long_lines.filter(length.between(group.least, group.probing))
+    known, again = map(share, _tables(indexed.mapInPandas(_segment_bits(rule), bits), SEGMENTS))
+    probes = stored(asking.mapInPandas(_probing(rule, known, group.kinds), kind), "probes")
     known.destroy()
     wanted = probes.select("signature").mapInPandas(_hash_bits, bits)
     asked = share(_tables(wanted, probes.count())[0])
-    index = stored(long_lines.mapInPandas(_indexing(rule, again, asked), kind), "index")
+    index = stored(indexed.mapInPandas(_indexing(rule, again, asked), kind), "index")
     again.destroy()
     asked.destroy()
     # What is left of the index is little, so its table tells well which probes were in vain.

@@ -76,7 +76,7 @@ def test_segments_of_the_shorter_line_stand_in_the_longer_one():
         with np.errstate(over="ignore"):
             hashed = lines.Hashed([a, b], rule)
             own = hashed.segments()
-            probes = hashed.probes(every)
+            probes = hashed.probes(every, -1000, 1000)
         sets = [
             {int(h) for i, h in zip(own[0], own[3], strict=True) if hashed.order[i] == j}
             | {int(h) for i, h in zip(*probes, strict=True) if hashed.order[i] == j}
@@ -87,6 +87,22 @@ def test_segments_of_the_shorter_line_stand_in_the_longer_one():
         assert segments[shorter] & sets[1 - shorter]
 
 
+def test_lines_in_turns_by_length(monkeypatch, spark):
+    rng = random.Random(12)
+    rows = []
+    for i in range(120):
+        line = "".join(rng.choices("abcdef ", k=rng.choice([15, 16, 39, 40, 41, 60, 100, 200, 210]))).strip()
+        changed = list(line)
+        for k in rng.sample(range(len(line)), max(1, len(line) // 20)):
+            changed[k] = rng.choice(["", "#", changed[k] + "+"])
+        rows += [(2 * i, line), (2 * i + 1, "".join(changed))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    whole = sorted(map(str, lines.line_classes(docs).collect()))
+    monkeypatch.setattr(lines, "SEGMENTS", 100)
+    assert sorted(map(str, lines.line_classes(docs).collect())) == whole
+    assert sum("class_lines=2" in r for r in whole) > 150
+
+
 def test_documents_of_a_word_equal_ids_and_null_ids(spark):
     text = " ".join(f"w{i}" for i in range(40))
     rows = [
