@@ -38,7 +38,7 @@ YIELD = 0.02
 LEFT = 4
 # Documents compared with one center in a task, and candidates compared with each other.
 CENTER_BLOCK = 32
-BLOCK = 1_024
+BLOCK = 4_096
 # Rows given to one call of the comparison.
 CALL = 16_384
 SEED = 29
@@ -201,7 +201,8 @@ def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFram
     wanted = dealt.select("center", "part", "key", F.lit(1).alias("place")).unionByName(
         centers.withColumn("place", F.lit(0))
     )
-    sent = wanted.join(texts, "key").repartition("center", "part")
+    # Few texts are wanted, so they are picked out where they are.
+    sent = lookup_join(texts, settle(wanted), "key", "inner").repartition("center", "part")
     sent = sent.sortWithinPartitions("center", "part", "place")
 
     def align(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -369,7 +370,7 @@ def near_duplicates(
         if few or (left["open"] or 0) <= 2 * LEFT * (left["rows"] or 0):
             break
     bags = singles.select("key", "bag").join(settle(labelled.select("key").distinct()), "key", "left_semi")
-    tasks = settle(blocked(labelled, ["band"], "key", BLOCK).join(bags, "key"))
+    tasks = settle(blocked(settle(labelled.join(bags, "key")), ["band"], "key", BLOCK))
     # Small groups share a call; a call has about ``CALL`` rows.
     calls = max(1, -(-tasks.count() // CALL))
     call = F.pmod(F.xxhash64("band", "part_a", "part_b"), F.lit(calls)).alias("call")
