@@ -36,8 +36,8 @@ BATCH = 24
 RATE = 0.02
 SEED = 3
 # Word inputs kept by a Python worker, and windows computed at once.
-CACHE = 150_000
-CHUNK = 4_096
+CACHE = 60_000
+CHUNK = 2_048
 
 
 def words_of(text: str | None) -> list[str]:
