@@ -2,17 +2,31 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator, Sequence
+from functools import partial, reduce
+
+import numpy as np
+import pyarrow as pa
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from parcelflow.functions.lookup import INLINE_NAMES, first_match_in_text, pieces
+from parcelflow.functions.lookup import INLINE_NAMES, first_match_in_text
 from parcelflow.functions.text import fold
 from parcelflow.operators.joins import lookup_join
-from parcelflow.session import at_most, settle, stored
+from parcelflow.session import BROADCAST_ROWS, at_most, settle, stored
 
-# Lengths of the pieces by which names are found; a shorter name is a piece of its own length.
+# Bytes of the pieces by which names are found; a shorter name is a piece of its own length.
 PIECE_SIZES = (8, 4)
 
+# Bits of the table that tells which pieces are wanted, in blocks of so many, and pieces it is made for at most.
+TABLE_BITS, BLOCK_BITS = 1 << 27, 1 << 16
+TABLE_PIECES = 1 << 23
+
+# Bytes of texts that are cut at once.
+CUT_BYTES = 1 << 20
+
 
 def attach_coordinates(df: DataFrame, gazetteer: DataFrame, city: str = "CITY") -> DataFrame:
     """Left join of ``LAT`` and ``LON`` by exact place name."""
@@ -36,7 +50,9 @@ def first_match_join(
     pieces of one size, and the pieces are counted over all texts. Texts are cut likewise and meet the
     names filed under their pieces; a name is looked for in the text at once, and of those that are in it
     only the least (``first_match``: priority, then name; ``longest_match``: longest first) is kept while
-    rows are gathered. Equal texts are searched once. Null names and texts match nothing.
+    rows are gathered. Pieces are known by a hash, so equal hashes of different pieces cost a comparison
+    only. For ``longest_match`` the long names come first, and shorter ones are looked for in the texts that
+    have none of them. Equal texts are searched once. Null names and texts match nothing.
     """
     if mode not in ("first_match", "longest_match"):
         raise ValueError(mode)
@@ -44,64 +60,190 @@ def first_match_join(
         known = dictionary.filter("name IS NOT NULL").orderBy("priority", "name")
         ordered = [row["name"] for row in known.collect()]
         return df.withColumn(result, first_match_in_text(F.col(text), ordered))
-    searched = fold(F.col(text))
-    keyed = df.withColumn("_text", F.unhex(F.substring(F.sha2(searched, 256), 1, 32)))
-    texts = keyed.select("_text", searched.alias("body")).filter("_text IS NOT NULL").distinct()
-    texts = stored(texts, "texts")
-    found = _least_names(texts, _filed(dictionary, texts, mode, hyphen_as_space))
-    found = settle(found.withColumnRenamed("name", "_found"))
-    named = lookup_join(keyed, found, "_text")
+    keyed = df.withColumn("_text", F.unhex(F.substring(F.sha2(F.col(text), 256), 1, 32)))
+    texts = keyed.select("_text", fold(F.col(text)).alias("body")).filter("_text IS NOT NULL").distinct()
+    found = _least_names(stored(texts, "texts"), _names(dictionary, mode, hyphen_as_space))
+    named = lookup_join(keyed, found.withColumnRenamed("name", "_found"), "_text")
     return named.withColumn(result, F.col("_found")).select(*dict.fromkeys([*df.columns, result]))
 
 
-def _size(probe: Column) -> Column:
-    """Size of the pieces of a name's length class."""
-    size = F.length(probe)
-    for known in sorted(PIECE_SIZES):
-        size = F.when(F.length(probe) >= known, known).otherwise(size)
-    return size
+def _names(dictionary: DataFrame, mode: str, hyphen_as_space: bool) -> DataFrame:
+    """``probe`` to look for, ``rank`` among the names found, and ``tier``: all names of a tier come before
+    those of a lower one."""
+    probe = fold(F.col("name"))
+    probe = F.replace(probe, F.lit("-"), F.lit(" ")) if hyphen_as_space else probe
+    length = F.length("name") if mode == "longest_match" else F.lit(0)
+    rank = F.struct((-length).alias("shorter"), "priority", "name")
+    names = dictionary.select(probe.alias("probe"), rank.alias("rank"), _size(length).alias("tier"))
+    return stored(names.filter(F.length("probe") > 0), "names")
 
 
-def _text_pieces(texts: DataFrame, sizes: list[int]) -> DataFrame:
-    """The different pieces of each text; long texts stay out of the rows."""
-    cut = F.array_distinct(F.concat(*[pieces(F.col("body"), size) for size in sizes]))
-    return texts.select("_text", F.explode(cut).alias("piece"))
+def _size(length: Column) -> Column:
+    """Size of the pieces of a length class."""
+    size = length
+    for known in sorted(PIECE_SIZES):
+        size = F.when(length >= known, known).otherwise(size)
+    return size
 
 
-def _filed(dictionary: DataFrame, texts: DataFrame, mode: str, hyphen_as_space: bool) -> DataFrame:
-    """``piece``, ``probe``, ``rank`` and ``name`` of every name that has a piece in the texts, under the rarest
-    of its pieces there; names with a piece that no text has are in none."""
-    probe = fold(F.col("name"))
-    probe = F.replace(probe, F.lit("-"), F.lit(" ")) if hyphen_as_space else probe
-    length = F.length("best.name") if mode == "longest_match" else F.lit(0)
-    names = dictionary.select("priority", "name", probe.alias("probe")).filter(F.length("probe") > 0)
-    names = names.groupBy("probe").agg(F.min(F.struct("priority", "name")).alias("best"))
-    names = settle(
-        names.select(
-            "probe", F.struct((-length).alias("shorter"), "best.priority", "best.name").alias("rank")
-        )
-    )
-    sizes = sorted(r[0] for r in names.select(_size(F.col("probe"))).distinct().collect())
-    if not sizes:
-        return names.select(F.col("probe").alias("piece"), "probe", "rank")
-    parts = F.concat(
-        *[F.when(_size(F.col("probe")) == n, pieces(F.col("probe"), n)).otherwise(F.array()) for n in sizes]
-    )
-    cut = names.select("probe", "rank", F.explode(F.array_distinct(parts)).alias("piece"))
-    known = settle(cut.select("piece").distinct())
-    counts = lookup_join(_text_pieces(texts, sizes), known, "piece", "inner").groupBy("piece").count()
-    counted = cut.join(settle(counts), "piece", "left")
+def _least_names(texts: DataFrame, names: DataFrame) -> DataFrame:
+    """``_text`` and the least ``name`` in it, for texts with any."""
+    size = _size(F.octet_length("probe"))
+    kinds = names.groupBy("tier", size.alias("size")).count().collect()
+    tiers = sorted({kind["tier"] for kind in kinds}, reverse=True)
+    found = [texts.select("_text", F.lit(None).cast("string").alias("name")).limit(0)]
+    for tier in tiers:
+        if tier != tiers[0]:
+            texts = stored(texts.join(found[-1], "_text", "left_anti"), "texts")
+        sizes = sorted(kind["size"] for kind in kinds if kind["tier"] == tier)
+        several = sum(kind["count"] for kind in kinds if kind["tier"] == tier) > BROADCAST_ROWS
+        filed = _filed(names.filter(F.col("tier") == tier), texts, sizes, several)
+        wanted = _table(filed) if filed.count() <= TABLE_PIECES else None
+        met = lookup_join(_text_pieces(texts, sizes, wanted), filed, "piece", "inner").drop("piece")
+        hits = met.join(texts, "_text").filter(F.contains("body", "probe"))
+        least = hits.groupBy("_text").agg(F.min("rank").alias("least"))
+        found.append(settle(least.select("_text", "least.name")))
+    return reduce(DataFrame.unionByName, found[1:] or found)
+
+
+def _filed(names: DataFrame, texts: DataFrame, sizes: list[int], several: bool) -> DataFrame:
+    """``piece``, ``probe`` and ``rank`` of every name that has a piece in the texts, under the rarest
+    of its pieces there; names with a piece that no text has are in none.
+
+    Pieces of a few names are counted only where they are in the texts; ``several`` names have to have one of
+    their pieces there before all are looked at.
+    """
+    kind = T.StructType([*names.schema.fields, T.StructField("pieces", T.ArrayType(T.LongType()))])
+    cut = names.mapInArrow(_cut_names, kind)
+    counts = None
+    if several:
+        counts = stored(_piece_counts(texts, sizes, None), "counts")
+        cut = cut.withColumn("piece", F.array_min("pieces")).join(counts, "piece", "left_semi").drop("piece")
+    best = cut.groupBy("probe").agg(F.min("rank").alias("rank"), F.first("pieces").alias("pieces"))
+    best = settle(best)
+    pieces = best.select("probe", F.explode("pieces").alias("piece"))
+    if counts is None:
+        known = pieces.select("piece").distinct()
+        counts = settle(_piece_counts(texts, sizes, _table(known)))
+    counted = pieces.join(counts, "piece", "left")
     # A missing piece counts as none, and is the rarest.
     rarest = F.min(F.struct(F.coalesce("count", F.lit(0)).alias("count"), "piece"))
-    chosen = counted.groupBy("probe", "rank").agg(rarest.alias("rarest")).filter("rarest.count > 0")
-    return settle(chosen.select("rarest.piece", "probe", "rank"))
-
-
-def _least_names(texts: DataFrame, filed: DataFrame) -> DataFrame:
-    """``_text`` and the least ``name`` in it, for texts with any."""
-    sizes = sorted(r[0] for r in filed.select(F.length("piece")).distinct().collect())
-    if not sizes:
-        return texts.select("_text", F.lit(None).cast("string").alias("name")).limit(0)
-    met = lookup_join(_text_pieces(texts, sizes), filed, "piece", "inner").drop("piece")
-    hits = met.join(texts, "_text").filter(F.contains("body", "probe"))
-    return hits.groupBy("_text").agg(F.min("rank").alias("least")).select("_text", "least.name")
+    chosen = counted.groupBy("probe").agg(rarest.alias("rarest")).filter("rarest.count > 0")
+    return settle(chosen.join(best, "probe").select("rarest.piece", "probe", "rank"))
+
+
+def _piece_counts(texts: DataFrame, sizes: list[int], wanted) -> DataFrame:
+    """How often each piece occurs in the texts, of those ``wanted``."""
+    counted = texts.select("body").mapInArrow(partial(_count_pieces, sizes, wanted), "piece long, n long")
+    return counted.groupBy("piece").agg(F.sum("n").alias("count"))
+
+
+def _text_pieces(texts: DataFrame, sizes: list[int], wanted) -> DataFrame:
+    """The different pieces of each text, of those ``wanted``; long texts stay out of the rows."""
+    return texts.mapInArrow(partial(_cut_texts, sizes, wanted), "_text binary, piece long")
+
+
+def _table(pieces: DataFrame):
+    """A broadcast table of bits, in which the bits of ``piece`` are set."""
+    bit = F.col("piece").bitwiseAND(TABLE_BITS - 1)
+    bits = pieces.select(F.floor(bit / BLOCK_BITS).alias("block"), (bit % BLOCK_BITS).cast("int").alias("bit"))
+    blocks = bits.groupBy("block").applyInPandas(_block, "block long, bits binary").collect()
+    table = np.zeros(TABLE_BITS // 8, np.uint8)
+    for row in blocks:
+        begin = row["block"] * (BLOCK_BITS // 8)
+        table[begin : begin + BLOCK_BITS // 8] = np.frombuffer(row["bits"], np.uint8)
+    return pieces.sparkSession.sparkContext.broadcast(table)
+
+
+def _block(rows: pd.DataFrame) -> pd.DataFrame:
+    bits = np.zeros(BLOCK_BITS, bool)
+    bits[rows["bit"].to_numpy()] = True
+    packed = np.packbits(bits, bitorder="little").tobytes()
+    return pd.DataFrame({"block": [rows["block"].iloc[0]], "bits": [packed]})
+
+
+def _windows(data: np.ndarray, size: int) -> np.ndarray:
+    """Hashes of all pieces of ``size`` bytes."""
+    count = max(0, len(data) - size + 1)
+    hashes = np.full(count, size, np.uint64)
+    for i in range(size):
+        hashes *= np.uint64(0x9E3779B97F4A7C15)
+        hashes += data[i : i + count]
+    hashes ^= hashes >> np.uint64(32)
+    hashes *= np.uint64(0xD6E8FEB86659FD93)
+    hashes ^= hashes >> np.uint64(29)
+    return hashes
+
+
+def _pieces(
+    values: pa.Array, sizes_of: Callable[[np.ndarray], Sequence[tuple[int, np.ndarray | None]]], wanted=None
+) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Row numbers and hashes of the pieces inside each value, a stretch of bytes at a time; ``sizes_of`` gives
+    the sizes for the lengths of the values, each with the rows it is for."""
+    if not len(values):
+        return
+    table = None if wanted is None else wanted.value
+    values = values.cast(pa.string())
+    offsets = np.frombuffer(values.buffers()[1], np.int32)[values.offset : values.offset + len(values) + 1]
+    data = np.frombuffer(values.buffers()[2] or b"", np.uint8)
+    ends = offsets[1:].astype(np.int64)
+    chosen = [(size, rows) for size, rows in sizes_of(np.diff(offsets))]
+    for begin in range(int(offsets[0]), int(offsets[-1]), CUT_BYTES):
+        stop = min(begin + CUT_BYTES, int(offsets[-1]))
+        for size, rows in chosen:
+            hashes = _windows(data[begin : min(stop + size - 1, int(offsets[-1]))], size)
+            at = np.arange(begin, begin + len(hashes))
+            row = np.searchsorted(ends, at, "right")
+            keep = at + size <= ends[row]
+            if rows is not None:
+                keep &= rows[row]
+            if table is not None:
+                bit = hashes & np.uint64(TABLE_BITS - 1)
+                keep &= (table[bit >> np.uint64(3)] >> (bit & np.uint64(7)).astype(np.uint8)) & 1 == 1
+            yield row[keep], hashes[keep].view(np.int64)
+
+
+def _cut_names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def own(lengths: np.ndarray) -> list[tuple[int, np.ndarray]]:
+        size = lengths
+        for known in sorted(PIECE_SIZES):
+            size = np.where(lengths >= known, known, size)
+        return [(int(n), size == n) for n in np.unique(size)]
+
+    for batch in batches:
+        found = list(_pieces(batch.column("probe"), own))
+        rows = np.concatenate([np.zeros(0, np.int64), *[row for row, _ in found]])
+        hashes = np.concatenate([np.zeros(0, np.int64), *[h for _, h in found]])
+        order = np.lexsort((hashes, rows))
+        rows, hashes = rows[order], hashes[order]
+        first = _changes(rows, hashes)
+        counts = np.bincount(rows[first], minlength=len(batch))
+        offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
+        lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(hashes[first]))
+        names = [*batch.schema.names, "pieces"]
+        yield pa.RecordBatch.from_arrays([*batch.columns, lists], names=names)
+
+
+def _changes(*columns: np.ndarray) -> np.ndarray:
+    """Where the sorted ``columns`` differ from the row before."""
+    changed = np.ones(len(columns[0]), bool)
+    changed[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in columns])
+    return changed
+
+
+def _count_pieces(sizes: list[int], wanted, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for _, hashes in _pieces(batch.column("body"), lambda _: [(n, None) for n in sizes], wanted):
+            piece, n = np.unique(hashes, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(piece), pa.array(n)], names=["piece", "n"])
+
+
+def _cut_texts(sizes: list[int], wanted, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        texts = batch.column("_text")
+        for row, hashes in _pieces(batch.column("body"), lambda _: [(n, None) for n in sizes], wanted):
+            order = np.lexsort((hashes, row))
+            row, hashes = row[order], hashes[order]
+            first = _changes(row, hashes)
+            found = [texts.take(pa.array(row[first])), pa.array(hashes[first])]
+            yield pa.RecordBatch.from_arrays(found, names=["_text", "piece"])
