@@ -36,3 +36,15 @@ def test_names_without_a_piece_in_the_texts_are_left_out_at_once(spark, rows_of,
     got = resolve.first_match_join(df, "t", dictionary, "hit", inline=0).collect()
     assert {r["id"]: r["hit"] for r in got} == {1: None, 2: "STARA ŁOMŻA", 3: None}
     assert max(n for n, *_ in settled["settle"]) < 10
+
+
+def test_texts_with_a_long_name_are_not_searched_for_short_ones(spark, rows_of):
+    dictionary = spark.createDataFrame([(1, "W"), (2, "AB"), (3, "KOLNO"), (4, "ZAMBROWSKA")], "priority int, name string")
+    texts = ["ab kolno zambrowska", "w zambrowska", "kolno w", "ab w", "w", "x", "Zambrowska w"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    cut = rows_of("_text_pieces")
+    got = resolve.first_match_join(df, "t", dictionary, "hit", "longest_match", inline=0).collect()
+    assert {r["t"]: r["hit"] for r in got} == dict(
+        zip(texts, ["ZAMBROWSKA", "ZAMBROWSKA", "KOLNO", "AB", "W", None, "ZAMBROWSKA"])
+    )
+    assert [(n, sizes) for n, sizes, _ in cut["_text_pieces"]] == [(7, [8]), (4, [4]), (3, [2]), (2, [1])]
