@@ -48,3 +48,19 @@ def test_texts_with_a_long_name_are_not_searched_for_short_ones(spark, rows_of):
         zip(texts, ["ZAMBROWSKA", "ZAMBROWSKA", "KOLNO", "AB", "W", None, "ZAMBROWSKA"])
     )
     assert [(n, sizes) for n, sizes, _ in cut["_text_pieces"]] == [(7, [8]), (4, [4]), (3, [2]), (2, [1])]
+
+
+@pytest.mark.parametrize("stretch", [1, 3, 7, 1 << 20])
+def test_pieces_are_all_stretches_of_bytes_inside_a_text(monkeypatch, stretch):
+    monkeypatch.setattr(resolve, "CUT_BYTES", stretch)
+    texts = ["", "abcdefghij", "ŁÓDŹ", "abc", "", "aaaa", "日本語"]
+    values = pa.array(["left out", *texts])[1:]
+    found = {(int(row), int(h)) for rows, hashes in resolve._pieces(values, lambda _: [(2, None), (4, None)]) for row, h in zip(rows, hashes)}
+    wanted = set()
+    for row, text in enumerate(texts):
+        data = text.encode()
+        for size in (2, 4):
+            for i in range(len(data) - size + 1):
+                raw = np.frombuffer(data[i : i + size], np.uint8)
+                wanted.add((row, int(resolve._windows(raw, size).view(np.int64)[0])))
+    assert found == wanted
