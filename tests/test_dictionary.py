@@ -64,3 +64,41 @@ def test_pieces_are_all_stretches_of_bytes_inside_a_text(monkeypatch, stretch):
                 raw = np.frombuffer(data[i : i + size], np.uint8)
                 wanted.add((row, int(resolve._windows(raw, size).view(np.int64)[0])))
     assert found == wanted
+
+
+def test_names_of_common_pieces_meet_only_the_texts_they_are_in(spark, monkeypatch):
+    pairs = [(i, j) for i in range(20) for j in range(20)]
+    names = [(n, f"{i:03d}STRASSEN NUMMERNN{j:03d}") for n, (i, j) in enumerate(pairs)]
+    texts = [f"in {name.lower()} oder" for _, name in names[::2]] + ["in 003strassen", "nummernn007"]
+    dictionary = spark.createDataFrame(names, "priority int, name string")
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    made, real = [], resolve.lookup_join
+
+    def watched(*given):
+        made.append(real(*given))
+        return made[-1]
+
+    monkeypatch.setattr(resolve, "lookup_join", watched)
+    got = resolve.first_match_join(df, "t", dictionary, "hit", inline=0).collect()
+    known = {name for _, name in names}
+    assert {r["t"]: r["hit"] for r in got} == {t: n if (n := t[3:-5].upper()) in known else None for t in texts}
+    assert [rows.count() for rows in made] == [200, 202]
+
+
+def test_lengths_and_bytes_of_names_are_of_any_kind(spark, monkeypatch):
+    monkeypatch.setattr(resolve, "CUT_BYTES", 50)
+    draw = random.Random(3)
+    letters = "ABŁ日 -ß"
+    words = {"".join(draw.choices(letters, k=draw.choice([1, 2, 3, 5, 8, 13, 40]))) for _ in range(200)}
+    names = [(draw.randrange(3), w) for w in sorted(words)] + [(0, None), (1, "")]
+    texts = ["".join(draw.choices(letters, k=draw.randrange(60))) for _ in range(150)] + [None, ""]
+    dictionary = spark.createDataFrame(names, "priority int, name string")
+    df = spark.createDataFrame([(i, t) for i, t in enumerate([*texts, *texts])], "i int, t string")
+    folded = spark.createDataFrame([(x,) for x in {*texts, *words}], "x string")
+    fold = {r["x"]: r["y"] for r in folded.select("x", resolve.fold(resolve.F.col("x")).alias("y")).collect()}
+    for mode in ("first_match", "longest_match"):
+        got = resolve.first_match_join(df, "t", dictionary, "hit", mode, inline=0).collect()
+        for row in got:
+            inside = [(p, n) for p, n in names if n and fold[n] and row["t"] is not None and fold[n] in fold[row["t"]]]
+            order = [(-len(n) if mode == "longest_match" else 0, p, n.encode()) for p, n in inside]
+            assert row["hit"] == (min(order)[2].decode() if order else None)
