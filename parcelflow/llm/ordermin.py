@@ -20,7 +20,7 @@ from parcelflow.llm.banded import edit_distance
 from parcelflow.llm.graph import blocked, components
 from parcelflow.operators.joins import lookup_join
 from parcelflow.llm.tables import settle
-from parcelflow.session import stored
+from parcelflow.session import discard, passing, stored
 
 # An edit changes two runs of two words at most, so texts at the limit of 0.8 share at least 0.43 of their
 # runs wherever the edits are. A long pair meets in a sketch with a chance of about the square, and in none
@@ -167,6 +167,7 @@ def _near(n: Column, m: Column, similarity: float) -> Column:
     return F.abs(n - m) <= (1 - similarity) * F.greatest(n, m) + 1e-9
 
 
+@passing
 def _possible(pairs: DataFrame, singles: DataFrame, similarity: float) -> DataFrame:
     """The pairs (``center``, ``key``) whose numbers of words by class do not rule them out."""
     own = singles.select("key", "n_words", "bag")
@@ -188,6 +189,7 @@ def _possible(pairs: DataFrame, singles: DataFrame, similarity: float) -> DataFr
     return both.mapInPandas(run, pairs.schema)
 
 
+@passing
 def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
     """The pairs (``center``, ``key``) whose texts align, as ``a`` and ``b``.
 
@@ -231,6 +233,7 @@ def _align(a: list[str], b: list[str], similarity: float) -> bool:
     return max(more, less) <= most and edit_distance(a, b, most) <= most
 
 
+@passing
 def _one_center_each(
     labelled: DataFrame, tried: DataFrame | None, turn: int, similarity: float
 ) -> DataFrame:
@@ -294,6 +297,41 @@ def _alike(similarity: float):
     return compare
 
 
+def _with_classes(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """``members`` with the root of each one's class as ``label``."""
+    labelled = members.join(roots.withColumnRenamed("node", "key"), "key", "left")
+    return labelled.withColumn("label", F.coalesce("root", "key")).drop("root")
+
+
+@passing
+def _mixed_bands(labelled: DataFrame) -> DataFrame:
+    """Sketches of several classes, with their rows and twice their pairs across classes; those of a single
+    class have nothing left to compare."""
+    of_class = labelled.groupBy("band", "label").agg(F.count(F.lit(1)).cast("double").alias("n"))
+    rows = F.sum("n")
+    mixed = of_class.groupBy("band").agg(
+        F.count(F.lit(1)).alias("classes"),
+        rows.alias("rows"),
+        (rows * rows - F.sum(F.col("n") * F.col("n"))).alias("open"),
+    )
+    return settle(mixed.filter("classes > 1"))
+
+
+@passing
+def _block_pairs(
+    labelled: DataFrame, bags: DataFrame, tried: DataFrame | None, similarity: float
+) -> DataFrame:
+    """Pairs of different classes that share a sketch and may be similar enough, but for those tried."""
+    own = bags.select("key", "bag").join(settle(labelled.select("key").distinct()), "key", "left_semi")
+    tasks = settle(blocked(settle(labelled.join(own, "key")), ["band"], "key", BLOCK))
+    # Small groups share a call; a call has about ``CALL`` rows.
+    calls = max(1, -(-tasks.count() // CALL))
+    call = F.pmod(F.xxhash64("band", "part_a", "part_b"), F.lit(calls)).alias("call")
+    pairs = tasks.select("*", call).groupBy("call").applyInPandas(_alike(similarity), "center binary, key binary")
+    return settle(_untried(pairs.distinct(), tried))
+
+
+@passing
 def near_duplicates(
     docs: DataFrame,
     doc_id: str = "doc_id",
@@ -334,48 +372,45 @@ def near_duplicates(
     # A text is in a band once, as its sketches are numbered.
     shared_bands = settle(bands.groupBy("band").count().filter("count > 1").select("band"))
     members = settle(lookup_join(bands, shared_bands, "band", "inner"))
-
-    # One text for each candidate: that of its smallest id.
-    ids = keyed.groupBy("key").agg(F.min(doc_id).alias("least"), F.count("*").alias("copies"))
+    # Sketches take up most of the table, and are not read again.
+    bags = settle(singles.select("key", "n_words", "bag"))
+    discard(singles, shared_bands)
+
+    # One text for each candidate: that of its smallest id. Only texts of rows that repeat it are brought together.
+    rows = keyed.groupBy("key", doc_id).agg(F.count("*").alias("rows"))
+    of_least = F.coalesce(F.min_by("rows", doc_id), F.max("rows"))
+    ids = rows.groupBy("key").agg(
+        F.min(doc_id).alias("least"), F.sum("rows").alias("copies"), (of_least > 1).alias("repeated")
+    )
     ids = settle(ids.filter("key IS NOT NULL"))
-    wanted = members.select("key").distinct().join(ids, "key").select("key", "least")
+    wanted = members.select("key").distinct().join(ids, "key").select("key", "least", "repeated")
     texts = lookup_join(keyed, settle(wanted), "key", "inner").filter(F.col(doc_id).eqNullSafe(F.col("least")))
-    texts = stored(texts.groupBy("key").agg(F.first("text").alias("text")), "texts")
+    single = texts.filter("NOT repeated").select("key", "text")
+    repeated = texts.filter("repeated").groupBy("key").agg(F.first("text").alias("text"))
+    texts = stored(single.unionByName(repeated), "texts")
 
     links, tried = None, None
     labelled = members.withColumn("label", F.col("key"))
     for turn in range(ROUNDS):
-        pairs = settle(_one_center_each(labelled, tried, turn, similarity))
+        pairs = _one_center_each(labelled, tried, turn, similarity)
         if pairs.isEmpty():
             break
-        found = settle(_verified(settle(_possible(pairs, singles, similarity)), texts, similarity))
+        possible = _possible(pairs, bags, similarity)
+        found = _verified(possible, texts, similarity)
         links = found if links is None else settle(links.unionByName(found))
         seen = _ordered(pairs) if tried is None else tried.unionByName(_ordered(pairs))
         tried = settle(seen.distinct())
         roots = components(links)
-        labelled = members.join(roots.withColumnRenamed("node", "key"), "key", "left")
-        labelled = labelled.withColumn("label", F.coalesce("root", "key")).drop("root")
-        # Sketches of a single class have nothing left to compare.
-        of_class = labelled.groupBy("band", "label").agg(F.count(F.lit(1)).cast("double").alias("n"))
-        rows = F.sum("n")
-        mixed = of_class.groupBy("band").agg(
-            F.count(F.lit(1)).alias("classes"),
-            rows.alias("rows"),
-            (rows * rows - F.sum(F.col("n") * F.col("n"))).alias("open"),
+        mixed = _mixed_bands(_with_classes(members, roots))
+        before, labelled = labelled, settle(
+            lookup_join(_with_classes(members, roots), mixed.select("band"), "band", "inner")
         )
-        mixed = settle(mixed.filter("classes > 1"))
-        labelled = settle(lookup_join(labelled, mixed.select("band"), "band", "inner"))
+        discard(before, possible, roots)
         left = mixed.agg(F.sum("rows").alias("rows"), F.sum("open").alias("open")).first()
         few = found.count() < YIELD * pairs.count()
         if few or (left["open"] or 0) <= 2 * LEFT * (left["rows"] or 0):
             break
-    bags = singles.select("key", "bag").join(settle(labelled.select("key").distinct()), "key", "left_semi")
-    tasks = settle(blocked(settle(labelled.join(bags, "key")), ["band"], "key", BLOCK))
-    # Small groups share a call; a call has about ``CALL`` rows.
-    calls = max(1, -(-tasks.count() // CALL))
-    call = F.pmod(F.xxhash64("band", "part_a", "part_b"), F.lit(calls)).alias("call")
-    pairs = tasks.select("*", call).groupBy("call").applyInPandas(_alike(similarity), "center binary, key binary")
-    more = _verified(settle(_untried(pairs.distinct(), tried)), texts, similarity)
+    more = _verified(_block_pairs(labelled, bags, tried, similarity), texts, similarity)
     roots = components(more if links is None else settle(links.unionByName(more)))
 
     named = ids.join(roots.withColumnRenamed("node", "key"), "key", "left")
