@@ -235,11 +235,11 @@ def _align(a: list[str], b: list[str], similarity: float) -> bool:
 
 @passing
 def _one_center_each(
-    labelled: DataFrame, tried: DataFrame | None, turn: int, similarity: float
+    labelled: DataFrame, bags: DataFrame, tried: DataFrame | None, turn: int, similarity: float
 ) -> DataFrame:
-    """For each document the center of another class that it shares most sketches with, of those of a
-    possible length that it has not met before, if any. The center of a sketch is one of its documents,
-    another one in each turn."""
+    """For each document the center of another class that it shares most sketches with, of those that its
+    numbers of words do not rule out and that it was not aligned with before, if any. The center of a sketch
+    is one of its documents, another one in each turn."""
     drawn = F.min(F.struct(F.xxhash64(F.lit(turn), "key").alias("h"), "key", "label", "n_words"))
     centers = settle(labelled.groupBy("band").agg(drawn.alias("c")))
     centers = centers.select(
@@ -247,8 +247,8 @@ def _one_center_each(
     )
     met = labelled.join(centers, "band").filter("label <> other")
     met = met.filter(_near(F.col("n_words"), F.col("m"), similarity))
-    met = _untried(met.groupBy("key", "center").count(), tried)
-    best = met.groupBy("key").agg(F.max(F.struct("count", "center")).alias("best"))
+    met = settle(_untried(met.groupBy("key", "center").count(), tried))
+    best = _possible(met, bags, similarity).groupBy("key").agg(F.max(F.struct("count", "center")).alias("best"))
     return best.select("key", F.col("best.center").alias("center"))
 
 
@@ -392,11 +392,10 @@ def near_duplicates(
     links, tried = None, None
     labelled = members.withColumn("label", F.col("key"))
     for turn in range(ROUNDS):
-        pairs = _one_center_each(labelled, tried, turn, similarity)
+        pairs = _one_center_each(labelled, bags, tried, turn, similarity)
         if pairs.isEmpty():
             break
-        possible = _possible(pairs, bags, similarity)
-        found = _verified(possible, texts, similarity)
+        found = _verified(pairs, texts, similarity)
         links = found if links is None else settle(links.unionByName(found))
         seen = _ordered(pairs) if tried is None else tried.unionByName(_ordered(pairs))
         tried = settle(seen.distinct())
@@ -405,9 +404,9 @@ def near_duplicates(
         before, labelled = labelled, settle(
             lookup_join(_with_classes(members, roots), mixed.select("band"), "band", "inner")
         )
-        discard(before, possible, roots)
-        left = mixed.agg(F.sum("rows").alias("rows"), F.sum("open").alias("open")).first()
         few = found.count() < YIELD * pairs.count()
+        discard(before, pairs, roots)
+        left = mixed.agg(F.sum("rows").alias("rows"), F.sum("open").alias("open")).first()
         if few or (left["open"] or 0) <= 2 * LEFT * (left["rows"] or 0):
             break
     more = _verified(_block_pairs(labelled, bags, tried, similarity), texts, similarity)

@@ -36,3 +36,21 @@ def test_only_texts_of_repeated_rows_are_grouped(spark, monkeypatch):
     texts = next(rows for name, rows in kept if name == "texts")
     plan = texts._jdf.queryExecution().optimizedPlan().toString()
     assert "Union" in plan and plan.count("first(text") == 1
+
+
+def test_a_center_is_chosen_of_those_that_the_words_allow(spark):
+    def text(words):
+        hashes = ordermin._word_hashes(words)
+        return bytearray(ordermin.packed(ordermin.np.bincount((hashes % 256).astype(int), minlength=256)))
+
+    other = [f"w{i}" for i in range(len(WORDS))]
+    kind = "key binary, n_words int, bag binary"
+    bags = spark.createDataFrame(
+        [(bytearray(k), len(w), text(w)) for k, w in ((b"x", WORDS), (b"a", other), (b"b", WORDS))], kind
+    )
+    shared = [(b"x", 1), (b"a", 1), (b"x", 2), (b"a", 2), (b"x", 3), (b"b", 3)]
+    rows = [(bytearray(k), band, bytearray(k), len(WORDS)) for k, band in shared]
+    labelled = spark.createDataFrame(rows, "key binary, band long, label binary, n_words int")
+    for turn in range(4):
+        pairs = ordermin._one_center_each(labelled, bags, None, turn, 0.8).collect()
+        assert [{bytes(p["key"]), bytes(p["center"])} for p in pairs] == [{b"x", b"b"}]
