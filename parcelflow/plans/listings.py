@@ -12,10 +12,13 @@ from pyspark.sql import functions as F
 from parcelflow import schemas
 from parcelflow.functions import rules
 from parcelflow.functions.lookup import replace_exact
-from parcelflow.plans.prepare import Places, Quantity, SourceSpec, harmonise, prepare
+from parcelflow.operators.resolve import attach_coordinates
+from parcelflow.plans.prepare import Places, Quantity, SourceSpec, harmonise, prepare_named
 from parcelflow.profiles import lomza
 from parcelflow.sources.dimensions import parse_gazetteer
 
+COORDINATES = ("LAT", "LON")
+
 
 @dataclass(frozen=True)
 class Market:
@@ -116,14 +119,21 @@ def anonymise(df: DataFrame, names: Mapping[str, str], other: str = "Other") ->
 
 
 def build_listings(raw: Mapping[str, DataFrame], market: Market) -> DataFrame:
-    """Cleaned listings from raw tables, in the order and the shape of `schemas.LISTINGS`."""
+    """Cleaned listings from raw tables, in the order and the shape of `schemas.LISTINGS`.
+
+    All sources share what is made of the names of places, and meet the coordinates together.
+    """
     spark = next(iter(raw.values())).sparkSession
     gazetteer = market.places.frame(spark)
+    names = market.places.name_tables(gazetteer)
+    nowhere = {c: F.lit(None).cast("double") for c in COORDINATES}
     prepared = {
-        name: prepare(df, market.sources[name], market.places, gazetteer) for name, df in raw.items()
+        name: prepare_named(df, market.sources[name], market.places, names).drop(*COORDINATES).withColumns(nowhere)
+        for name, df in raw.items()
     }
-    listings = anonymise(
-        enrich(union_sources(prepared), market), market.source_names, market.other_source
-    ).select(schemas.LISTINGS.fieldNames())
+    located = attach_coordinates(union_sources(prepared).drop(*COORDINATES), gazetteer)
+    listings = anonymise(enrich(located, market), market.source_names, market.other_source).select(
+        schemas.LISTINGS.fieldNames()
+    )
     schemas.require(listings.schema, schemas.LISTINGS)
     return listings

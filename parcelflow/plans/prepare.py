@@ -15,7 +15,7 @@ from parcelflow.functions.rules import fill_missing, unit_price
 from parcelflow.functions.text import parse_quantity, slug_to_name, strip_whitespace
 from parcelflow.operators.dedup import dedup_latest
 from parcelflow.operators.quality import correct_unit_errors
-from parcelflow.operators.resolve import attach_coordinates, first_match_join
+from parcelflow.operators.resolve import NameTables, attach_coordinates, first_match_join
 from parcelflow.session import settle, stored
 from parcelflow.sources.dimensions import gazetteer_frame
 
@@ -77,9 +77,18 @@ class Places:
         first = self.gazetteer.groupBy("CITY").agg(F.min(F.struct("priority", "LAT", "LON")).alias("first"))
         return settle(first.select("first.priority", "CITY", "first.LAT", "first.LON"))
 
+    def name_tables(self, gazetteer: DataFrame) -> NameTables | None:
+        """What searches for the names of `frame` share, if they are joined."""
+        return None if self.inline else NameTables(gazetteer.select("priority", F.col("CITY").alias("name")))
+
 
 def prepare(df: DataFrame, spec: SourceSpec, places: Places, gazetteer: DataFrame) -> DataFrame:
     """Filter, rename, parse, repair and locate the listings of one source."""
+    return attach_coordinates(prepare_named(df, spec, places, places.name_tables(gazetteer)), gazetteer)
+
+
+def prepare_named(df: DataFrame, spec: SourceSpec, places: Places, names: NameTables | None) -> DataFrame:
+    """`prepare` as far as the name of the place."""
     df = df.withColumnsRenamed(dict(spec.rename))
     for condition in spec.keep:
         df = df.filter(condition)
@@ -100,36 +109,35 @@ def prepare(df: DataFrame, spec: SourceSpec, places: Places, gazetteer: DataFram
         df = correct_unit_errors(df, "AREA_M2", spec.unit_errors)
     if spec.derive_unit_price:
         df = unit_price(df)
-    return attach_coordinates(locate(df, spec, places, gazetteer), gazetteer)
+    return locate(df, spec, places, names)
 
 
-def locate(df: DataFrame, spec: SourceSpec, places: Places, gazetteer: DataFrame) -> DataFrame:
+def locate(df: DataFrame, spec: SourceSpec, places: Places, names: NameTables | None) -> DataFrame:
     """Set ``CITY`` in the way of the source."""
     if spec.place == "exact":
         return df.withColumn("CITY", F.upper("CITY"))
     if spec.place == "slug":
         searched = slug_to_name(F.col("ID"), spec.noise)
-        return _recognise(df, searched, places, gazetteer, hyphen_as_space=True)
+        return _recognise(df, searched, places, names, hyphen_as_space=True)
     if spec.place == "text":
         given = replace_exact(F.upper(strip_whitespace(F.col("CITY"))), places.corrections)
-        known = _recognise(df.withColumn("_given", given), F.col("_given"), places, gazetteer)
+        known = _recognise(df.withColumn("_given", given), F.col("_given"), places, names)
         city = resolve_place(F.col("_given"), F.col("CITY"), places.no_place, places.default_place)
         return known.withColumn("CITY", city).drop("_given")
     raise ValueError(spec.place)
 
 
 def _recognise(
-    df: DataFrame, text: Column, places: Places, gazetteer: DataFrame, hyphen_as_space: bool = False
+    df: DataFrame, text: Column, places: Places, names: NameTables | None, hyphen_as_space: bool = False
 ) -> DataFrame:
     """``CITY`` as the name that occurs in ``text``."""
-    if places.inline:
+    if names is None:
         return df.withColumn(
             "CITY", first_match(text, places.names, places.mode, hyphen_as_space=hyphen_as_space)
         )
-    names = gazetteer.select("priority", F.col("CITY").alias("name"))
     rows = df.withColumn("_searched", text)
     found = first_match_join(
-        rows, "_searched", names, "CITY", places.mode, hyphen_as_space=hyphen_as_space, inline=0
+        rows, "_searched", names.dictionary, "CITY", places.mode, hyphen_as_space=hyphen_as_space, inline=0, made=names
     )
     return found.drop("_searched")
 
