@@ -85,3 +85,34 @@ def test_no_turn_follows_one_that_settles_little(spark, monkeypatch):
     roots = {r["node"]: r["root"] for r in lines.line_links(df).collect()}
     assert len(turns) == 1
     assert all(roots[i] == roots[40 + i] for i in range(5)) and len(roots) == 10 and len(set(roots.values())) == 5
+
+
+def test_pairs_that_share_many_signatures_leave_few_calls(spark, monkeypatch):
+    # Copies of a long line, each with other places changed, share most of their signatures.
+    draw = random.Random(4)
+    text = "".join(draw.choices("abcdefghij ", k=600))
+    copies = [changed(draw, text, 40, "abcdefghij ") for _ in range(30)]
+    df = spark.createDataFrame(list(enumerate([*copies, copies[0][:-1] + "!"])), "line_id long, line string")
+    left, real = spark.sparkContext.accumulator(0), lines._joiner
+
+    def counted(*limits):
+        join = real(*limits)
+
+        def run(tasks):
+            pairs = join(tasks)
+            left.add(len(pairs))
+            return pairs
+
+        return run
+
+    monkeypatch.setattr(lines, "_joiner", counted)
+    monkeypatch.setattr(lines, "CALL", 16)
+    seen, classes = [], []
+    # With all rows of a first line in one call, and with as many calls as they can have.
+    for most in (1000, 0.1):
+        monkeypatch.setattr(lines, "CALLS_OF_FIRST", most)
+        before = left.value
+        classes.append({(r["node"], r["root"]) for r in lines.line_links(df).collect()})
+        seen.append(left.value - before)
+    assert classes[0] == classes[1] and {n for n, _ in classes[0]} == {0, 30}
+    assert 100 < seen[0] < seen[1] / 2
